@@ -161,12 +161,16 @@ def complete_code(prompt, generated_code) -> Column:
 
 def shingles(words, k: int = 5) -> Column:
     """``k``-word shingles joined by single spaces; fewer than ``k`` words give an empty
-    array (``sequence`` would count down for a negative stop, hence the guard)."""
+    array.
+
+    Built from ``k`` shifted slices zipped together, so the lambda only reads its own
+    element: the word array is never re-read (or re-computed) per shingle."""
     w = _c(words)
-    return F.when(
-        F.size(w) >= k,
-        F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    m = F.size(w) - F.lit(k - 1)
+    parts = [F.slice(w, j + 1, F.greatest(m, F.lit(1))).alias(f"w{j}") for j in range(k)]
+    zipped = F.arrays_zip(*parts)
+    joined = F.transform(zipped, lambda z: F.concat_ws(" ", *[z[f"w{j}"] for j in range(k)]))
+    return F.when(m > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
 def ngrams(words, n: int) -> Column:
