@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,9 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint into the cluster's shared
-    checkpoint folder (``spark.checkpoint.dir``). Used where a result feeds several later
-    branches (the fitted LM, the token-score table), so they read it instead of
-    re-running its plan, and a lost executor costs a re-read, not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df`` by writing it as a parquet table under the cluster's
+    shared checkpoint folder (``spark.checkpoint.dir``) and reading it back.
+
+    Used where a result feeds several later branches (the fitted LM, the token-score
+    table), so they scan it instead of re-running its plan, and a lost executor costs a
+    re-read, not a recomputation. One job computes and writes the table (an RDD
+    checkpoint would run the plan twice unless cached)."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/textlens-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
