@@ -14,6 +14,7 @@ from textlens.operators import lm as LM
 from textlens.operators import scoring as S
 from textlens.plans import fixtures as FX
 from textlens.plans.sqlparts import lm_ctes, metric_ctes, scored_ctes
+from textlens.session import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -741,7 +742,7 @@ est AS (SELECT e.doc_id, e.rep_id, count(*) FILTER (WHERE a.v = b.v) / {SIM.NUM_
 SELECT doc_id, rep_id, round(j, 6) AS jaccard FROM est WHERE j >= 0.8""",
 )
 def q_near_dup_edges(spark, sf):
-    sig = SIM.minhash_signatures(FX.documents(spark, sf), "doc_id", "text")
+    sig = materialize(SIM.minhash_signatures(FX.documents(spark, sf), "doc_id", "text"))
     e = SIM.near_duplicate_edges(sig, "doc_id", 0.8)
     return e.select("doc_id", "rep_id", r6("jaccard").alias("jaccard"))
 
@@ -785,8 +786,8 @@ def q_edit_distance_join(spark, sf):
     only: the SQL dynamic programme is too slow on whole documents; a unit test checks it
     against a brute-force implementation)."""
     docs = FX.documents(spark, sf)
-    sig = SIM.minhash_signatures(docs, "doc_id", "text")
-    edges = SIM.near_duplicate_edges(sig, "doc_id", 0.8)
+    sig = materialize(SIM.minhash_signatures(docs, "doc_id", "text"))
+    edges = materialize(SIM.near_duplicate_edges(sig, "doc_id", 0.8))
     t = docs.select("doc_id", "text")
     pairs = edges.select(F.col("doc_id").alias("pair_id"), "doc_id", "rep_id").join(
         t.withColumnRenamed("text", "candidate"), ["doc_id"]
