@@ -795,3 +795,26 @@ def q_edit_distance_join(spark, sf):
     pairs = pairs.select((F.col("doc_id") * 1_000_000_000 + F.col("rep_id")).alias("pair_id"), "candidate", "reference")
     d = SIM.edit_distance_join(pairs, 0.3)
     return d.select("pair_id", "distance", r6("edit_distance").alias("edit_distance"))
+
+
+@register("sink_results_wide", _wide_sql(
+    extra_select=", max(n_probs)::BIGINT AS n_token_probabilities",
+    extra_cte=f", np AS (SELECT row_id, count(*) AS n_probs FROM sc GROUP BY row_id), rm2 AS (SELECT * FROM rm)",
+).replace("FROM rm GROUP BY row_id", "FROM rm LEFT JOIN np USING (row_id) GROUP BY row_id"))
+def q_sink_results_wide(spark, sf):
+    """Wide results written through the CSV sink (arrays as JSON text) under the
+    checkpoint folder and read back."""
+    import uuid
+
+    from pyspark.sql import types as PT
+
+    from textlens.session import checkpoint_dir
+    from textlens.sources import io as IO
+
+    w = _wide_spark(spark, sf)
+    path = IO.write_results(w, f"{checkpoint_dir(spark).rstrip('/')}/textlens-sinks/{uuid.uuid4().hex}")
+    fields = [PT.StructField(f.name, PT.StringType() if isinstance(f.dataType, PT.ArrayType) else f.dataType) for f in w.schema.fields]
+    back = spark.read.schema(PT.StructType(fields)).option("header", True).option("escape", '"').csv(path)
+    num = [c for c in back.columns if c != "row_id" and "probabilities" not in c]
+    n = F.size(F.from_json(F.col("token_probabilities"), "array<double>")).cast("bigint")
+    return back.select("row_id", *[r6(F.col(f"`{c}`")).alias(c) for c in num], F.when(n > 0, n).alias("n_token_probabilities"))
