@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import BOS, tokenize_words
@@ -292,3 +292,49 @@ def drop_special(pairs: Column, specials=None) -> Column:
 def validate_scores(scores: DataFrame) -> DataFrame:
     """Rows of an external ``token_scores`` table whose probability is outside (0, 1]."""
     return scores.filter(F.col("prob").isNull() | (F.col("prob") <= 0) | (F.col("prob") > 1))
+
+
+def fit_and_score(
+    df: DataFrame,
+    id_col: str = "row_id",
+    text_col: str = "text",
+    tokenizer=tokenize_words,
+    add_bos: bool = True,
+    lam: float = DEFAULT_LAMBDA,
+    weights: DataFrame | None = None,
+):
+    """In-sample scoring: fit the LM on the texts of ``df`` and score those same texts
+    (no prompt), with one pass over the occurrences.
+
+    Every scored (prev, token) pair is then a bigram of the model, so the bigram table
+    doubles as the pair table: context and unigram counts are two window sums over it
+    (partitioned by ``prev`` and by ``token``, both bounded by the vocabulary) instead of
+    an aggregate and a join each. Returns ``(ts, others)`` like ``score_long``."""
+    occ = occurrences(df, id_col, text_col, tokenizer, add_bos, None, scored_only=False)
+    all_pairs = materialize(occ.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cnt")))
+    totals = all_pairs.agg(F.sum("cnt").alias("n_tokens"), F.count_distinct("token").alias("n_types"))
+    counted = all_pairs.select(
+        "prev",
+        "token",
+        "cnt",
+        F.sum("cnt").over(Window.partitionBy("token")).alias("cu"),
+        F.sum("cnt").over(Window.partitionBy("prev")).alias("cc"),
+    ).filter(F.col("prev").isNotNull())
+    probs = counted.crossJoin(F.broadcast(totals)).select(
+        "prev",
+        "token",
+        F.col("cnt").alias("n_occ"),
+        bigram_prob(F.col("cnt"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lam).alias("prob"),
+    )
+    if weights is not None:
+        probs = probs.join(weights.select("token", F.col("weight").alias("__w")), ["token"], "left").select(
+            "prev", "token", "n_occ", "prob", F.coalesce(F.col("__w"), F.lit(1.0)).alias("weight")
+        )
+    else:
+        probs = probs.withColumn("weight", F.lit(1.0))
+    probs = materialize(probs)
+    scored_occ = occ.filter(F.col("prev").isNotNull())
+    ts = materialize(lookup_join(scored_occ, probs, ["prev", "token"], "n_occ").select(id_col, "pos", "token", "prob", "weight"))
+    n = F.size(tokenizer(F.col(text_col)))
+    others = df.filter(n < F.lit(1 if add_bos else 2)).select(id_col, F.lit(False).alias("failed"))
+    return ts, others

@@ -68,7 +68,7 @@ def doc_lm(spark: SparkSession, sf: str) -> LM.BigramLM:
 
 def doc_row_metrics(spark: SparkSession, sf: str, weighted: bool = False, weights: DataFrame | None = None) -> DataFrame:
     rows = doc_rows(spark, sf)
-    ts, others = LM.score_long(doc_lm(spark, sf), rows, "row_id", "text", weights=weights)
+    ts, others = LM.fit_and_score(rows, "row_id", "text", weights=weights)
     return S.row_metrics_long(ts, ["row_id"], weighted=weighted, others=others)
 
 
@@ -405,7 +405,7 @@ def q_lm_bigram(spark, sf):
 SELECT row_id, count(*) AS n_scored, round(sum(ln(prob)), 6) AS logprob_sum FROM sc GROUP BY row_id""",
 )
 def q_lm_score(spark, sf):
-    ts = LM.token_scores(doc_lm(spark, sf), doc_rows(spark, sf), "row_id", "text")
+    ts, _ = LM.fit_and_score(doc_rows(spark, sf), "row_id", "text")
     return ts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_scored"), r6(F.sum(F.ln("prob"))).alias("logprob_sum"))
 
 
