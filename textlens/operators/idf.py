@@ -24,7 +24,9 @@ ADMIT_PATTERN = "^[A-Za-z0-9_]{2,}$"
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text", tokenizer=tokenize_code, admit: bool = False) -> DataFrame:
-    terms = docs.select(F.explode(F.array_distinct(tokenizer(F.col(text_col)))).alias("term"))
+    terms = docs.select(F.explode_outer(F.array_distinct(tokenizer(F.col(text_col)))).alias("term")).filter(
+        F.col("term").isNotNull()
+    )
     if admit:
         terms = terms.filter(F.col("term").rlike(ADMIT_PATTERN))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -46,7 +48,9 @@ def vocab_weights(vocab: DataFrame, idf_table: DataFrame, token_col: str = "toke
 
     ``agg`` is ``"mean"``, ``"sum"``, ``"max"`` or a grouped-aggregate pandas UDF
     (``Series -> float``) for a custom aggregation."""
-    pieces = vocab.select(F.col(token_col).alias("token"), F.explode(tokenizer(F.col(token_col))).alias("term"))
+    pieces = vocab.select(F.col(token_col).alias("token"), F.explode_outer(tokenizer(F.col(token_col))).alias("term")).filter(
+        F.col("term").isNotNull()
+    )
     known = pieces.join(idf_table.select("term", "idf"), ["term"], "inner")
     if agg == "mean":
         a = F.avg("idf")
@@ -68,4 +72,5 @@ def vocab_weights(vocab: DataFrame, idf_table: DataFrame, token_col: str = "toke
 
 def corpus_vocabulary(docs: DataFrame, text_col: str, tokenizer) -> DataFrame:
     """Distinct tokens of a corpus (the scoring vocabulary)."""
-    return docs.select(F.explode(tokenizer(F.col(text_col))).alias("token")).distinct()
+    toks = docs.select(F.explode_outer(tokenizer(F.col(text_col))).alias("token"))
+    return toks.filter(F.col("token").isNotNull()).distinct()

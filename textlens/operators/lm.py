@@ -83,9 +83,12 @@ def occurrences(
         pairs = F.when(n >= start, F.slice(pairs, start, n - start + 1)).otherwise(
             F.array().cast("array<struct<prev:string,token:string>>")
         )
+    # ``posexplode_outer`` + a filter on the generated column: a plain explode makes the
+    # optimizer infer ``size(input) > 0`` and push it below the input's repartition,
+    # which would tokenise every text twice, once in the scan's tasks.
     exploded = base.select(
-        F.col(id_col), *[F.col(c) for c in extra_cols], (start - 1).alias("__off"), F.posexplode(pairs).alias("__i", "__pt")
-    )
+        F.col(id_col), *[F.col(c) for c in extra_cols], (start - 1).alias("__off"), F.posexplode_outer(pairs).alias("__i", "__pt")
+    ).filter(F.col("__i").isNotNull())
     return exploded.select(
         F.col(id_col),
         *[F.col(c) for c in extra_cols],

@@ -702,7 +702,7 @@ mh_all AS (SELECT d.doc_id, perm.perm, coalesce(mh.v, {_P}) AS v FROM documents
 @register("minhash_signature", f"WITH {_MINHASH_SQL} SELECT doc_id, perm::INTEGER AS perm, v AS minhash FROM mh_all")
 def q_minhash_signature(spark, sf):
     sig = SIM.minhash_signatures(FX.documents(spark, sf), "doc_id", "text")
-    return sig.select("doc_id", F.posexplode("sig").alias("perm", "minhash"))
+    return sig.select("doc_id", F.posexplode_outer("sig").alias("perm", "minhash"))
 
 
 @register(
