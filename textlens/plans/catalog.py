@@ -62,8 +62,16 @@ def doc_rows(spark: SparkSession, sf: str) -> DataFrame:
     return FX.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "text")
 
 
+_LM_CACHE: dict = {}
+
+
 def doc_lm(spark: SparkSession, sf: str) -> LM.BigramLM:
-    return LM.fit_bigram_lm(FX.documents(spark, sf).select("text"), "text")
+    """The document LM is a model artifact: fitted once per application and corpus
+    (its tables are written under the checkpoint folder) and reused by every query."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LM_CACHE:
+        _LM_CACHE[key] = LM.fit_bigram_lm(FX.documents(spark, sf).select("text"), "text")
+    return _LM_CACHE[key]
 
 
 def doc_row_metrics(spark: SparkSession, sf: str, weighted: bool = False, weights: DataFrame | None = None) -> DataFrame:
