@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from textlens.llm.bpe import op8_byte_bpe
 from textlens.llm.rules import op9_quality_rules
+from textlens.llm.secrets import op3_secret_scans
 from textlens.llm.sharding import op2_sharding
 
 QUERIES = {f.__name__: f for f in (
     op2_sharding,
+    op3_secret_scans,
+    op8_byte_bpe,
     op9_quality_rules,
 )}
 
