@@ -44,3 +44,24 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if ``df`` (a few numbers a row) has at most ``rows`` rows,
     counted now; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def chunks(values: list, size: int, measure=len):
+    """(start, stop) of slices of about ``size`` in total measure, one value at least."""
+    first = held = 0
+    for i, x in enumerate(values):
+        if held and held + measure(x) > size:
+            yield first, i
+            first, held = i, 0
+        held += measure(x)
+    if first < len(values):
+        yield first, len(values)
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the least hash of ``key``. A first cut by the hash
+    keeps about twice as many over all tasks, so that no task gathers more than that."""
+    total = df.count()
+    h = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30))
+    near = df.where(h < F.lit(int(min(1.0, 2.0 * rows / max(total, 1)) * (1 << 30))))
+    return near.orderBy(h, key).limit(rows)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from textlens.llm.bpe import op8_byte_bpe
+from textlens.llm.quality import op1_quality_classifier
 from textlens.llm.rules import op9_quality_rules
 from textlens.llm.secrets import op3_secret_scans
 from textlens.llm.sharding import op2_sharding
 from textlens.llm.suffix_lm import op10_lm_scoring
 
 QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier,
     op2_sharding,
     op3_secret_scans,
     op8_byte_bpe,
