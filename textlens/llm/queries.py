@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textlens.llm.bpe import op8_byte_bpe
+from textlens.llm.language import op7_language_id
 from textlens.llm.quality import op1_quality_classifier
 from textlens.llm.rules import op9_quality_rules
 from textlens.llm.secrets import op3_secret_scans
@@ -13,6 +14,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_classifier,
     op2_sharding,
     op3_secret_scans,
+    op7_language_id,
     op8_byte_bpe,
     op9_quality_rules,
     op10_lm_scoring,
