@@ -9,11 +9,13 @@ from textlens.llm.rules import op9_quality_rules
 from textlens.llm.secrets import op3_secret_scans
 from textlens.llm.sharding import op2_sharding
 from textlens.llm.suffix_lm import op10_lm_scoring
+from textlens.llm.vector_dedup import op6_embedding_dedup
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier,
     op2_sharding,
     op3_secret_scans,
+    op6_embedding_dedup,
     op7_language_id,
     op8_byte_bpe,
     op9_quality_rules,
