@@ -5,6 +5,7 @@ from __future__ import annotations
 from textlens.llm.bpe import op8_byte_bpe
 from textlens.llm.jaccard_join import op5_jaccard_join
 from textlens.llm.language import op7_language_id
+from textlens.llm.mixing import op4_source_mixing
 from textlens.llm.quality import op1_quality_classifier
 from textlens.llm.rules import op9_quality_rules
 from textlens.llm.secrets import op3_secret_scans
@@ -16,6 +17,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_classifier,
     op2_sharding,
     op3_secret_scans,
+    op4_source_mixing,
     op5_jaccard_join,
     op6_embedding_dedup,
     op7_language_id,
