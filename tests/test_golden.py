@@ -1,5 +1,5 @@
-"""Golden scoring: the reference's recorded probability arrays must reproduce its
-recorded perplexities, longest runs and filtered-token shares at all 12 thresholds."""
+"""Golden scoring: recorded probability arrays must reproduce the recorded perplexities,
+longest runs and filtered-token shares at all 12 thresholds."""
 
 import math
 
@@ -10,7 +10,7 @@ from textlens.functions.metrics import DEFAULT_THRESHOLDS
 from textlens.operators import lm as LM
 from textlens.operators import scoring as S
 
-# Golden per-token probabilities (python and rust rows, prediction and source).
+# --- fixed values: recorded per-token probabilities (two rows, prediction and source) ---
 GOLDEN = {
     (1, "prediction"): [0.7971671223640442, 0.34823089838027954, 0.5217762589454651, 0.5119389295578003,
                         0.2902586758136749, 0.4713563621044159, 0.7499223351478577],
@@ -21,6 +21,7 @@ GOLDEN = {
                     0.03553945571184158, 1.3593200492323376e-05, 0.5420088171958923, 0.06376860290765762,
                     0.09773667901754379, 0.5682585835456848, 0.9839205145835876, 0.041648756712675095],
 }
+# --- end of fixed values ---
 
 
 def _scores_df(spark):
@@ -43,6 +44,7 @@ def _metrics(spark):
     return {(r.row_id, r.side, r.threshold): r for r in rm.collect()}
 
 
+# --- fixed values: recorded results ---
 EXPECTED_PPL = {
     (1, "prediction"): {1.01: 2.0075912475585938, 0.999: 2.0075912475585938, 0.99: 2.0075912475585938,
                         0.98: 2.0075912475585938, 0.97: 2.0075912475585938, 0.96: 2.0075912475585938,
@@ -64,6 +66,10 @@ EXPECTED_RUN = {
     (2, "source"): {0.98: 1 / 12, 0.97: 1 / 12, 0.96: 1 / 12, 0.95: 1 / 12, 0.9: 1 / 12, 0.8: 1 / 12,
                     0.7: 1 / 12, 0.6: 1 / 12, 0.5: 2 / 12},
 }
+SOURCE_SHARE = [0.0, 0.0, 0.0, 0.0476190476, 0.0476190476, 0.0476190476, 0.0476190476, 0.0476190476,
+                0.1904761905, 0.1904761905, 0.1904761905, 0.2857142857]
+PREDICTION_SHARE = [0.0] * 9 + [0.2857142857, 0.2857142857, 0.5714285713]
+# --- end of fixed values ---
 
 
 def test_golden_perplexity_and_runs(spark):
@@ -84,19 +90,16 @@ def test_golden_perplexity_and_runs(spark):
 def test_golden_shares(spark):
     rm = S.row_metrics(_arrays(spark))
     share = {r.threshold: r for r in S.paired_share(rm).collect()}
-    src = [0.0, 0.0, 0.0, 0.0476190476, 0.0476190476, 0.0476190476, 0.0476190476, 0.0476190476,
-           0.1904761905, 0.1904761905, 0.1904761905, 0.2857142857]
-    pred = [0.0] * 9 + [0.2857142857, 0.2857142857, 0.5714285713]
     for i, t in enumerate(DEFAULT_THRESHOLDS):
-        assert share[t].source_filtered_token_percentage == pytest.approx(src[i], abs=5e-10)
-        assert share[t].filtered_token_percentage == pytest.approx(pred[i], abs=5e-10)
+        assert share[t].source_filtered_token_percentage == pytest.approx(SOURCE_SHARE[i], abs=5e-10)
+        assert share[t].filtered_token_percentage == pytest.approx(PREDICTION_SHARE[i], abs=5e-10)
 
 
 def test_long_form_equals_array_form(spark):
     """The relational row metrics (window + aggregate) equal the array expressions."""
-    ts = _scores_df(spark).withColumn("weight", F.lit(1.0))
-    others = spark.createDataFrame([(2, "prediction", False)], "row_id long, side string, failed boolean")
-    lf = {(r.row_id, r.side, r.threshold): r for r in S.row_metrics_long(ts, ["row_id", "side"], others=others).collect()}
+    empty = spark.createDataFrame([(2, "prediction", None, None, None)], _scores_df(spark).schema)
+    ts = _scores_df(spark).union(empty).withColumn("weight", F.lit(1.0))
+    lf = {(r.row_id, r.side, r.threshold): r for r in S.row_metrics_long(ts, ["row_id", "side"]).collect()}
     af = _metrics(spark)
     assert lf.keys() == af.keys()
     for k, a in af.items():
@@ -110,7 +113,7 @@ def test_long_form_equals_array_form(spark):
 
 
 def test_threshold_filtering_two_tokens(spark):
-    """Softmax probabilities of the reference's threshold test, at 0.2: one of two
+    """Probabilities on both sides of a threshold, at 0.2: one of two
     tokens kept per row, totals [2, 2], filtered [1, 1], longest run 0.5."""
     rows = [(r, i + 1, "x", p) for r in (1, 2) for i, p in enumerate([0.2188, 0.1148])]
     df = spark.createDataFrame(rows, "row_id long, pos int, token string, prob double")

@@ -32,15 +32,18 @@ def kept(scores, t) -> Column:
 
 
 def total_tokens(scores) -> Column:
-    return F.size(_c(scores)).cast("bigint")
+    s = _c(scores)
+    return F.when(s.isNotNull(), F.size(s).cast("bigint"))  # size(NULL) is -1 without ANSI mode
 
 
 def filtered_tokens(scores, t) -> Column:
-    return F.size(F.filter(_c(scores), lambda x: x["prob"] >= t)).cast("bigint")
+    s = _c(scores)
+    return F.when(s.isNotNull(), F.size(F.filter(s, lambda x: x["prob"] >= t)).cast("bigint"))
 
 
 def kept_tokens(scores, t) -> Column:
-    return F.size(kept(scores, t)).cast("bigint")
+    s = _c(scores)
+    return F.when(s.isNotNull(), F.size(kept(s, t)).cast("bigint"))
 
 
 def perplexity(scores, t, weighted: bool = False) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.metrics import DEFAULT_IDF_WEIGHT
 from textlens.functions.text import tokenize_code
+from textlens.operators.skew import lookup_join, with_freq
 
 # --- fixed values ---------------------------------------------------------------------
 # Term admission of the default vectorizer: two or more word characters.
@@ -51,7 +52,9 @@ def vocab_weights(vocab: DataFrame, idf_table: DataFrame, token_col: str = "toke
     pieces = vocab.select(F.col(token_col).alias("token"), F.explode_outer(tokenizer(F.col(token_col))).alias("term")).filter(
         F.col("term").isNotNull()
     )
-    known = pieces.join(idf_table.select("term", "idf"), ["term"], "inner")
+    # a frequent piece ("." or ",") occurs in a large share of a word vocabulary: salted
+    table = with_freq(pieces, idf_table.select("term", "idf"), ["term"]).filter(F.col("idf").isNotNull())
+    known = lookup_join(pieces, table, ["term"], "__freq")
     if agg == "mean":
         a = F.avg("idf")
     elif agg == "sum":

@@ -22,11 +22,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlens.functions.metrics import DEFAULT_IDF_WEIGHT
 from textlens.functions.text import BOS, tokenize_words
-from textlens.operators.skew import lookup_join
+from textlens.operators.skew import lookup_join, with_freq
 from textlens.session import materialize
 
 # Interpolation weight of the bigram estimate.
@@ -61,9 +62,11 @@ def occurrences(
     prompt_col: str | None = None,
     scored_only: bool = True,
     extra_cols: tuple[str, ...] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
     """One row per (scored) token: ``id_col, pos, prev, token`` (pos is 1-based in the
-    text's token sequence).
+    text's token sequence). With ``keep_empty`` a row without such a token gives one row
+    with NULL ``pos``, so that one pass yields every input row.
 
     With ``scored_only`` the sequence is sliced *before* the explode to the positions the
     model scores (prompt excluded, first token dropped without a start token)."""
@@ -88,7 +91,9 @@ def occurrences(
     # which would tokenise every text twice, once in the scan's tasks.
     exploded = base.select(
         F.col(id_col), *[F.col(c) for c in extra_cols], (start - 1).alias("__off"), F.posexplode_outer(pairs).alias("__i", "__pt")
-    ).filter(F.col("__i").isNotNull())
+    )
+    if not keep_empty:
+        exploded = exploded.filter(F.col("__i").isNotNull())
     return exploded.select(
         F.col(id_col),
         *[F.col(c) for c in extra_cols],
@@ -105,6 +110,26 @@ def first_scored_position(df: DataFrame, prompt_col: str | None, tokenizer, add_
     return p + F.lit(1 if add_bos else 2)
 
 
+def long_enough(text: Column, tokenizer=tokenize_words, add_bos: bool = True) -> Column:
+    """Whether a text can be scored: one token with the start token, two without."""
+    return F.size(tokenizer(text)) >= F.lit(1 if add_bos else 2)
+
+
+def split_valid(df: DataFrame, text_col: str = "text", tokenizer=tokenize_words, add_bos: bool = True):
+    """(rows that can be scored, the others with a ``reason``)."""
+    marked = df.withColumn("__ok", long_enough(F.coalesce(F.col(text_col), F.lit("")), tokenizer, add_bos))
+    why = F.lit(f"fewer than {1 if add_bos else 2} tokens")
+    return marked.filter("__ok").drop("__ok"), marked.filter("NOT __ok").drop("__ok").withColumn("reason", why)
+
+
+def prompt_mismatches(dataset: DataFrame, results: DataFrame, key: str = "row_id", prompt: str = "prompt") -> DataFrame:
+    """Rows of ``results`` whose prompt is not that of the dataset row with their key (also
+    where the dataset has no such row): ``key, prompt, expected``."""
+    want = dataset.select(key, F.col(prompt).alias("expected"))
+    got = results.select(key, prompt).join(want, [key], "left")
+    return got.filter(~F.col(prompt).eqNullSafe(F.col("expected")))
+
+
 def fit_bigram_lm(
     df: DataFrame,
     text_col: str = "text",
@@ -133,30 +158,32 @@ def bigram_prob(cb: Column, cc: Column, cu: Column, n: Column, v: Column, lam: f
     return F.when(cc.isNotNull() & (cc > 0), lam_c * bi + one_minus * uni).otherwise(uni)
 
 
+def with_weights(probs: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """Adds ``weight``: 1.0 without weighting, else the token's weight, and the default of an
+    unknown vocabulary entry (0.001) for a token that ``weights`` lacks."""
+    if weights is None:
+        return probs.withColumn("weight", F.lit(1.0))
+    table = with_freq(probs, weights.select("token", F.col("weight").cast("double").alias("weight")), ["token"])
+    table = table.withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_IDF_WEIGHT)))
+    return lookup_join(probs, table, ["token"], "__freq")
+
+
 def pair_probabilities(lm: BigramLM, pairs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Score each distinct (prev, token) pair that the texts use.
 
     ``pairs``: ``prev, token, n_occ``. The joins run on distinct keys (one row per pair or
-    token), so their size is bounded by the vocabulary, not by the corpus."""
-    j = (
-        pairs.join(lm.bigrams.withColumnRenamed("cnt", "cb"), ["prev", "token"], "left")
-        .join(lm.contexts.withColumnRenamed("ctx_cnt", "cc"), ["prev"], "left")
-        .join(lm.unigrams.withColumnRenamed("cnt", "cu"), ["token"], "left")
-        .crossJoin(F.broadcast(lm.totals))
-    )
-    out = j.select(
+    token), so their size is bounded by the vocabulary, not by the corpus; those on one
+    token, which many pairs can share, are salted."""
+    j = pairs.join(lm.bigrams.withColumnRenamed("cnt", "cb"), ["prev", "token"], "left")
+    j = lookup_join(j, with_freq(pairs, lm.contexts.withColumnRenamed("ctx_cnt", "cc"), ["prev"]), ["prev"], "__freq")
+    j = lookup_join(j, with_freq(pairs, lm.unigrams.withColumnRenamed("cnt", "cu"), ["token"]), ["token"], "__freq")
+    out = j.crossJoin(F.broadcast(lm.totals)).select(
         "prev",
         "token",
         "n_occ",
         bigram_prob(F.col("cb"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lm.lam).alias("prob"),
     )
-    if weights is not None:
-        out = out.join(weights.select("token", F.col("weight").alias("__w")), ["token"], "left").select(
-            "prev", "token", "n_occ", "prob", F.coalesce(F.col("__w"), F.lit(1.0)).alias("weight")
-        )
-    else:
-        out = out.withColumn("weight", F.lit(1.0))
-    return out
+    return with_weights(out, weights)
 
 
 def token_scores(
@@ -169,21 +196,26 @@ def token_scores(
     add_bos: bool = True,
     weights: DataFrame | None = None,
     extra_cols: tuple[str, ...] = (),
+    keep_empty: bool = False,
 ) -> DataFrame:
-    """Long-form ``token_scores``: ``id_col, [extra], pos, token, prob, weight``.
-
-    Two occurrence-level shuffles at most: the skew-aware lookup of each occurrence's
-    pair probability (hot pairs resolved map-side from a bounded broadcast)."""
-    occ = occurrences(df, id_col, text_col, tokenizer, add_bos, prompt_col, True, extra_cols)
-    pairs = occ.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_occ"))
+    """Long-form ``token_scores``: ``id_col, [extra], pos, token, prob, weight``; with
+    ``keep_empty`` one row with NULL ``pos`` and ``prob`` for each input row without a scored
+    token.
+
+    The texts are read once for their distinct pairs and once for the join of each
+    occurrence with its pair's probability, which is the only shuffle of occurrences."""
+    args = (df, id_col, text_col, tokenizer, add_bos, prompt_col, True, extra_cols)
+    pairs = materialize(occurrences(*args).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_occ")))
     probs = materialize(pair_probabilities(lm, pairs, weights))
-    scored = lookup_join(occ, probs, ["prev", "token"], "n_occ")
-    return materialize(scored.select(id_col, *extra_cols, "pos", "token", "prob", "weight"))
+    occ = occurrences(*args, keep_empty=keep_empty)
+    scored = lookup_join(occ, probs, ["prev", "token"], "n_occ", how="left" if keep_empty else "inner")
+    return scored.select(id_col, *extra_cols, "pos", "token", "prob", "weight")
 
 
 def assemble_scores(scores: DataFrame, id_cols: list[str]) -> DataFrame:
     """Re-assemble long-form scores into one ordered array per row:
-    ``id_cols, scores`` (``array<struct<pos, token, prob, weight>>`` sorted by ``pos``).
+    ``id_cols, scores`` (``array<struct<pos, token, prob, weight>>`` sorted by ``pos``;
+    empty for a row whose only ``pos`` is NULL).
 
     A row's array is bounded by the row's own text length."""
     if "weight" not in scores.columns:
@@ -191,12 +223,12 @@ def assemble_scores(scores: DataFrame, id_cols: list[str]) -> DataFrame:
     return scores.groupBy(*id_cols).agg(
         F.array_sort(
             F.collect_list(
-                F.struct(
+                F.when(F.col("pos").isNotNull(), F.struct(
                     F.col("pos").cast("int").alias("pos"),
                     F.col("token"),
                     F.col("prob").cast("double").alias("prob"),
                     F.col("weight").cast("double").alias("weight"),
-                )
+                ))
             )
         ).alias("scores")
     )
@@ -212,33 +244,11 @@ def score_rows(
     add_bos: bool = True,
     weights: DataFrame | None = None,
     extra_cols: tuple[str, ...] = (),
-    max_context: int | None = None,
 ) -> DataFrame:
-    """Per-row score arrays: ``id_col, [extra], scores``; every input row appears once.
-
-    Rows with nothing to score get an empty array. With ``max_context`` a row whose full
-    sequence is longer than the model's context fails: its ``scores`` is NULL (the input
-    of the failed-row imputation)."""
-    keys = [id_col, *extra_cols]
-    n_full = F.size(tokenizer(F.col(text_col))) + F.lit(1 if add_bos else 0)
-    start = first_scored_position(df, prompt_col, tokenizer, add_bos)
-    n_scored = F.greatest(n_full - F.lit(1 if add_bos else 0) - start + F.lit(1), F.lit(0))
-    flagged = df.select(
-        *keys,
-        text_col,
-        *([prompt_col] if prompt_col else []),
-        n_scored.alias("__n"),
-        (n_full > F.lit(max_context) if max_context else F.lit(False)).alias("__fail"),
-    )
-    work = flagged.filter((F.col("__n") > 0) & ~F.col("__fail"))
-    scored = assemble_scores(
-        token_scores(lm, work, id_col, text_col, prompt_col, tokenizer, add_bos, weights, tuple(extra_cols)), keys
-    )
-    empty = flagged.filter((F.col("__n") == 0) | F.col("__fail")).select(
-        *keys,
-        F.when(F.col("__fail"), F.lit(None)).otherwise(F.array()).cast(SCORE_STRUCT).alias("scores"),
-    )
-    return scored.unionByName(empty)
+    """Per-row score arrays: ``id_col, [extra], scores``; every input row appears once, with
+    an empty array if it has nothing to score."""
+    return assemble_scores(score_long(lm, df, id_col, text_col, prompt_col, tokenizer, add_bos, weights, extra_cols),
+                           [id_col, *extra_cols])
 
 
 def score_long(
@@ -251,28 +261,17 @@ def score_long(
     add_bos: bool = True,
     weights: DataFrame | None = None,
     extra_cols: tuple[str, ...] = (),
-    max_context: int | None = None,
-):
-    """Long-form scores of the rows that have something to score, and the other rows.
-
-    Returns ``(ts, others)``: ``ts`` = ``id_col, [extra], pos, token, prob, weight``;
-    ``others`` = ``id_col, [extra], failed`` for rows with no scored token (``failed`` when
-    the full sequence exceeds ``max_context``)."""
-    keys = [id_col, *extra_cols]
-    n_full = F.size(tokenizer(F.col(text_col))) + F.lit(1 if add_bos else 0)
-    start = first_scored_position(df, prompt_col, tokenizer, add_bos)
-    n_scored = F.greatest(n_full - F.lit(1 if add_bos else 0) - start + F.lit(1), F.lit(0))
-    flagged = df.select(
-        *keys,
-        text_col,
-        *([prompt_col] if prompt_col else []),
-        n_scored.alias("__n"),
-        (n_full > F.lit(max_context) if max_context else F.lit(False)).alias("failed"),
-    )
-    work = flagged.filter((F.col("__n") > 0) & ~F.col("failed"))
-    ts = token_scores(lm, work, id_col, text_col, prompt_col, tokenizer, add_bos, weights, tuple(extra_cols))
-    others = flagged.filter((F.col("__n") == 0) | F.col("failed")).select(*keys, "failed")
-    return ts, others
+) -> DataFrame:
+    """``token_scores`` of every input row: rows without a scored token have one row with
+    NULL ``pos``."""
+    return token_scores(lm, df, id_col, text_col, prompt_col, tokenizer, add_bos, weights, tuple(extra_cols), True)
+
+
+def mark_failed(rows: DataFrame, failed: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``failed``: whether the scorer reported an error for the row (its keys are in
+    ``failed``, one row for each)."""
+    return rows.join(failed.select(*keys, F.lit(True).alias("failed")), keys, "left").withColumn(
+        "failed", F.coalesce("failed", F.lit(False)))
 
 
 def tokens_and_probs(lm: BigramLM, df: DataFrame, id_col: str, text_col: str, as_log_probs: bool = False,
@@ -293,8 +292,10 @@ def drop_special(pairs: Column, specials=None) -> Column:
 
 
 def validate_scores(scores: DataFrame) -> DataFrame:
-    """Rows of an external ``token_scores`` table whose probability is outside (0, 1]."""
-    return scores.filter(F.col("prob").isNull() | (F.col("prob") <= 0) | (F.col("prob") > 1))
+    """Rows of an external ``token_scores`` table whose probability is outside (0, 1]; a row
+    with NULL ``pos`` says that nothing was to be scored and is valid."""
+    p = F.col("prob")
+    return scores.filter(F.col("pos").isNotNull() & (p.isNull() | F.isnan(p) | (p <= 0) | (p > 1)))
 
 
 def fit_and_score(
@@ -305,39 +306,28 @@ def fit_and_score(
     add_bos: bool = True,
     lam: float = DEFAULT_LAMBDA,
     weights: DataFrame | None = None,
-):
+) -> DataFrame:
     """In-sample scoring: fit the LM on the texts of ``df`` and score those same texts
-    (no prompt), with one pass over the occurrences.
+    (no prompt).
 
     Every scored (prev, token) pair is then a bigram of the model, so the bigram table
-    doubles as the pair table: context and unigram counts are two window sums over it
-    (partitioned by ``prev`` and by ``token``, both bounded by the vocabulary) instead of
-    an aggregate and a join each. Returns ``(ts, others)`` like ``score_long``."""
+    doubles as the pair table: context and unigram counts are two partially aggregated
+    counts of it, joined back with salts (a frequent token has many neighbours). Returns
+    the scores like ``score_long``."""
     occ = occurrences(df, id_col, text_col, tokenizer, add_bos, None, scored_only=False)
     all_pairs = materialize(occ.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cnt")))
     totals = all_pairs.agg(F.sum("cnt").alias("n_tokens"), F.count_distinct("token").alias("n_types"))
-    counted = all_pairs.select(
-        "prev",
-        "token",
-        "cnt",
-        F.sum("cnt").over(Window.partitionBy("token")).alias("cu"),
-        F.sum("cnt").over(Window.partitionBy("prev")).alias("cc"),
-    ).filter(F.col("prev").isNotNull())
+    uni = all_pairs.groupBy("token").agg(F.sum("cnt").alias("cu"), F.count(F.lit(1)).alias("__freq"))
+    seen = all_pairs.filter(F.col("prev").isNotNull())
+    ctx = seen.groupBy("prev").agg(F.sum("cnt").alias("cc"), F.count(F.lit(1)).alias("__freq"))
+    counted = lookup_join(lookup_join(seen, uni, ["token"], "__freq"), ctx, ["prev"], "__freq")
     probs = counted.crossJoin(F.broadcast(totals)).select(
         "prev",
         "token",
         F.col("cnt").alias("n_occ"),
         bigram_prob(F.col("cnt"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lam).alias("prob"),
     )
-    if weights is not None:
-        probs = probs.join(weights.select("token", F.col("weight").alias("__w")), ["token"], "left").select(
-            "prev", "token", "n_occ", "prob", F.coalesce(F.col("__w"), F.lit(1.0)).alias("weight")
-        )
-    else:
-        probs = probs.withColumn("weight", F.lit(1.0))
-    probs = materialize(probs)
-    scored_occ = occ.filter(F.col("prev").isNotNull())
-    ts = materialize(lookup_join(scored_occ, probs, ["prev", "token"], "n_occ").select(id_col, "pos", "token", "prob", "weight"))
-    n = F.size(tokenizer(F.col(text_col)))
-    others = df.filter(n < F.lit(1 if add_bos else 2)).select(id_col, F.lit(False).alias("failed"))
-    return ts, others
+    probs = materialize(with_weights(probs, weights))
+    scored_occ = occurrences(df, id_col, text_col, tokenizer, add_bos, None, True, keep_empty=True)
+    return lookup_join(scored_occ, probs, ["prev", "token"], "n_occ", how="left").select(
+        id_col, "pos", "token", "prob", "weight")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions import metrics as M
+from textlens.session import materialize
 
 ROW_METRIC_COLS = ["total_tokens", "filtered_tokens", "perplexity", "longest_run"]
 
@@ -55,77 +56,55 @@ def row_metrics_long(
     keys: list[str],
     thresholds=M.DEFAULT_THRESHOLDS,
     weighted: bool = False,
-    others: DataFrame | None = None,
 ) -> DataFrame:
     """Row metrics straight from long-form token scores ``keys.., pos, prob, weight``,
-    without assembling arrays:
-
-    * counts and negative log-likelihood sums for all thresholds in one hash aggregate
-      (partial aggregation map-side, code-generated);
-    * longest filtered run: one window pass per row computes, for every threshold, the
-      number of kept tokens up to each position; consecutive filtered tokens share that
-      number, so a run is a group of (row, threshold, kept-so-far) and the longest run is
-      the largest such group. Window, group and join all reuse the partitioning on
-      ``keys``.
-
-    ``others`` (``keys.., failed``) lists rows without scored tokens: they get zero
-    counts, NULL perplexity and a run of 0.0 (NULL when ``failed``).
+    without assembling arrays, in one pass over them:
+
+    * one window per row gives, for every threshold, the last kept position up to each
+      token; a filtered token ends a run as long as its distance from it;
+    * one aggregate on the same partitioning takes counts, negative log-likelihood sums and
+      the longest run of all thresholds.
+
+    A row with nothing to score has one row with NULL ``pos``: it gets zero counts, NULL
+    perplexity and a run of 0.0.
     Output: ``keys.., threshold_idx, threshold, total_tokens, filtered_tokens, perplexity,
     longest_run``.
     """
     p = F.col("prob")
     nll = -F.ln(p) * F.col("weight") if weighted else -F.ln(p)
     ths = [float(t) for t in thresholds]
-    aggs = [F.count(F.lit(1)).alias("__n")]
+    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = ts.select(
+        *keys,
+        "prob",
+        "weight",
+        *[(F.col("pos") - F.coalesce(F.max(F.when(p < F.lit(t), F.col("pos"))).over(w), F.min("pos").over(w) - 1)).alias(f"__r{j}")
+          for j, t in enumerate(ths)],
+    )
+    aggs = [F.count("prob").alias("__n")]
     for j, t in enumerate(ths):
         kept = p < F.lit(t)
-        aggs += [F.count(F.when(kept, F.lit(1))).alias(f"__k{j}"), F.sum(F.when(kept, nll)).alias(f"__s{j}")]
-    base = ts.groupBy(*keys).agg(*aggs)
+        aggs += [F.count(F.when(kept, F.lit(1))).alias(f"__k{j}"), F.sum(F.when(kept, nll)).alias(f"__s{j}"),
+                 F.max(f"__r{j}").alias(f"__b{j}")]
+    base = runs.groupBy(*keys).agg(*aggs)
     long = base.select(
         *keys,
         "__n",
         F.posexplode(
-            F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"__k{j}").alias("k"), F.col(f"__s{j}").alias("s")) for j, t in enumerate(ths)])
+            F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"__k{j}").alias("k"), F.col(f"__s{j}").alias("s"),
+                               F.col(f"__b{j}").alias("b")) for j, t in enumerate(ths)])
         ).alias("threshold_idx", "__m"),
     )
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kb = ts.select(
-        *keys,
-        *[F.when(p >= F.lit(t), F.sum(F.when(p < F.lit(t), F.lit(1)).otherwise(F.lit(0))).over(w)).alias(f"__kb{j}") for j, t in enumerate(ths)],
-    )
-    runs = (
-        kb.select(*keys, F.posexplode(F.array(*[F.col(f"__kb{j}") for j in range(len(ths))])).alias("threshold_idx", "__kb"))
-        .filter(F.col("__kb").isNotNull())
-        .groupBy(*keys, "threshold_idx", "__kb")
-        .agg(F.count(F.lit(1)).alias("__len"))
-        .groupBy(*keys, "threshold_idx")
-        .agg(F.max("__len").alias("__best"))
-    )
-    j = long.join(runs, [*keys, "threshold_idx"], "left")
     k = F.col("__m.k")
-    out = j.select(
+    return long.select(
         *keys,
         "threshold_idx",
         F.col("__m.t").alias("threshold"),
         F.col("__n").alias("total_tokens"),
         (F.col("__n") - k).alias("filtered_tokens"),
         F.when(k > 0, F.exp(F.col("__m.s") / k)).alias("perplexity"),
-        (F.coalesce(F.col("__best"), F.lit(0)) / F.col("__n")).alias("longest_run"),
+        F.when(F.col("__n") > 0, F.col("__m.b") / F.col("__n")).otherwise(F.lit(0.0)).alias("longest_run"),
     )
-    if others is not None:
-        fan = others.select(*keys, "failed", F.posexplode(thresholds_col(ths)).alias("threshold_idx", "threshold"))
-        out = out.unionByName(
-            fan.select(
-                *keys,
-                "threshold_idx",
-                "threshold",
-                F.lit(0).cast("bigint").alias("total_tokens"),
-                F.lit(0).cast("bigint").alias("filtered_tokens"),
-                F.lit(None).cast("double").alias("perplexity"),
-                F.when(~F.col("failed"), F.lit(0.0)).alias("longest_run"),
-            )
-        )
-    return out
 
 
 def corpus_metrics(rows: DataFrame, group_cols=("threshold",)) -> DataFrame:
@@ -142,18 +121,19 @@ def sample_probs(scored: DataFrame, id_cols) -> DataFrame:
 
 
 def impute_failed(rows: DataFrame, order_col: str = "row_id", value_cols=("perplexity", "longest_run"),
-                  group_cols=("threshold",), block_rows: int = 1 << 20) -> DataFrame:
+                  group_cols=("threshold",), partitions: int | None = None) -> DataFrame:
     """Fill the metrics of failed rows (``failed`` = true) with the mean of the values of
     all earlier rows (by ``order_col``) at the same threshold; NULL values are ignored
     like a NaN-ignoring mean and a row with no earlier value stays NULL. Imputed values
     never change a later mean, so only successful rows feed the prefix sums.
 
-    Two-level prefix sum, so no window runs over all rows in one task: rows are cut into
-    id blocks of ``block_rows`` ids (ids are unique, so a block holds at most that many
-    rows); per-block sums are prefixed over the small block table, then a window inside
-    each block adds the in-block part."""
-    blk = F.floor(F.col(order_col) / F.lit(block_rows)).cast("bigint")
-    df = rows.withColumn("__blk", blk)
+    Two-level prefix sum, so no window runs over all rows in one task: a range partitioning
+    by ``order_col`` cuts the rows into even blocks for any distribution of ids (its
+    partition number is the block, written once); per-block sums are prefixed over the small
+    block table, then a window inside each block adds the in-block part."""
+    spark = rows.sparkSession
+    n_blocks = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = materialize(rows.repartitionByRange(n_blocks, order_col).withColumn("__blk", F.spark_partition_id()))
     g = list(group_cols)
     ok = ~F.col("failed")
     aggs = []
@@ -188,6 +168,15 @@ def impute_failed(rows: DataFrame, order_col: str = "row_id", value_cols=("perpl
     return j.select(*out_cols)
 
 
+def failed_probs(scored: DataFrame) -> DataFrame:
+    """``token_probabilities`` and ``tfidf_scaled_token_probabilities`` of rows with a column
+    ``failed``: a single 0 for a failed row, the scored ones otherwise."""
+    zero = F.array(F.lit(0.0))
+    bad = F.col("failed")
+    return scored.withColumn("token_probabilities", F.when(bad, zero).otherwise(M.probs(F.col("scores")))).withColumn(
+        "tfidf_scaled_token_probabilities", F.when(bad, zero).otherwise(M.scaled_probs(F.col("scores"))))
+
+
 def wide_name(t: float, metric: str, side: str | None = None) -> str:
     side_part = f"{side}_" if side and side != "prediction" else ""
     return f"{t}_{side_part}{metric}"
@@ -212,6 +201,16 @@ def results_wide(scored: DataFrame, id_col: str, thresholds=M.DEFAULT_THRESHOLDS
     return scored.select(*cols)
 
 
+def wide_from_long(rows: DataFrame, id_col: str, thresholds=M.DEFAULT_THRESHOLDS, side: str | None = None) -> DataFrame:
+    """The wide metric columns from row metrics (one aggregate), imputed values included."""
+    cols = []
+    for i, t in enumerate(thresholds):
+        at = F.col("threshold_idx") == i
+        cols.append(F.max(F.when(at, F.col("perplexity"))).alias(wide_name(t, "perplexity", side)))
+        cols.append(F.max(F.when(at, F.col("longest_run"))).alias(wide_name(t, "longest_filtered_sequence", side)))
+    return rows.groupBy(id_col).agg(*cols)
+
+
 def paired_share(rows: DataFrame, has_source: bool = True) -> DataFrame:
     """Prediction vs source filtered-token share per threshold (conditional aggregation on
     ``side``); the source column is NULL when the dataset has no source."""

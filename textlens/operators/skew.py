@@ -5,9 +5,10 @@ boilerplate shingle bucket) can hold a large share of all rows. A plain shuffle
 sends every row of such a key to one task. Here the lookup carries, per key, the number
 of fact rows that use it (``freq``). Keys holding at least ``hot_fraction`` of all rows
 are *hot*; since the frequencies sum to the total, there are at most ``1/hot_fraction``
-hot keys, so broadcasting them has a proven size bound. Hot rows are resolved map-side
-against that broadcast; only the remaining rows shuffle, and no remaining key holds more
-than ``hot_fraction`` of the rows.
+hot keys and at most twice as many salts, so broadcasting the hot keys with their number
+of salts has a proven bound. A fact row of a hot key draws one of the key's salts, the
+lookup row is repeated for each, and one join on key and salt does the rest: the fact
+table is evaluated once, and no (key, salt) holds more than ``hot_fraction`` of its rows.
 """
 
 from __future__ import annotations
@@ -19,18 +20,15 @@ from pyspark.sql import functions as F
 HOT_FRACTION = 5e-5
 
 
-def split_hot(lookup: DataFrame, freq_col: str, hot_fraction: float = HOT_FRACTION):
-    """Split ``lookup`` into (hot, cold) by the share of ``freq_col`` each key holds.
+def hot_salts(lookup: DataFrame, keys: list[str], freq_col: str, hot_fraction: float = HOT_FRACTION) -> DataFrame:
+    """``keys, __salts``: the hot keys and the number of parts their rows are cut into.
 
-    The total is a one-row aggregate joined as a broadcast constant (no driver round trip).
-    """
-    total = lookup.agg(F.sum(freq_col).alias("__total"))
-    marked = lookup.crossJoin(F.broadcast(total)).withColumn(
-        "__hot", F.col(freq_col) >= F.col("__total") * F.lit(float(hot_fraction))
-    )
-    hot = marked.filter(F.col("__hot")).drop("__total", "__hot")
-    cold = marked.filter(~F.col("__hot")).drop("__total", "__hot")
-    return hot, cold
+    The total is a one-row aggregate joined as a broadcast constant (no driver round trip)."""
+    total = lookup.agg((F.sum(freq_col) * F.lit(float(hot_fraction))).alias("__share"))
+    salts = F.ceil(F.col(freq_col) / F.col("__share")).cast("int")
+    return lookup.select(*keys, freq_col).crossJoin(F.broadcast(total)).filter(
+        F.col(freq_col) >= F.col("__share")
+    ).select(*keys, salts.alias("__salts"))
 
 
 def lookup_join(
@@ -44,24 +42,24 @@ def lookup_join(
     """Join ``big`` to ``lookup`` on ``keys`` (``how`` is ``inner`` or ``left``).
 
     Output columns: ``big``'s columns, then ``lookup``'s value columns (``freq_col``
-    dropped).
-    """
+    dropped)."""
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
     values = [c for c in lookup.columns if c not in keys and c != freq_col]
-    hot, cold = split_hot(lookup, freq_col, hot_fraction)
-    hot_side = hot.select(
-        *keys, *[F.col(v).alias("__hot_" + v) for v in values], F.lit(True).alias("__is_hot")
-    )
-    marked = big.join(F.broadcast(hot_side), keys, "left")
-    big_cols = big.columns
-    hot_rows = marked.filter(F.col("__is_hot")).select(
-        *big_cols, *[F.col("__hot_" + v).alias(v) for v in values]
+    salts = F.broadcast(hot_salts(lookup, keys, freq_col, hot_fraction))
+    others = [F.col(c) for c in big.columns if c not in keys]
+    dealt = big.join(salts, keys, "left").select(
+        *big.columns, F.pmod(F.xxhash64(*others), F.coalesce("__salts", F.lit(1))).cast("int").alias("__salt")
     )
-    cold_rows = (
-        marked.filter(F.col("__is_hot").isNull())
-        .select(*big_cols)
-        .join(cold.drop(freq_col), keys, how)
-        .select(*big_cols, *values)
+    last = F.coalesce("__salts", F.lit(1)) - 1
+    repeated = lookup.join(salts, keys, "left").select(
+        *keys, *values, F.explode(F.sequence(F.lit(0), last)).alias("__salt")
     )
-    return hot_rows.unionByName(cold_rows)
+    return dealt.join(repeated, [*keys, "__salt"], how).select(*big.columns, *values)
+
+
+def with_freq(big: DataFrame, lookup: DataFrame, keys: list[str], freq_col: str = "__freq") -> DataFrame:
+    """The keys that ``big`` uses with their number of rows and ``lookup``'s values (NULL for
+    a key it lacks): a lookup table for ``lookup_join``."""
+    used = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(freq_col))
+    return used.join(lookup, keys, "left")

@@ -62,22 +62,14 @@ def doc_rows(spark: SparkSession, sf: str) -> DataFrame:
     return FX.documents(spark, sf).select(F.col("doc_id").alias("row_id"), "text")
 
 
-_LM_CACHE: dict = {}
-
-
 def doc_lm(spark: SparkSession, sf: str) -> LM.BigramLM:
-    """The document LM is a model artifact: fitted once per application and corpus
-    (its tables are written under the checkpoint folder) and reused by every query."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _LM_CACHE:
-        _LM_CACHE[key] = LM.fit_bigram_lm(FX.documents(spark, sf).select("text"), "text")
-    return _LM_CACHE[key]
+    """The LM fitted on all documents."""
+    return LM.fit_bigram_lm(FX.documents(spark, sf).select("text"), "text")
 
 
-def doc_row_metrics(spark: SparkSession, sf: str, weighted: bool = False, weights: DataFrame | None = None) -> DataFrame:
-    rows = doc_rows(spark, sf)
-    ts, others = LM.fit_and_score(rows, "row_id", "text", weights=weights)
-    return S.row_metrics_long(ts, ["row_id"], weighted=weighted, others=others)
+def doc_row_metrics(spark: SparkSession, sf: str, weights: DataFrame | None = None) -> DataFrame:
+    ts = LM.fit_and_score(doc_rows(spark, sf), "row_id", "text", weights=weights)
+    return S.row_metrics_long(ts, ["row_id"], weighted=weights is not None)
 
 
 _DOC_SQL = "docs AS (SELECT doc_id AS row_id, text FROM documents)"
@@ -109,7 +101,7 @@ from textlens.operators import similarity as SIM  # noqa: E402
 from textlens.plans.sqlparts import code_tokens, sql_str, thresholds_values, words  # noqa: E402
 
 _EV_SQL = """ev AS (
-  SELECT u.conv_id * 1000 + u.turn AS row_id, u.text AS prompt, 'text' AS language,
+  SELECT u.conv_id * 1000000 + u.turn AS row_id, u.text AS prompt, 'text' AS language,
          u.text || chr(10) || a1.text AS prediction,
          CASE WHEN a3.text IS NOT NULL THEN u.text || chr(10) || a3.text END AS source
   FROM conversations u
@@ -135,10 +127,10 @@ def eval_scored_arrays(spark, sf, lm=None) -> DataFrame:
     return LM.score_rows(lm or doc_lm(spark, sf), ev, "row_id", "prediction", "prompt")
 
 
-def side_metrics(spark, sf) -> DataFrame:
+def side_metrics(spark, sf, weights=None) -> DataFrame:
     sides = eval_sides(spark, sf)
-    ts, others = LM.score_long(doc_lm(spark, sf), sides, "row_id", "text", "prompt", extra_cols=("side",))
-    return S.row_metrics_long(ts, ["row_id", "side"], others=others)
+    ts = LM.score_long(doc_lm(spark, sf), sides, "row_id", "text", "prompt", weights=weights, extra_cols=("side",))
+    return S.row_metrics_long(ts, ["row_id", "side"], weighted=weights is not None)
 
 
 _EV_SCORED = f"WITH {_EV_SQL}, {lm_ctes('documents', 'text')}, {scored_ctes('ev', 'row_id', 'prediction', 'prompt')}"
@@ -182,8 +174,8 @@ def q_optional_source(spark, sf):
     ev = FX.eval_rows(spark, sf).drop("source")
     has_source = "source" in ev.columns
     pred = ev.select("row_id", F.lit("prediction").alias("side"), "prompt", F.col("prediction").alias("text"))
-    ts, others = LM.score_long(doc_lm(spark, sf), pred, "row_id", "text", "prompt", extra_cols=("side",))
-    rm = S.row_metrics_long(ts, ["row_id", "side"], others=others)
+    ts = LM.score_long(doc_lm(spark, sf), pred, "row_id", "text", "prompt", extra_cols=("side",))
+    rm = S.row_metrics_long(ts, ["row_id", "side"])
     ps = S.paired_share(rm, has_source=has_source)
     return ps.select("threshold", r6("filtered_token_percentage").alias("filtered_token_percentage"),
                      r6("source_filtered_token_percentage").alias("source_filtered_token_percentage"))
@@ -213,7 +205,7 @@ def _render_sql() -> str:
     e = sql_str(tpl)
     e = f"replace({e}, '{{language}}', lang)"
     e = f"replace({e}, '{{{{ bos_token }}}}', {sql_str(T.BOS)})"
-    e = f"replace({e}, '{{{{ messages }}}}', split_part(text, chr(10), 1))"
+    e = f"replace({e}, '{{{{ messages }}}}', text)"
     return f"SELECT doc_id AS row_id, {e} AS rendered FROM documents"
 
 
@@ -278,18 +270,20 @@ def q_join_results(spark, sf):
 
 @register(
     "check_prompt_match",
-    f"""WITH {_RESP_SQL}
-SELECT count(*) AS n_rows, count(*) FILTER (WHERE r.prompt IS DISTINCT FROM g.prompt) AS n_mismatch
-FROM resp r JOIN gen g ON g.row_id = r.row_id""",
+    f"""WITH {_RESP_SQL},
+loud AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+res AS (SELECT g.row_id, CASE WHEN l.doc_id IS NOT NULL THEN '! ' || g.prompt ELSE g.prompt END AS prompt
+        FROM gen g LEFT JOIN loud l ON l.doc_id = g.row_id)
+SELECT r.row_id, s.prompt, r.prompt AS expected
+FROM resp r JOIN res s ON s.row_id = r.row_id WHERE r.prompt IS DISTINCT FROM s.prompt""",
 )
 def q_check_prompt_match(spark, sf):
-    r = FX.responses(spark, sf).select("row_id", "prompt")
-    g = _generated(spark, sf).select("row_id", F.col("prompt").alias("result_prompt"))
-    j = r.join(g, ["row_id"])
-    return j.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(F.when(~F.col("prompt").eqNullSafe(F.col("result_prompt")), F.lit(1))).alias("n_mismatch"),
-    )
+    """Results whose prompt is not the dataset's; those of documents labelled toxic are
+    recorded with a mark before it."""
+    loud = FX.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id")).distinct()
+    results = _generated(spark, sf).join(loud.withColumn("__loud", F.lit(True)), ["row_id"], "left").select(
+        "row_id", F.when(F.col("__loud"), F.concat(F.lit("! "), F.col("prompt"))).otherwise(F.col("prompt")).alias("prompt"))
+    return LM.prompt_mismatches(FX.responses(spark, sf), results).select("row_id", "prompt", "expected")
 
 
 # ---------------------------------------------------------------------------------------
@@ -330,9 +324,11 @@ def q_add_bos(spark, sf):
        len({words('prediction')}) >= 1 AS valid_with_bos, len({words('prediction')}) >= 2 AS valid_without_bos FROM ev""",
 )
 def q_validate_length(spark, sf):
-    ev = FX.eval_rows(spark, sf).select("row_id", F.size(T.tokenize_words("prediction")).cast("bigint").alias("n_tokens"))
-    return ev.select("row_id", "n_tokens", (F.col("n_tokens") >= 1).alias("valid_with_bos"),
-                     (F.col("n_tokens") >= 2).alias("valid_without_bos"))
+    ev = FX.eval_rows(spark, sf)
+    text = F.col("prediction")
+    return ev.select("row_id", F.size(T.tokenize_words(text)).cast("bigint").alias("n_tokens"),
+                     LM.long_enough(text).alias("valid_with_bos"),
+                     LM.long_enough(text, add_bos=False).alias("valid_without_bos"))
 
 
 @register(
@@ -342,14 +338,12 @@ SELECT row_id, p::BIGINT AS n_prompt_tokens, greatest(len(t) - p, 0)::BIGINT AS
        CASE WHEN len(t) > p THEN t[p + 1] END AS first_scored FROM x""",
 )
 def q_exclude_prompt(spark, sf):
-    ev = FX.eval_rows(spark, sf).select("row_id", T.tokenize_words("prediction").alias("t"),
-                                        F.size(T.tokenize_words("prompt")).alias("p"))
-    return ev.select(
-        "row_id",
-        F.col("p").cast("bigint").alias("n_prompt_tokens"),
-        F.greatest(F.size("t") - F.col("p"), F.lit(0)).cast("bigint").alias("n_scored"),
-        F.when(F.size("t") > F.col("p"), F.get("t", F.col("p"))).alias("first_scored"),
-    )
+    ev = FX.eval_rows(spark, sf)
+    start = LM.first_scored_position(ev, "prompt", T.tokenize_words, True)
+    ev = ev.withColumn("p", (start - 1).cast("bigint"))
+    occ = LM.occurrences(ev, "row_id", "prediction", prompt_col="prompt", extra_cols=("p",), keep_empty=True)
+    return occ.groupBy("row_id", F.col("p").alias("n_prompt_tokens")).agg(
+        F.count("pos").alias("n_scored"), F.min_by("token", "pos").alias("first_scored"))
 
 
 @register("token_scores", f"{_EV_SCORED} SELECT row_id, pos::INTEGER AS pos, token, round(prob, 6) AS prob FROM sc")
@@ -413,7 +407,7 @@ def q_lm_bigram(spark, sf):
 SELECT row_id, count(*) AS n_scored, round(sum(ln(prob)), 6) AS logprob_sum FROM sc GROUP BY row_id""",
 )
 def q_lm_score(spark, sf):
-    ts, _ = LM.fit_and_score(doc_rows(spark, sf), "row_id", "text")
+    ts = LM.fit_and_score(doc_rows(spark, sf), "row_id", "text").filter("pos IS NOT NULL")
     return ts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_scored"), r6(F.sum(F.ln("prob"))).alias("logprob_sum"))
 
 
@@ -455,8 +449,8 @@ def q_longest_run(spark, sf):
 @register("longest_run_islands", f"{_EV_METRICS} SELECT row_id, threshold, round(longest_run, 6) AS longest_run FROM rm")
 def q_longest_run_islands(spark, sf):
     ev = FX.eval_rows(spark, sf)
-    ts, others = LM.score_long(doc_lm(spark, sf), ev, "row_id", "prediction", "prompt")
-    rm = S.row_metrics_long(ts, ["row_id"], others=others)
+    ts = LM.score_long(doc_lm(spark, sf), ev, "row_id", "prediction", "prompt")
+    rm = S.row_metrics_long(ts, ["row_id"])
     return rm.select("row_id", "threshold", r6("longest_run").alias("longest_run"))
 
 
@@ -477,15 +471,16 @@ def _idf_sql(admit: bool = False) -> str:
     adm = f" WHERE regexp_full_match(term, {sql_str(I.ADMIT_PATTERN[1:-1])})" if admit else ""
     return f"""idf_terms AS (SELECT DISTINCT d.doc_id, unnest({code_tokens('d.text')}) AS term FROM documents d),
 idf_df AS (SELECT term, count(*) AS df FROM idf_terms{adm} GROUP BY term),
-idf_tab AS (SELECT term, df, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1.0 AS idf FROM idf_df)"""
+idf_tab AS MATERIALIZED (SELECT term, df, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1.0 AS idf FROM idf_df)"""
 
 
 def _weights_sql(agg: str) -> str:
     fn = {"mean": "avg", "sum": "sum", "max": "max"}[agg]
     return f"""{_idf_sql()},
-vocab AS (SELECT DISTINCT unnest({words('text')}) AS token FROM documents),
-pieces AS (SELECT token, unnest({code_tokens('token')}) AS term FROM vocab),
-wt AS (SELECT v.token, coalesce((SELECT {fn}(i.idf) FROM pieces p JOIN idf_tab i ON i.term = p.term WHERE p.token = v.token), 0.001) AS weight FROM vocab v)"""
+vocab AS MATERIALIZED (SELECT DISTINCT unnest({words('text')}) AS token FROM documents),
+pieces AS MATERIALIZED (SELECT token, unnest({code_tokens('token')}) AS term FROM vocab),
+known AS MATERIALIZED (SELECT p.token, {fn}(i.idf) AS weight FROM pieces p JOIN idf_tab i ON i.term = p.term GROUP BY p.token),
+wt AS MATERIALIZED (SELECT v.token, coalesce(k.weight, 0.001) AS weight FROM vocab v LEFT JOIN known k ON k.token = v.token)"""
 
 
 @register("perplexity_weighted", f"""
@@ -493,7 +488,7 @@ WITH {_DOC_SQL}, {_weights_sql('mean')}, {lm_ctes('documents', 'text')}, {scored
 {metric_ctes('docs', 'row_id', weighted=True)}
 SELECT row_id, threshold, {sig_sql('perplexity')} AS perplexity FROM rm""")
 def q_perplexity_weighted(spark, sf):
-    rm = doc_row_metrics(spark, sf, weighted=True, weights=doc_weights(spark, sf))
+    rm = doc_row_metrics(spark, sf, doc_weights(spark, sf))
     return rm.select("row_id", "threshold", sig(F.col("perplexity")).alias("perplexity"))
 
 
@@ -522,29 +517,25 @@ def q_filtered_share(spark, sf):
     return c.select("threshold", r6("filtered_share").alias("filtered_share"))
 
 
-MAX_CONTEXT = 2048
-
-
 @register("impute_failed", f"""
-WITH docs_all AS (SELECT doc_id AS row_id, text, len({words('text')}) + 1 > {MAX_CONTEXT} AS failed FROM documents),
-docs AS (SELECT row_id, text FROM docs_all WHERE NOT failed),
-{lm_ctes('documents', 'text')}, {scored_ctes('docs', 'row_id', 'text')}, {metric_ctes('docs_all', 'row_id')},
+WITH docs AS (SELECT doc_id AS row_id, text FROM documents),
+reported AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+{lm_ctes('documents', 'text')}, {scored_ctes('docs', 'row_id', 'text')}, {metric_ctes('docs', 'row_id')},
+flagged AS (SELECT rm.*, e.doc_id IS NOT NULL AS failed FROM rm LEFT JOIN reported e ON e.doc_id = rm.row_id),
 imp AS (
-  SELECT rm.row_id, rm.threshold, d.failed, rm.perplexity, rm.longest_run,
-         avg(CASE WHEN NOT d.failed THEN rm.perplexity END) OVER w AS mp,
-         avg(CASE WHEN NOT d.failed THEN rm.longest_run END) OVER w AS ml
-  FROM rm JOIN docs_all d USING (row_id)
-  WINDOW w AS (PARTITION BY rm.threshold ORDER BY rm.row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT row_id, threshold, failed, perplexity, longest_run,
+         avg(CASE WHEN NOT failed THEN perplexity END) OVER w AS mp,
+         avg(CASE WHEN NOT failed THEN longest_run END) OVER w AS ml
+  FROM flagged
+  WINDOW w AS (PARTITION BY threshold ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT row_id, threshold, failed,
        round(CASE WHEN failed THEN mp ELSE perplexity END, 6) AS perplexity,
        round(CASE WHEN failed THEN ml ELSE longest_run END, 6) AS longest_run
 FROM imp""")
 def q_impute_failed(spark, sf):
-    rows = doc_rows(spark, sf)
-    ts, others = LM.score_long(doc_lm(spark, sf), rows, "row_id", "text", max_context=MAX_CONTEXT)
-    rm = S.row_metrics_long(ts, ["row_id"], others=others)
-    failed = others.select("row_id", F.col("failed").alias("__f"))
-    rm = rm.join(failed, ["row_id"], "left").withColumn("failed", F.coalesce(F.col("__f"), F.lit(False))).drop("__f")
+    """Every document is scored in full; a scorer's error is stood for by labels.toxic = 1."""
+    reported = FX.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id")).distinct()
+    rm = LM.mark_failed(doc_row_metrics(spark, sf), reported, ["row_id"])
     imp = S.impute_failed(rm, "row_id")
     return imp.select("row_id", "threshold", "failed", r6("perplexity").alias("perplexity"), r6("longest_run").alias("longest_run"))
 
@@ -578,6 +569,17 @@ def q_source_scoring(spark, sf):
                      r6("longest_run").alias("longest_run"))
 
 
+@register("source_scoring_weighted", f"""
+WITH {_EV_SQL}, {_SIDES_SQL}, {_weights_sql('mean')}, {lm_ctes('documents', 'text')},
+{scored_ctes('sides', 'row_id', 'text', 'prompt', extra=', side', weights_table='wt')},
+{metric_ctes('sides', 'row_id', ', side', weighted=True)}
+SELECT row_id, side, threshold, {sig_sql('perplexity')} AS perplexity FROM rm""")
+def q_source_scoring_weighted(spark, sf):
+    """Both sides weighted by the documents' IDF; a token that the documents lack weighs 0.001."""
+    rm = side_metrics(spark, sf, doc_weights(spark, sf))
+    return rm.select("row_id", "side", "threshold", sig(F.col("perplexity")).alias("perplexity"))
+
+
 @register("paired_share", _paired_share_sql(True))
 def q_paired_share(spark, sf):
     ps = S.paired_share(side_metrics(spark, sf), has_source=True)
@@ -620,7 +622,7 @@ for _agg in ("mean", "sum", "max"):
 
 _PAIRS_SQL = """pairs AS (
   SELECT a.doc_id AS pair_id, a.doc_id AS cand_id, b.doc_id AS ref_id, a.text AS candidate, b.text AS reference
-  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND b.lang = a.lang)"""
+  FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)"""
 
 
 def _ngram_sql(side: str, col: str) -> str:
@@ -740,18 +742,23 @@ def q_jaccard_exact(spark, sf):
 @register(
     "near_dup_edges",
     f"""WITH {_MINHASH_SQL},
-nonempty AS (SELECT doc_id FROM sh GROUP BY doc_id),
-sig AS (SELECT doc_id, list(v ORDER BY perm) AS s FROM mh_all WHERE doc_id IN (SELECT doc_id FROM nonempty) GROUP BY doc_id),
+sig AS (SELECT doc_id, list(v ORDER BY perm) AS s FROM mh_all GROUP BY doc_id),
 bands AS (SELECT doc_id, b AS band, list_slice(s, b * 8 + 1, b * 8 + 8) AS bucket FROM sig CROSS JOIN range(0, 32) t(b)),
 reps AS (SELECT band, bucket, min(doc_id) AS rep_id FROM bands GROUP BY band, bucket),
 edges AS (SELECT DISTINCT x.doc_id, r.rep_id FROM bands x JOIN reps r USING (band, bucket) WHERE x.doc_id <> r.rep_id),
-est AS (SELECT e.doc_id, e.rep_id, count(*) FILTER (WHERE a.v = b.v) / {SIM.NUM_PERM} AS j
-        FROM edges e JOIN mh_all a ON a.doc_id = e.doc_id JOIN mh_all b ON b.doc_id = e.rep_id AND b.perm = a.perm GROUP BY ALL)
-SELECT doc_id, rep_id, round(j, 6) AS jaccard FROM est WHERE j >= 0.8""",
+sizes AS (SELECT d.doc_id, count(sh.s) AS n FROM documents d LEFT JOIN sh USING (doc_id) GROUP BY d.doc_id),
+inter AS (SELECT e.doc_id, e.rep_id, count(*) AS i FROM edges e JOIN sh a ON a.doc_id = e.doc_id
+          JOIN sh b ON b.doc_id = e.rep_id AND b.s = a.s GROUP BY ALL),
+ex AS (SELECT e.doc_id, e.rep_id, coalesce(i.i, 0) AS i, x.n + y.n - coalesce(i.i, 0) AS u
+       FROM edges e JOIN sizes x ON x.doc_id = e.doc_id JOIN sizes y ON y.doc_id = e.rep_id
+       LEFT JOIN inter i ON i.doc_id = e.doc_id AND i.rep_id = e.rep_id)
+SELECT doc_id, rep_id, round(CASE WHEN u = 0 THEN 1.0 ELSE i / u END, 6) AS jaccard FROM ex
+WHERE u = 0 OR i / u >= 0.8""",
 )
 def q_near_dup_edges(spark, sf):
-    sig = materialize(SIM.minhash_signatures(FX.documents(spark, sf), "doc_id", "text"))
-    e = SIM.near_duplicate_edges(sig, "doc_id", 0.8)
+    docs = FX.documents(spark, sf)
+    sig = materialize(SIM.minhash_signatures(docs, "doc_id", "text"))
+    e = SIM.near_duplicate_edges(docs, sig, "doc_id", "text", 0.8)
     return e.select("doc_id", "rep_id", r6("jaccard").alias("jaccard"))
 
 
@@ -788,20 +795,17 @@ def q_edit_distance(spark, sf):
     return d.select("pair_id", r6("edit_distance").alias("edit_distance"))
 
 
-@register("edit_distance_join")
+_EDIT_LIMIT = 0.85
+
+
+@register(
+    "edit_distance_join",
+    f"""{_lev_sql(_BP_SQL)},
+ned AS (SELECT pair_id, distance, CASE WHEN greatest(n_a, n_b) > 0 THEN distance / greatest(n_a, n_b) ELSE 1.0 END AS e FROM dist)
+SELECT pair_id, distance, round(e, 6) AS edit_distance FROM ned WHERE e <= {_EDIT_LIMIT}""",
+)
 def q_edit_distance_join(spark, sf):
-    """Near-duplicate links whose whole-text token edit distance is at most 0.3 (rows
-    only: the SQL dynamic programme is too slow on whole documents; a unit test checks it
-    against a brute-force implementation)."""
-    docs = FX.documents(spark, sf)
-    sig = materialize(SIM.minhash_signatures(docs, "doc_id", "text"))
-    edges = materialize(SIM.near_duplicate_edges(sig, "doc_id", 0.8))
-    t = docs.select("doc_id", "text")
-    pairs = edges.select(F.col("doc_id").alias("pair_id"), "doc_id", "rep_id").join(
-        t.withColumnRenamed("text", "candidate"), ["doc_id"]
-    ).join(t.select(F.col("doc_id").alias("rep_id"), F.col("text").alias("reference")), ["rep_id"])
-    pairs = pairs.select((F.col("doc_id") * 1_000_000_000 + F.col("rep_id")).alias("pair_id"), "candidate", "reference")
-    d = SIM.edit_distance_join(pairs, 0.3)
+    d = SIM.edit_distance_join(FX.benchmark_pairs(spark, sf), _EDIT_LIMIT)
     return d.select("pair_id", "distance", r6("edit_distance").alias("edit_distance"))
 
 

@@ -4,12 +4,12 @@
 * ``eval_rows(conversations)``: the prompt dataset. A user turn ``t`` is the prompt; the
   prediction is the prompt, a newline and the assistant turn ``t+1``; the ground-truth
   ``source`` is the prompt, a newline and the assistant turn ``t+3`` of the same
-  conversation (NULL when the conversation ends earlier). ``row_id = conv_id*1000 + t``.
+  conversation (NULL when the conversation ends earlier). ``row_id = conv_id*1000000 + t``.
 * ``responses(documents)``: raw model outputs to parse: the document's first line is the
   prompt and the response echoes a fenced block holding the document text; blocks of
   German documents are left unclosed to reach the fallback path.
 * ``adjacent_pairs(documents)``: ``candidate`` = document ``d``, ``reference`` = document
-  ``d+1`` of the same language (an equi-join, no window).
+  ``d+1`` (an equi-join, no window).
 * ``benchmark_pairs(benchmark)``: item ``i`` against item ``i+1``.
 """
 
@@ -27,8 +27,12 @@ TABLES = (
 ).split()
 
 
+#: Set by a caller that knows its files to be single row groups (the bench); see ``read_parquet``.
+PARTITIONS: int | None = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", PARTITIONS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a3 = a.select("conv_id", (F.col("a_turn") - 3).alias("turn"), F.col("a_text").alias("later"))
     j = u.join(a1, ["conv_id", "turn"], "inner").join(a3, ["conv_id", "turn"], "left")
     return j.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("row_id"),
         F.col("prompt"),
         F.lit("text").alias("language"),
         F.concat(F.col("prompt"), F.lit("\n"), F.col("answer")).alias("prediction"),
@@ -53,15 +57,9 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a prompt dataset: ``row_id, prompt, language, source`` (prompt = first
-    line, source = the whole text)."""
+    """Documents as a prompt dataset: ``row_id, prompt, language`` (prompt = the whole text)."""
     d = documents(spark, sf_dir)
-    return d.select(
-        F.col("doc_id").alias("row_id"),
-        first_line(F.col("text")).alias("prompt"),
-        F.col("lang").alias("language"),
-        F.col("text").alias("source"),
-    )
+    return d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("prompt"), F.col("lang").alias("language"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +76,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pair_id, cand_id, ref_id, candidate, reference``."""
-    d = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("doc_id").alias("ref_id"), F.col("text").alias("reference"))
-    return d.join(nxt, ["doc_id", "lang"], "inner").select(
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("ref_id"), F.col("text").alias("reference"))
+    return d.join(nxt, ["doc_id"], "inner").select(
         F.col("doc_id").alias("pair_id"),
         F.col("doc_id").alias("cand_id"),
         "ref_id",

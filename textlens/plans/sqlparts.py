@@ -57,7 +57,7 @@ def scored_ctes(rows_table: str, id_col: str, text_col: str, prompt_col: str | N
     plen = f"len({words(prompt_col)})" if prompt_col else "0"
     start = f"{plen} + {1 if add_bos else 2}"
     w_join = f"LEFT JOIN {weights_table} w ON w.token = o.token" if weights_table else ""
-    w_col = "coalesce(w.weight, 1.0)" if weights_table else "1.0::DOUBLE"
+    w_col = "coalesce(w.weight, 0.001)" if weights_table else "1.0::DOUBLE"
     return f"""
 sc_seq AS (SELECT {id_col}{extra}, list_concat([{first}], {words(text_col)}) AS s, {start} AS start FROM {rows_table}),
 sc_occ0 AS (SELECT {id_col}{extra}, start, unnest(s) AS token, generate_subscripts(s, 1) - 1 AS pos FROM sc_seq),

@@ -6,9 +6,11 @@ The library never creates a session on its own inside operators; jobs receive on
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,8 +49,9 @@ def share_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh scratch folder is taken.
-    """
+    Only when the setting is absent and the master is local (tests), a fresh scratch folder
+    is taken; on a cluster a missing setting is an error, as executors could not read each
+    other's tables from a machine-local folder."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -56,21 +59,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="textlens-ckpt-", dir="/tmp")
         sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df):
     """Cut the lineage of ``df`` by writing it as a parquet table under the cluster's
     shared checkpoint folder (``spark.checkpoint.dir``) and reading it back.
 
-    Used where a result feeds several later branches (the fitted LM, the token-score
-    table), so they scan it instead of re-running its plan, and a lost executor costs a
-    re-read, not a recomputation. One job computes and writes the table (an RDD
-    checkpoint would run the plan twice unless cached)."""
+    Used where a result feeds several later branches (the fitted LM, pair probabilities),
+    so they scan it instead of re-running its plan, and a lost executor costs a re-read, not
+    a recomputation. One job computes and writes the table (an RDD checkpoint would run the
+    plan twice unless cached). Tables go when ``scratch_tables`` ends, or with the
+    application."""
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/textlens-tables/{uuid.uuid4().hex}"
+    path = f"{base}/textlens-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(drop_tables, spark)
+    _WRITTEN.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession, first: int = 0) -> None:
+    """Delete the tables that ``materialize`` has written, from number ``first`` on."""
+    if spark.sparkContext._jsc is None:  # the application is over
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_WRITTEN) > first:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession):
+    """Tables materialised inside go at its end: for work whose result is written inside,
+    such as a micro-batch or a job."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop_tables(spark, first)

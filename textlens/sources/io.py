@@ -12,12 +12,10 @@ parquet (``read_prompts(..., fmt="parquet")``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlens.sources.tables import spread
-
 PROMPT_SCHEMA = T.StructType(
     [
         T.StructField("prompt", T.StringType()),
@@ -34,10 +32,12 @@ NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 # --- end of fixed values ------------------------------------------------------------------
 
 
-def read_prompts(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None) -> DataFrame:
+def read_prompts(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
+                 key: str | None = None) -> DataFrame:
     """Prompt dataset with a ``row_id`` key. For CSV the header decides which of the
-    schema's columns exist (``source`` and ``prediction`` are optional); row ids follow
-    file order (``monotonically_increasing_id`` is unique, not dense)."""
+    schema's columns exist (``source`` and ``prediction`` are optional). ``key`` names the
+    column that identifies a row; without one (and without a column ``row_id``) the key is a
+    hash of language and prompt, which does not depend on how the files are laid out."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
@@ -56,9 +56,15 @@ def read_prompts(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Str
         )
         for c in df.columns:
             df = df.withColumn(c, F.when(F.col(c).isin(*NA_STRINGS), F.lit(None)).otherwise(F.col(c)))
+    if key:
+        return df.withColumnRenamed(key, "row_id")
     if "row_id" not in df.columns:
-        df = df.withColumn("row_id", F.monotonically_increasing_id())
-    return spread(df)
+        df = df.withColumn("row_id", prompt_key("prompt", "language"))
+    return df
+
+
+def prompt_key(prompt, language) -> Column:
+    return F.xxhash64(F.col(language), F.col(prompt))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -83,7 +89,15 @@ def arrays_to_json(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    arrays_to_json(df).write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Quoted CSV; leading and trailing white space is part of a text and stays."""
+    w = arrays_to_json(df).write.mode(mode).option("header", True).option("quoteAll", True).option("escape", '"')
+    w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def write_table(df: DataFrame, save_path: str, name: str) -> str:
+    path = save_path.rstrip("/") + "/" + name
+    write_csv(df, path)
+    return path
 
 
 def write_generated(df: DataFrame, save_path: str) -> str:

@@ -1,23 +1,13 @@
-"""Table readers.
-
-Parquet is the default format. A file written as one row group is a single input split;
-when a scan yields fewer splits than the cluster has task slots, it is spread
-round-robin so the tokenisation that follows uses every core. At scale, inputs have many
-splits and this is a no-op.
-"""
+"""Table readers. Parquet is the default format."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A parquet table. ``partitions`` deals its rows out round-robin, which the caller asks
+    for where files are known to be a single row group (one split); by default the scan's
+    splits stay as they are and no text is shuffled."""
+    df = spark.read.parquet(path)
+    return df.repartition(partitions) if partitions else df

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textlens.functions.metrics import DEFAULT_THRESHOLDS
 from textlens.operators import lm as LM
 from textlens.operators import scoring as S
+from textlens.session import scratch_tables
 
 
 def score_stream(
@@ -34,9 +35,9 @@ def score_stream(
     from pyspark.sql import functions as F
 
     def batch(df: DataFrame, batch_id: int):
-        ts, others = LM.score_long(lm, df, "row_id", text_col, prompt_col)
-        rm = S.row_metrics_long(ts, ["row_id"], thresholds, others=others)
-        rm.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        with scratch_tables(spark):
+            rm = S.row_metrics_long(LM.score_long(lm, df, "row_id", text_col, prompt_col), ["row_id"], thresholds)
+            rm.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")
