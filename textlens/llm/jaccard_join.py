@@ -195,16 +195,15 @@ def shared_counts(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray)
     place = {s: i for i, s in enumerate(both)}
     row = np.repeat(np.arange(len(both)), [len(sets[s]) for s in both])
     _, col, df = np.unique(np.concatenate([sets[s] for s in both]), return_inverse=True, return_counts=True)
-    out = np.zeros((len(both), len(both)), np.int32)
+    m = len(both)
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     starts = np.cumsum(df) - df
-    for d in range(2, 9):  # a shingle of few sets: its pairs; each is found once
+    pairs = [np.zeros(0, np.int64)]
+    for d in range(2, 9):  # a shingle of few sets: its pairs, lower number first
         at = starts[df == d]
-        for i in range(d):
-            for j in range(i + 1, d):
-                u, v = row[at + i], row[at + j]
-                out += np.bincount(u * len(both) + v, minlength=out.size).reshape(out.shape).astype(np.int32) if len(at) else 0
+        pairs += [row[at + i] * m + row[at + j] for i in range(d) for j in range(i + 1, d)]
+    out = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m).astype(np.int32)
     many = np.flatnonzero(df > 8)  # of many sets: matrix products over blocks of shingles
     number = np.full(len(df), -1)
     number[many] = np.arange(len(many))
@@ -213,9 +212,10 @@ def shared_counts(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray)
     upper = out + out.T
     for a in range(0, len(many), 4096):
         inside = (col >= a) & (col < a + 4096)
-        m = np.zeros((len(both), min(4096, len(many) - a)), np.float32)
-        m[row[inside], col[inside] - a] = 1
-        upper += np.rint(m @ m.T).astype(np.int32)
+        has = np.zeros((m, min(4096, len(many) - a)), np.float32)
+        has[row[inside], col[inside] - a] = 1
+        upper += np.rint(has @ has.T).astype(np.int32)
+    np.fill_diagonal(upper, [len(sets[s]) for s in both])
     return upper[np.ix_([place[s] for s in first], [place[s] for s in second])]
 
 

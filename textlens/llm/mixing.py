@@ -12,9 +12,10 @@
 
        sum over k of (T_k / N - target_k)^2 / share_k  +  RIDGE * sum of n * (r - 1)^2 / N
 
-   by projected gradient steps in the metric of n, from r = 1:
+   by accelerated projected gradient steps in the metric of n, from r = y = 1:
 
-       r <- max(0, r - STEP * (sum over k of P_k * (T_k / N - target_k) / share_k + RIDGE * (r - 1))).
+       r' <- max(0, y - STEP * (sum over k of P_k * (T_k / N - target_k) / share_k + RIDGE * (y - 1)))
+       y' <- r' + t / (t + 3) * (r' - r)          (T_k at y; t counts the steps).
 
    A step's gradient is one number a domain, summed over all documents by Spark; rates
    are refolded from the list of gradients, so no rate is kept between steps and the
@@ -45,7 +46,7 @@ from textlens.session import materialize
 
 BINS = 1 << 12
 FIT_ROWS = 20_000
-SMOOTH, Z, RATIO = 50.0, 7.0, 1.2
+SMOOTH, Z, RATIO = 50.0, 6.0, 1.2
 STEP, RIDGE, TOLERANCE, MAX_STEPS = 1.0, 1e-3, 5e-4, 40
 ABSENT = 1e-3
 
@@ -104,13 +105,25 @@ def posterior(weights: str, text: Column, priors: list[float]) -> Column:
             F.filter(F.get(weights, _bin(h)), lambda e: e["h"] == h), F.lit(0))["w"]), lambda x: x.isNotNull()), score).alias("p")))
 
 
+def _after(p: Column, gradients: list[list[float]]) -> Column:
+    """struct (r, y) after the given steps."""
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    if not gradients:
+        return start
+    steps = F.array(*[F.struct(F.array(*map(F.lit, g)).alias("g"), F.lit(t / (t + 3)).alias("b"))
+                      for t, g in enumerate(gradients)])
+
+    def step(at, s):
+        pull = F.aggregate(F.zip_with(p, s["g"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return let(F.greatest(F.lit(0.0), at["y"] - STEP * (pull + RIDGE * (at["y"] - 1))), lambda r: F.struct(
+            r.alias("r"), (r + s["b"] * (r - at["r"])).alias("y")))
+
+    return F.aggregate(steps, start, step)
+
+
 def rate(p: Column, gradients: list[list[float]]) -> Column:
     """Rates after the given steps."""
-    if not gradients:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*map(F.lit, g)) for g in gradients])
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - STEP * (F.aggregate(
-        F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) + RIDGE * (r - 1))))
+    return _after(p, gradients)["r"]
 
 
 def fit_rates(scored: DataFrame, targets: list[float], audit: dict | None = None) -> list[list[float]]:
@@ -118,27 +131,27 @@ def fit_rates(scored: DataFrame, targets: list[float], audit: dict | None = None
     k = len(targets)
 
     def shares(gradients):
-        r = rate(F.col("p"), gradients)
-        total = F.sum(F.col("n"))
-        got = scored.select("n", "p", r.alias("r")).agg(total, *[
-            F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))) for i in range(k)]).first()
+        at = scored.select("n", "p", _after(F.col("p"), gradients).alias("a"))
+        got = at.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(f"a.{x}") * F.get("p", F.lit(i))) for x in "ry" for i in range(k)]).first()
         return [(x or 0.0) / got[0] for x in got[1:]] if got[0] else None
 
-    at_one, gradients = shares([]), []
-    if at_one is None:
+    first, gradients = shares([]), []
+    if first is None:
         return []
+    at_one = first[:k]
     present = [s >= ABSENT for s in at_one]
     whole = sum(t for t, ok in zip(targets, present) if ok) or 1.0
     goals = [t / whole * sum(targets) if ok else 0.0 for t, ok in zip(targets, present)]
-    now = at_one
-    for _ in range(MAX_STEPS):
-        off = [s - t if ok else 0.0 for s, t, ok in zip(now, goals, present)]
-        if max(map(abs, off)) <= TOLERANCE:
-            break
-        gradients.append([o / s if ok else 0.0 for o, s, ok in zip(off, at_one, present)])
+
+    def off(now):
+        return [s - t if ok else 0.0 for s, t, ok in zip(now, goals, present)]
+
+    now = first
+    while max(map(abs, off(now[:k]))) > TOLERANCE and len(gradients) < MAX_STEPS:
+        gradients.append([o / s if ok else 0.0 for o, s, ok in zip(off(now[k:]), at_one, present)])
         now = shares(gradients)
     if audit is not None:
-        audit |= {"shares": now, "targets": goals, "steps": len(gradients)}
+        audit |= {"shares": now[:k], "targets": goals, "steps": len(gradients)}
     return gradients
 
 
