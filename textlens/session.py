@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -66,7 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[str] = []  # tables that stay until the application ends
+_SCOPE = threading.local()  # ``paths``: those of the enclosing ``scratch_tables`` of a thread
 
 
 def materialize(df):
@@ -81,29 +83,34 @@ def materialize(df):
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/textlens-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    if not _WRITTEN:
-        atexit.register(drop_tables, spark)
-    _WRITTEN.append(path)
+    paths = getattr(_SCOPE, "paths", None)
+    if paths is None:
+        if not _WRITTEN:
+            atexit.register(drop_tables, spark, _WRITTEN)
+        paths = _WRITTEN
+    paths.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def drop_tables(spark: SparkSession, first: int = 0) -> None:
-    """Delete the tables that ``materialize`` has written, from number ``first`` on."""
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``materialize`` has written, and forget their paths."""
     if spark.sparkContext._jsc is None:  # the application is over
         return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_WRITTEN) > first:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
 @contextmanager
 def scratch_tables(spark: SparkSession):
-    """Tables materialised inside go at its end: for work whose result is written inside,
-    such as a micro-batch or a job."""
-    first = len(_WRITTEN)
+    """Tables that this thread materialises inside go at its end: for work whose result is
+    written inside, such as a micro-batch or a job."""
+    outer = getattr(_SCOPE, "paths", None)
+    _SCOPE.paths = own = []
     try:
         yield
     finally:
-        drop_tables(spark, first)
+        _SCOPE.paths = outer
+        drop_tables(spark, own)
