@@ -39,6 +39,49 @@ def test_json_column(spark):
     assert IO.parse_json_column(df, "props", "k BIGINT").select(F.col("props_parsed.k")).collect()[0][0] == 3
 
 
+def test_read_json_document(spark):
+    p = os.path.join(tempfile.mkdtemp(prefix="textlens-test-", dir="/tmp"), "settings.json")
+    with open(p, "w") as f:
+        json.dump({"name": "run", "thresholds": [1.01, 0.5]}, f, indent=2)
+    row = IO.read_json(spark, p, "name string, thresholds array<double>").first()
+    assert row.name == "run" and row.thresholds == [1.01, 0.5]
+
+
+def test_prompt_keys_do_not_depend_on_files(spark):
+    d = tempfile.mkdtemp(prefix="textlens-test-", dir="/tmp")
+    for name, lines in (("one.csv", ["a,x", "b,y"]), ("two.csv", ["b,y", "a,x"])):
+        with open(os.path.join(d, name), "w") as f:
+            f.write("\n".join(["prompt,language", *lines]) + "\n")
+    one, two = ({r.prompt: r.row_id for r in IO.read_prompts(spark, os.path.join(d, n)).collect()} for n in ("one.csv", "two.csv"))
+    assert one == two and len(set(one.values())) == 2
+    keyed = IO.read_prompts(spark, os.path.join(d, "one.csv"), key="prompt")
+    assert sorted(r.row_id for r in keyed.collect()) == ["a", "b"]
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return self
+
+        def get(self, *_):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = conf = Context()
+
+    import pytest
+
+    from textlens import session
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
 

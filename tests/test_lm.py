@@ -46,6 +46,19 @@ def test_idf_and_vocab_weights(spark):
     assert w["zz"] == 0.001
 
 
+def test_vocab_weights_with_a_custom_aggregate(spark):
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def median(x: pd.Series) -> float:
+        return float(x.median())
+
+    idf = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 2.0)], "term string, idf double")
+    vocab = spark.createDataFrame([("a.b.c",), ("zz",)], "token string")
+    got = {r.token: r.weight for r in I.vocab_weights(vocab, idf, "token", agg=median).collect()}
+    assert got == {"a.b.c": 2.0, "zz": 0.001}
+
+
 def test_unknown_tokens_weigh_the_default(spark):
     fit = spark.createDataFrame([("a b c",)], "text string")
     weights = I.vocab_weights(I.corpus_vocabulary(fit, "text", lambda c: F.split(c, " ")), I.idf(fit, "text"), "token")

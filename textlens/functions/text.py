@@ -71,9 +71,6 @@ def tokenize_code(text) -> Column:
     return F.regexp_extract_all(t, F.lit(CODE_TOKEN_PATTERN), 0)
 
 
-TOKENIZERS = {"words": tokenize_words, "code": tokenize_code}
-
-
 def lstrip_ws(text) -> Column:
     return F.regexp_replace(_c(text), LEADING_WS, "")
 
