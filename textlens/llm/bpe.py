@@ -27,10 +27,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.llm.common import table, texts
+from textlens.llm.common import chunks, table, texts
 
-CHUNK = 4_000_000
-KNOWN = 400_000
+CHUNK = 1_000_000
+KNOWN = 150_000
 LONG = 256
 NONE = np.iinfo(np.int32).max
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -215,18 +215,6 @@ def _vocabulary(raw: bytes) -> Vocabulary:
     return _MADE[key]
 
 
-def _chunks(values: list, size):
-    """Slices of about CHUNK in total size, one value at least."""
-    first, held = 0, 0
-    for i, x in enumerate(values):
-        if held and held + size(x) > CHUNK:
-            yield first, i
-            first, held = i, 0
-        held += size(x)
-    if first < len(values):
-        yield first, len(values)
-
-
 def _vocabulary_bytes(spark: SparkSession, path: str):
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
@@ -245,7 +233,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         encode = Encoder(v, pattern)
         for batch in batches:
             doc_ids, all_texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _chunks(all_texts, len):
+            for a, b in chunks(all_texts, CHUNK):
                 ids, ends = encode(all_texts[a:b])
                 data, byte_ends = v.decode(ids)
                 yield pa.RecordBatch.from_arrays([

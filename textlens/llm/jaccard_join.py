@@ -43,8 +43,8 @@ TREES, DEPTH = 24, 5
 RECALL, SIGMAS = 0.999, 4.5
 CHUNK = 1024
 GROUP_ROWS = 4096  # rows that a task of small groups gets on average
-TEXT_CHUNK = 4_000_000
-KNOWN = 1_000_000
+TEXT_CHUNK = 2_000_000
+KNOWN = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 

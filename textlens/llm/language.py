@@ -30,7 +30,7 @@ from textlens.llm.common import chunks, fold, hash_sample, table, texts
 WINDOW, HIDDEN, BATCH = 64, 8, 4096
 FIT_DOCS, WINDOWS_PER_DOC = 1_200, 16
 EPOCHS, FIT_BATCH, RATE = 4, 256, 0.02
-CHUNK = 8_000_000
+CHUNK = 2_000_000
 UNKNOWN = "und"
 
 

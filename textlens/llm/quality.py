@@ -37,8 +37,8 @@ SLOTS, DIMS, NONZERO, REACH = 4096, 32, 4, 2
 GROUPS, SALTS = 32, 64
 FIT_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
-CHUNK = 4_000_000
-KNOWN = 1_000_000
+CHUNK = 2_000_000
+KNOWN = 200_000
 UNIT = re.compile(r"\w+|[^\w\s]+")
 FEATURES = 2 * DIMS + 2
 
