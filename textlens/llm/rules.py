@@ -11,7 +11,8 @@ the target being smoothed towards the raw corpus by ``mu`` pseudo-counts, so a b
 the target never saw keeps a finite, negative weight. The length-normalised score is
 compared with a fixed threshold. The bin weights (``buckets`` doubles, 512 kB at the
 default, whatever the corpus) are a scalar subquery; the documents are read once to
-count and once to score, and only bin counts are shuffled.
+count and once to score, and only bin counts are shuffled (and written once, as two
+branches use them).
 
 Beside the ratio, plain rules count words, symbols, repeated lines and repeated 3-word
 windows of each text.
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.llm.common import SPACE, let, small_side, table, texts, words
+from textlens.session import materialize
 
 BUCKETS = 1 << 16
 MU = 100_000.0
@@ -97,7 +99,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     t = texts(docs, id_col, text_col)
     good = small_side(trusted.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
                       .withColumn("_good", F.lit(1)))
-    counts = (t.join(good, F.col("doc_id") == F.col("_id"), "left")
+    counts = materialize(t.join(good, F.col("doc_id") == F.col("_id"), "left")
               .select(F.coalesce("_good", F.lit(0)).alias("_good"), words(F.col("text")).alias("_w"))
               .select("_good", F.explode(ngram_bins(F.col("_w"), buckets)).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("_good").alias("target")))
