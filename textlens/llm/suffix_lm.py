@@ -55,10 +55,10 @@ P_MIN = 5e-4
 TAIL = 1024
 DEPTH = 2
 PENALTY = 1.0
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 OWN_BYTES = 64  # a longer word is never a class of its own
 START, END, FIRST = 0, 1, 2
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
 
 
 def tokens(text: str) -> list[bytes]:
