@@ -114,3 +114,19 @@ def test_empty_and_untrained(spark):
     rows = L.score_documents(df, F.lit(False)).collect()
     assert [r.base_score for r in rows] == [0.0, 0.0] and {r.n_known for r in rows} == {0}
     assert L.score_documents(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_rare_contexts_seen_often_are_states(spark):
+    """Words and contexts below 0.0005 of the corpus, but seen 300 times; one of three words."""
+    rng = np.random.default_rng(8)
+    filler = [f"w{i}{e}" for i in range(2500) for e in ("ta", "ha", "xe", "no")]
+    rows = [(i, " ".join(rng.choice(filler, 2000))) for i in range(350)]
+    rows += [(1000 + i, "qalpha qbeta") for i in range(300)]
+    rows += [(2000 + i, ("qone qfive qsix qxe", "qtwo qfive qsix qno")[i % 2]) for i in range(600)]
+    rows += [(-1, "qalpha qbeta"), (-2, "qone qfive qsix qxe")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in L.score_documents(df, F.col("doc_id") >= 0, depth=L.DEPTH).collect()}
+    assert 300 / got[-1].train_tokens < 5e-4
+    # a text starts with one of 1250; all that follows is nearly certain
+    assert got[-1].score > math.log10(300 / 1250) - 0.4
+    assert got[-2].score > math.log10(300 / 1250) - 0.4

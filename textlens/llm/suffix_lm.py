@@ -1,36 +1,39 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-The tree's symbols are word classes: a word with at least the share ``P_MIN`` of the
-training tokens is a class of its own (so there are at most 1 / P_MIN of them), every
-other word belongs to one of ``TAIL`` classes by its last two bytes, and the end of a
-text is a class. A text's probability is the product over its tokens of
+The tree's symbols are word classes: a word with at least ``MIN_COUNT`` training
+occurrences is a class of its own, every other word belongs to one of ``TAIL`` classes by
+its last two bytes, and the end of a text is a class. A text's probability is the product
+over its tokens of
 
     p(class | context) * p(word | class),
 
 the second factor being 1 for a word that is its class, (c + 0.1) / (n + 0.1 * (v + 1))
 for the c, n and v of its word, tokens and distinct words in its tail class.
 
-A context is the last 1 to ``DEPTH`` classes, of share ``P_MIN`` at least. It becomes a
-state of the tree if its next-symbol distribution diverges from that of its suffix:
+A context is the last 1 to ``depth`` classes, seen ``MIN_COUNT`` times at least. It becomes
+a state of the tree if its next-symbol distribution diverges from that of its suffix:
 
     sum over symbols of n * ln(p_counted / p_suffix)  >=  PENALTY * distinct symbols.
 
 A state's distribution is smoothed towards its suffix's by as many pseudo-counts as it
 has distinct symbols (Witten-Bell), the root's towards the uniform one. A symbol is
-scored in the longest suffix of its context that is a state.
+scored in the longest suffix of its context that is a state. The bound is a count, not a
+share of the corpus: classes, contexts and states grow with it.
 
 Counts follow the corpus and cover all of it:
 
 1. Texts are dealt into blocks of about ``BLOCK_CHARS`` by a hash of id and text. A block
    lists its distinct words with their training counts; the vocabulary sums the lists.
-2. For each depth one pass over the training texts counts (context, symbol) pairs with
-   numpy per batch, and Spark sums them.
-3. The vocabulary's counts return to the blocks that hold the words, each block's texts
-   are read again and scored with numpy. No token occurrence is ever a row.
+2. The vocabulary's counts and classes return to the blocks that hold the words, and each
+   text is written as the list of its symbols.
+3. For each depth one pass over the blocks counts their (context, symbol) pairs with numpy
+   (0 for those of other texts only), and Spark sums them. A pair seen ``MIN_COUNT`` times
+   is a context of the next depth and returns to the blocks that hold it.
+4. The pairs' probabilities, a Spark table too, return to the blocks that hold the pairs,
+   whose symbols are scored with numpy. No token occurrence is ever a row.
 
-The tree is at most DEPTH / P_MIN states by 1 / P_MIN + TAIL + 2 symbols whatever the
-corpus, so it is made on the driver and sent to the executors; the vocabulary, which
-grows, is joined by shuffles.
+Contexts are named by 64-bit hashes. A table of at most ``SMALL`` rows of plain numbers or
+words up to ``OWN_BYTES`` may be broadcast; the driver holds the ``TAIL`` classes' counts only.
 
 Defined results: a null or empty text has its end token only; ids may be null (they count
 as the empty text when folds are dealt) or repeat; rows equal in id and text are in one
@@ -40,25 +43,28 @@ block; an empty table gives no rows; without training texts the base score is lo
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.llm.common import fold, table, texts
+from textlens.llm.common import fold, small_side, table, texts
+from textlens.operators.skew import lookup_join, with_freq
 from textlens.session import materialize
 
-P_MIN = 5e-4
+MIN_COUNT = 128
 TAIL = 1024
-DEPTH = 2
+DEPTH = 4
 PENALTY = 1.0
 BLOCK_CHARS = 16_000_000
 OWN_BYTES = 64  # a longer word is never a class of its own
 START, END, FIRST = 0, 1, 2
-KNOWN_WORDS = 200_000
+OWN = 1 << 62  # a bit of the symbols that are words
+ROOT = 0
+SMALL = 200_000
+_P = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -66,68 +72,41 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-class Classes(dict):
-    """Word -> class; remembers the words asked for, up to KNOWN_WORDS."""
-
-    def __init__(self, own: dict[bytes, int], tail: int):
-        super().__init__()
-        self.own, self.first_tail, self.tail = own, FIRST + len(own), tail
-
-    def __missing__(self, word):
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        c = self[word] = self.own[word] if word in self.own else self.first_tail + zlib.crc32(word[-2:]) % self.tail
-        return c
+@dataclass
+class Root:
+    """What every task knows: sums over the corpus and the counts of the small symbols
+    (start, end and the tail classes)."""
 
+    n: int  # training tokens
+    v: int  # distinct ones
+    least: float  # count of a context or an own symbol
+    tokens: np.ndarray
+    words: np.ndarray
+    own: int  # number of own symbols
 
-@dataclass
-class Tree:
-    """Classes, contexts by depth and the distributions of the states."""
-
-    own: dict[bytes, int]
-    tail: int
-    class_tokens: np.ndarray
-    class_words: np.ndarray
-    depth: int
-    keys: list[np.ndarray] = field(default_factory=list)  # a depth's contexts, sorted: suffix number * size + class
-    state_of: list[np.ndarray] = field(default_factory=list)
-    p: np.ndarray | None = None  # states by symbols; row 0 is the root
+    @property
+    def kinds(self) -> int:
+        return max(1, self.own + int((self.tokens > 0).sum()))
 
     @property
     def size(self) -> int:
-        return FIRST + len(self.own) + self.tail
-
-    def sequence(self, docs: list[list[int]]):
-        """Flat classes of the texts, each after DEPTH start symbols and closed by its end,
-        and the places of the scored symbols."""
-        pad = [START] * self.depth
-        flat = np.array([c for d in docs for c in (*pad, *d, END)], np.int64)
-        return flat, np.flatnonzero(flat != START)
-
-    def contexts(self, flat, at, depth: int):
-        """Number of the context of this depth before each place, -1 where there is none."""
-        number = np.zeros(len(at), np.int64)
-        for d in range(1, depth + 1):
-            keys = self.keys[d - 1]
-            if not len(keys):
-                return np.full(len(at), -1)
-            key = number * self.size + flat[at - d]
-            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            number = np.where((number >= 0) & (keys[near] == key), near, -1)
-        return number
-
-    def states(self, flat, at):
-        """State of each place: that of its longest context that is one."""
-        state = np.zeros(len(at), np.int64)
-        number = np.zeros(len(at), np.int64)
-        for keys, state_of, d in zip(self.keys, self.state_of, range(1, self.depth + 1)):
-            if not len(keys):
-                break
-            key = number * self.size + flat[at - d]
-            near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            number = np.where((number >= 0) & (keys[near] == key), near, -1)
-            state = np.where(number >= 0, state_of[near], state)
-        return state
+        return len(self.tokens) + self.own
+
+    def p(self, tokens):
+        return (tokens + self.kinds / self.size) / (self.n + self.kinds)
+
+
+def _is_own(symbols):
+    return (symbols < 0) | (symbols >= OWN)
+
+
+def _mix(key, symbol):
+    """Hash of a context (or root) followed by a symbol."""
+    with np.errstate(over="ignore"):
+        h = (key.astype(np.uint64) + np.uint64(1)) * _P + symbol.astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (h ^ (h >> np.uint64(31))).astype(np.int64)
 
 
 def _block_words(block):
@@ -148,142 +127,206 @@ def _block_words(block):
                      "n": pa.array([train[w] for w in words], pa.int64())})
 
 
-def _count_symbols(tree: Tree, depth: int):
-    """Batches of texts -> (context * size + symbol, n) of the contexts of this depth."""
-    def run(batches):
-        import pyarrow as pa
-
-        classes = Classes(tree.own, tree.tail)
-        for batch in batches:
-            found, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for part in range(0, batch.num_rows, 1000):
-                docs = [[classes[w] for w in tokens(t)] for t in batch["text"].slice(part, 1000).to_pylist()]
-                flat, at = tree.sequence(docs)
-                number = tree.contexts(flat, at, depth)
-                code = (number * tree.size + flat[at])[number >= 0]
-                code, n = np.unique(code, return_counts=True)
-                found, back = np.unique(np.concatenate([found, code]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["code", "n"])
-
-    return run
-
-
-def grow_tree(train: DataFrame, tree: Tree, n: int, p_min: float, penalty: float) -> Tree:
-    """Adds contexts depth by depth; each depth is one pass over the training texts."""
-    size = tree.size
-    kinds = max(1, int((tree.class_tokens > 0).sum()))
-    rows = [(tree.class_tokens + kinds / size) / (n + kinds)]
-    contexts = [(c,) for c in np.flatnonzero(tree.class_tokens >= max(1, p_min * n))] if n else []
-    if n and tree.class_tokens[END] >= p_min * n:  # a text begins as often as one ends
-        contexts = [(START,), *(c for c in contexts if c != (END,))]
-    contexts = [c for c in contexts if c != (END,)]
-    suffix_numbers, suffix_states = {(): 0}, np.zeros(1, np.int64)
-    for depth in range(1, tree.depth + 1):
-        contexts.sort(key=lambda c: suffix_numbers[c[1:]] * size + c[0])
-        numbers = {c: i for i, c in enumerate(contexts)}
-        tree.keys.append(np.array([suffix_numbers[c[1:]] * size + c[0] for c in contexts], np.int64))
-        if not contexts:
-            tree.state_of.append(np.zeros(0, np.int64))
-            break
-        counted = (train.mapInArrow(_count_symbols(tree, depth), "code long, n long")
-                   .groupBy("code").agg(F.sum("n").alias("n")).toPandas())  # contexts by symbols at most
-        counts = np.zeros((len(contexts), size))
-        counts.ravel()[counted["code"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
-        state_of = np.zeros(len(contexts), np.int64)
-        for i, c in enumerate(contexts):
-            below = suffix_states[suffix_numbers[c[1:]]]
-            parent, own = rows[below], counts[i]
-            seen = own > 0
-            total, distinct = own.sum(), seen.sum()
-            gain = (own[seen] * np.log(own[seen] / total / parent[seen])).sum() if distinct else 0.0
-            state_of[i] = below
-            if distinct and gain >= penalty * distinct:
-                state_of[i] = len(rows)
-                rows.append((own + distinct * parent) / (total + distinct))
-        tree.state_of.append(state_of)
-        longer = [(*c, int(s)) for i, c in enumerate(contexts) for s in np.flatnonzero(counts[i] >= max(1, p_min * n))]
-        contexts = [c for c in longer if c[-1] != END and c[1:] in numbers]
-        suffix_numbers, suffix_states = numbers, state_of
-    tree.p = np.array(rows)
-    return tree
-
-
-def _block_scores(tree_sent, n: int, v: int):
+def _block_symbols(root: Root):
+    """Texts and words of one block -> the texts as symbols, with their sums."""
     def run(docs, words):
         import pyarrow as pa
 
-        tree = tree_sent.value
         listed = words["word"].to_pylist()
         index = {w: i for i, w in enumerate(listed)}
         c = words["n"].to_numpy().astype(np.float64)
-        classes = Classes(tree.own, tree.tail)
-        klass = np.array([classes[w] if w else END for w in listed], np.int64)
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        own = klass < FIRST + len(tree.own)
-        inside = np.where(own, 0.0, np.log10((c + 0.1) / (
-            tree.class_tokens[klass] + 0.1 * (tree.class_words[klass] + 1))))
-        logs = np.log10(tree.p)
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
+        symbol = words["symbol"].to_numpy()
+        base = np.log10((c + 0.1) / (root.n + 0.1 * (root.v + 1)))
+        alone = _is_own(symbol) | (symbol == END)
+        k = np.where(alone, END, symbol)
+        inside = np.where(alone, 0.0, np.log10((c + 0.1) / (root.tokens[k] + 0.1 * (root.words[k] + 1))))
+        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "inside", "symbols")}
         for text in docs["text"].to_pylist():
             at = np.array([index[w] for w in tokens(text)] + [index[b""]], np.int64)
-            flat = np.concatenate([np.full(tree.depth, START), klass[at]])
-            places = np.arange(tree.depth, len(flat))
             out["n_tokens"].append(len(at))
             out["n_known"].append(int((c[at] > 0).sum()))
             out["base_score"].append(float(base[at].sum()))
-            out["score"].append(float((logs[tree.states(flat, places), flat[places]] + inside[at]).sum()))
-        return pa.table({"doc_id": docs["doc_id"], "learn": docs["learn"], **{
-            k: pa.array(x, pa.float64() if "score" in k else pa.int64()) for k, x in out.items()}})
+            out["inside"].append(float(inside[at].sum()))
+            out["symbols"].append(symbol[at])
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+        return pa.table({"block": docs["block"], "doc_id": docs["doc_id"], "learn": docs["learn"], **{
+            k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds)}})
 
     return run
 
 
+class Places:
+    """The symbols of coded texts, one after another, and the contexts before them."""
+
+    def __init__(self, coded):
+        lists = coded["symbols"].combine_chunks()
+        self.sizes = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(self.sizes)
+        self.symbol = lists.flatten().to_numpy()
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.nth = np.arange(len(self.symbol)) - (ends - self.sizes)[self.doc]
+        self.before = np.where(self.nth > 0, np.roll(self.symbol, 1), START)  # the symbol before each
+        self.context = np.full(len(self.symbol), ROOT)
+
+    def longer(self):
+        """Goes from the contexts of one depth to those of the next; returns the shorter ones and
+        which places have a context (one start symbol is before a text)."""
+        shorter, self.depth = self.context, getattr(self, "depth", 0) + 1
+        self.context = _mix(np.roll(shorter, 1) if self.depth > 1 else shorter, self.before)
+        return shorter, self.nth + 1 >= self.depth
+
+
+def _block_pairs(root: Root, depth: int):
+    """A block's texts and its contexts of this depth, as (context, symbol) of the depth below
+    -> (context, suffix, symbol) with training counts."""
+    def run(coded, found):
+        import pyarrow as pa
+
+        places = Places(coded)
+        for _ in range(depth):
+            shorter, has = places.longer()
+        if depth == 1:
+            b = places.before  # a text begins as often as one ends
+            has = _is_own(b) | (root.tokens[np.where(_is_own(b) | (b == START), END, b)] >= root.least)
+        else:
+            has &= np.isin(places.context, _mix(found["context"].to_numpy(), found["symbol"].to_numpy()))
+        learn = np.repeat(coded["learn"].to_numpy(), places.sizes)[has]
+        context, suffix, symbol = places.context[has], shorter[has], places.symbol[has]
+        _, first, back = np.unique(_mix(context, symbol), return_index=True, return_inverse=True)
+        n = np.bincount(back, learn, len(first)).astype(np.int64)
+        order = np.lexsort((symbol[first], context[first]))
+        first, n = first[order], n[order]
+        block = coded["block"][0].as_py() if len(coded) else 0
+        return pa.table({"block": pa.array(np.full(len(first), block, np.int64)), "context": pa.array(context[first]),
+                         "suffix": pa.array(suffix[first]), "symbol": pa.array(symbol[first]), "n": pa.array(n)})
+
+    return run
+
+
+def _block_scores(root: Root, depth: int):
+    """A block's coded texts and the probabilities of its pairs (root pairs of own symbols
+    too) -> scores."""
+    def run(coded, pairs):
+        import pyarrow as pa
+
+        places = Places(coded)
+        key = _mix(pairs["context"].to_numpy(), pairs["symbol"].to_numpy())
+        order = np.argsort(key)
+        key, logs = key[order], np.log10(pairs["p"].to_numpy()[order])
+
+        def put(log, has):
+            if len(key):
+                pair = _mix(places.context, places.symbol)
+                near = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+                np.copyto(log, logs[near], where=has & (key[near] == pair))
+
+        own = _is_own(places.symbol)
+        log = np.log10(root.p(root.tokens[np.where(own, END, places.symbol)]))
+        put(log, own)
+        for _ in range(depth):
+            _, has = places.longer()
+            put(log, has)
+        score = coded["inside"].to_numpy() + np.bincount(places.doc, log, len(coded))
+        return pa.table({"doc_id": coded["doc_id"], "learn": coded["learn"], "n_tokens": coded["n_tokens"],
+                         "n_known": coded["n_known"], "base_score": coded["base_score"], "score": pa.array(score)})
+
+    return run
+
+
+def _looked_up(big: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table of one row a key; skewed keys are salted."""
+    if lookup.limit(SMALL + 1).count() <= SMALL:
+        return big.join(F.broadcast(lookup), keys)
+    big = materialize(big)
+    return lookup_join(big, with_freq(big, lookup, keys), keys, "__freq")
+
+
+def count_vocabulary(vocabulary: DataFrame, p_min: float | None, min_count: int, tail: int) -> tuple[DataFrame, Root]:
+    """``vocabulary`` with each word's symbol, and the root's sums."""
+    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    least = float(max(1, min_count if p_min is None else p_min * n))
+    size = F.length("word")
+    own = (size <= OWN_BYTES) & (F.col("n") >= least)
+    symbol = F.when(size == 0, F.lit(END)).when(own, F.xxhash64("word").bitwiseOR(F.lit(OWN))).otherwise(
+        F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(tail)) + FIRST).cast("long")
+    coded = vocabulary.withColumn("symbol", symbol)
+    known = coded.where("n > 0")
+    alone = (F.col("symbol") < 0) | (F.col("symbol") >= OWN)
+    root = Root(n, v, least, np.zeros(FIRST + tail), np.zeros(FIRST + tail), known.where(alone).count())
+    for r in known.where(~alone).groupBy("symbol").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        root.tokens[r.symbol], root.words[r.symbol] = r.n, r.v  # at most ``tail`` + 1 rows
+    return coded, root
+
+
+def _states(pairs: DataFrame, below: DataFrame, penalty: float) -> DataFrame:
+    """(context, symbol, n, p, state) of the summed pairs of a depth; ``below``: the
+    probabilities in their suffixes."""
+    known = materialize(_looked_up(pairs, below.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("q")),
+                                   ["suffix", "symbol"]))
+    seen = F.col("n") > 0
+    stats = known.groupBy("context").agg(
+        F.sum("n").alias("total"), F.count_if(seen).alias("distinct"),
+        F.sum(F.when(seen, F.col("n") * F.log(F.col("n") / F.col("q")))).alias("logs"))
+    stats = materialize(stats.select("context", "total", "distinct", (
+        F.col("logs") - F.col("total") * F.log("total") >= penalty * F.col("distinct")).alias("state")))
+    p = F.when(F.col("state"), (F.col("n") + F.col("distinct") * F.col("q")) / (F.col("total") + F.col("distinct")))
+    return _looked_up(known, stats, ["context"]).select(
+        "context", "symbol", "n", F.coalesce(p, F.col("q")).alias("p"), "state")
+
+
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
-                    p_min: float = P_MIN, tail: int = TAIL, depth: int = DEPTH, penalty: float = PENALTY,
-                    block_chars: int = BLOCK_CHARS) -> DataFrame:
+                    p_min: float | None = None, tail: int = TAIL, depth: int = 2, penalty: float = PENALTY,
+                    block_chars: int = BLOCK_CHARS, min_count: int = MIN_COUNT, audit: dict | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
-    ``learn``: a condition on ``doc_id``; the model is counted on the rows that meet it."""
+    ``learn``: a condition on ``doc_id``; the model is counted on the rows that meet it.
+    ``p_min``: a share of the training tokens to use instead of ``min_count``. ``audit``
+    receives the number of own symbols and the contexts and states of each depth."""
+    spark = docs.sparkSession
     t = texts(docs, id_col, text_col).withColumn("learn", F.coalesce(learn, F.lit(False)))
     chars = t.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     dealt = t.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
     words = materialize(dealt.groupBy("block").applyInArrow(_block_words, "block long, word binary, n long"))
-    vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("n")))
-    tree, n, v = vocabulary_tree(vocabulary, p_min, tail, depth)
-    grow_tree(t.where("learn").select("text"), tree, n, p_min, penalty)
+    vocabulary, root = count_vocabulary(materialize(words.groupBy("word").agg(F.sum("n").alias("n"))), p_min, min_count, tail)
     back = words.select("block", "word").join(vocabulary, "word")
     kind = t.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double"
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    out = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_block_scores(sent, n, v), schema)
+    coded = materialize(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
+        _block_symbols(root), f"block long, doc_id {kind}, learn boolean, n_tokens long, n_known long, "
+        "base_score double, inside double, symbols array<long>"))
+
+    own = vocabulary.where((F.col("symbol") < 0) | (F.col("symbol") >= OWN))
+    p_own = (F.col("n") + F.lit(root.kinds / root.size)) / F.lit(float(root.n + root.kinds))
+    rows = [(i, float(root.p(root.tokens[i]))) for i in range(END, FIRST + tail)]
+    below = materialize(own.select("symbol", p_own.alias("p")).union(spark.createDataFrame(rows, "symbol long, p double"))
+                        .select(F.lit(ROOT).cast("long").alias("context"), "symbol", "p"))
+    needed = [words.select("block", "word").join(small_side(own.select("word", "symbol", p_own.alias("p")), SMALL), "word")
+              .select("block", F.lit(ROOT).cast("long").alias("context"), "symbol", "p")]
+    found = spark.createDataFrame([], "block long, context long, symbol long")
+    reached = 0
+    for d in range(1, depth + 1 if root.n else 1):
+        grams = materialize(coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+            _block_pairs(root, d), "block long, context long, suffix long, symbol long, n long"))
+        pairs = grams.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
+        scored = materialize(_states(pairs, below, penalty))
+        below, reached = scored, d
+        needed.append(grams.select("block", "context", "symbol").join(
+            scored.where("state").select("context", "symbol", "p"), ["context", "symbol"]).select("block", "context", "symbol", "p"))
+        if audit is not None:
+            audit |= {"own": root.own, d: tuple(scored.agg(F.count_distinct("context"), F.count_distinct(
+                F.when(F.col("state"), F.col("context")))).first())}
+        longer = scored.where((F.col("n") >= root.least) & (F.col("symbol") != END)).select("context", "symbol")
+        if d == depth or longer.isEmpty():
+            break
+        found = grams.select("block", "context", "symbol").join(small_side(longer, SMALL), ["context", "symbol"])
+    pairs = needed[0]
+    for more in needed[1:]:
+        pairs = pairs.unionByName(more)
+    out = coded.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(
+        _block_scores(root, reached),
+        f"doc_id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
-                      F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def vocabulary_tree(vocabulary: DataFrame, p_min: float, tail: int, depth: int) -> tuple[Tree, int, int]:
-    """A tree without contexts, the training tokens and the distinct ones."""
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    size = F.length("word")
-    frequent = (vocabulary.where((size > 0) & (size <= OWN_BYTES) & (F.col("n") >= p_min * n) & (F.col("n") > 0))
-                .orderBy("word").collect())  # at most 1 / p_min words
-    tree = Tree({bytes(r.word): FIRST + i for i, r in enumerate(frequent)}, tail, np.zeros(0), np.zeros(0), depth)
-    tree.class_tokens, tree.class_words = np.zeros(tree.size), np.zeros(tree.size)
-    sums = (vocabulary.where((size > 0) & (F.col("n") > 0))
-            .groupBy(F.pmod(F.crc32(F.substring("word", -2, 2)), F.lit(tail)).alias("c"))
-            .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect())  # at most ``tail`` rows
-    first_tail = FIRST + len(frequent)
-    for r in sums:
-        tree.class_tokens[first_tail + r.c] = r.n
-        tree.class_words[first_tail + r.c] = r.v
-    for i, r in enumerate(frequent):  # they leave their tail class
-        c = first_tail + zlib.crc32(bytes(r.word)[-2:]) % tail
-        tree.class_tokens[c] -= r.n
-        tree.class_words[c] -= 1
-        tree.class_tokens[FIRST + i], tree.class_words[FIRST + i] = r.n, 1
-    tree.class_tokens[END] = vocabulary.where(size == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return tree, n, v
+                      F.lit(root.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0)
+    return score_documents(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) != 0, depth=DEPTH)
