@@ -1,32 +1,3 @@
 """Connected components of a link table, by alternating stars."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from textlens.session import materialize
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node that is not the least of its component, from rows (a, b).
-
-    Each round links the greater neighbours of a node to its least neighbour, then the
-    smaller ones (the two star operations), which ends in one star a component. A round
-    moves the links once for each operation; a node's links are joined with its least
-    neighbour, never collected, so a node of any degree is split like any skewed key. Each
-    round's links are written to the shared folder."""
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .where("u <> v").distinct())
-    before = None
-    while True:
-        state = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if state == before or state[0] == 0:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = state
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialize(large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                        .union(small.select("u", F.col("m").alias("v"))).distinct())
+from textlens.operators.groups import connected  # noqa: F401

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from textlens.llm.common import chunks, small_side, table, texts
 from textlens.llm.components import connected
-from textlens.llm.vector_dedup import _forest as spanning_forest
+from textlens.operators.groups import shared_counts, spanning_forest
 from textlens.session import materialize
 
 WORDS, THRESHOLD = 5, 0.8
@@ -189,36 +189,6 @@ def _read_sets(batches):
                                               pa.array(sets, pa.binary())], ["cid", "root", "copies", "cut", "shingles"])
 
 
-def shared_counts(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """|A & B| for the sets numbered ``first`` (rows) and ``second`` (columns)."""
-    both = np.unique(np.concatenate([first, second]))
-    place = {s: i for i, s in enumerate(both)}
-    row = np.repeat(np.arange(len(both)), [len(sets[s]) for s in both])
-    _, col, df = np.unique(np.concatenate([sets[s] for s in both]), return_inverse=True, return_counts=True)
-    m = len(both)
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    starts = np.cumsum(df) - df
-    pairs = [np.zeros(0, np.int64)]
-    for d in range(2, 9):  # a shingle of few sets: its pairs, lower number first
-        at = starts[df == d]
-        pairs += [row[at + i] * m + row[at + j] for i in range(d) for j in range(i + 1, d)]
-    out = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m).astype(np.int32)
-    many = np.flatnonzero(df > 8)  # of many sets: matrix products over blocks of shingles
-    number = np.full(len(df), -1)
-    number[many] = np.arange(len(many))
-    use = number[col] >= 0
-    row, col = row[use], number[col[use]]
-    upper = out + out.T
-    for a in range(0, len(many), 4096):
-        inside = (col >= a) & (col < a + 4096)
-        has = np.zeros((m, min(4096, len(many) - a)), np.float32)
-        has[row[inside], col[inside] - a] = 1
-        upper += np.rint(has @ has.T).astype(np.int32)
-    np.fill_diagonal(upper, [len(sets[s]) for s in both])
-    return upper[np.ix_([place[s] for s in first], [place[s] for s in second])]
-
-
 def _verify(threshold: float, depth: int):
     """Rows of components -> link counts, forest links and the recall's two sums."""
     def run(t):

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from textlens.llm.common import hash_sample, table
 from textlens.llm.components import connected
+from textlens.operators.groups import spanning_forest
 from textlens.session import materialize
 
 THRESHOLD = 0.95
@@ -132,25 +133,6 @@ def _adjacency(lists, index: dict[int, int]) -> np.ndarray:
     return out
 
 
-def _forest(a, b):
-    """The pairs that join two trees, in order."""
-    root: dict[int, int] = {}
-
-    def find(i):
-        while root.setdefault(i, i) != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i, j in zip(a, b):
-        u, v = find(i), find(j)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            out.append((i, j))
-    return out
-
-
 def _build(t):
     import pyarrow as pa
 
@@ -188,7 +170,7 @@ def _search(threshold):
             i, j = i[first], j[first]
             np.add.at(weight, i, copies[j])
             np.add.at(weight, j, copies[i])
-            links = _forest(i, j)
+            links = spanning_forest(i, j)
         return pa.table({
             "rep": pa.array([*ids, *(ids[i] for i, _ in links)], pa.int64()),
             "other": pa.array([None] * len(ids) + [ids[j] for _, j in links], pa.int64()),
