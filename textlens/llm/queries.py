@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from textlens.llm.bpe import op8_byte_bpe
+from textlens.llm.fill_middle import ORACLE as FILL_MIDDLE
+from textlens.llm.fill_middle import op12_fill_in_middle
 from textlens.llm.jaccard_join import op5_jaccard_join
 from textlens.llm.language import op7_language_id
 from textlens.llm.mixing import op4_source_mixing
@@ -12,6 +14,7 @@ from textlens.llm.secrets import op3_secret_scans
 from textlens.llm.sharding import op2_sharding
 from textlens.llm.suffix_lm import op10_lm_scoring
 from textlens.llm.vector_dedup import op6_embedding_dedup
+from textlens.llm.whitening import op11_embedding_whitening
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier,
@@ -24,6 +27,8 @@ QUERIES = {f.__name__: f for f in (
     op8_byte_bpe,
     op9_quality_rules,
     op10_lm_scoring,
+    op11_embedding_whitening,
+    op12_fill_in_middle,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_fill_in_middle": FILL_MIDDLE}
