@@ -13,6 +13,7 @@ from textlens.llm.rules import op9_quality_rules
 from textlens.llm.secrets import op3_secret_scans
 from textlens.llm.sharding import op2_sharding
 from textlens.llm.suffix_lm import op10_lm_scoring
+from textlens.llm.toxicity import op13_toxicity
 from textlens.llm.vector_dedup import op6_embedding_dedup
 from textlens.llm.whitening import op11_embedding_whitening
 
@@ -29,6 +30,7 @@ QUERIES = {f.__name__: f for f in (
     op10_lm_scoring,
     op11_embedding_whitening,
     op12_fill_in_middle,
+    op13_toxicity,
 )}
 
 ORACLES: dict[str, str] = {"op12_fill_in_middle": FILL_MIDDLE}
