@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from textlens.llm.common import chunks, fold, hash_sample, table, texts
 
-FIT_DOCS, FIT_SENTENCES = 2_500, 100_000
+FIT_DOCS, FIT_SENTENCES = 1_500, 50_000
 SENTENCE_WORDS = 64  # longer sentences are cut after so many words
 DECAY, SPANS = 0.5, {3: 5, 4: 6}
 PIECE, STRIDE = 24, 12
@@ -104,10 +104,10 @@ class Units:
         letter = symbol != SPACE
         first = letter.copy()
         first[1:] &= ~letter[:-1]  # the first letter of a word
-        word = np.cumsum(first)[letter] - 1
         letters, begin = symbol[letter], np.flatnonzero(first[letter])
-        length = np.bincount(word, minlength=len(begin))
+        length = np.diff(np.append(begin, len(letters)))
         owner = doc[letter][begin]
+        del points, symbol, doc, used, letter, first
         new = np.ones(len(begin), bool)  # single letters in a row are one unit
         new[1:] = ~((length[1:] == 1) & (length[:-1] == 1) & (owner[1:] == owner[:-1]))
         begin, owner = begin[new], owner[new]
@@ -252,7 +252,8 @@ class Machine:
         """``doc`` numbers each sentence's document, ``label`` (0, 1) and ``back`` (kept for the
         sigmoid) belong to documents; ``share`` is that of label 1 among all labelled ones."""
         units = Units(sentences)
-        part = np.unique(np.array(sentences, object).astype(str), return_inverse=True)[1][units.doc]
+        number = {}
+        part = np.array([number.setdefault(s, len(number)) for s in sentences], np.int32)[units.doc]
         units.doc = doc[units.doc]
         self._learn(units, part, label, ~back)
         f = highest(units, units.values(self.table), len(label)) + self.bias
