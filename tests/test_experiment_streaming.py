@@ -68,6 +68,28 @@ def test_run_from_prompts_to_shares(spark):
     assert shares[0.3].filtered_token_percentage == pytest.approx(1.0, abs=1e-8)
 
 
+def test_repeated_prompts_keep_their_own_results(spark):
+    """Two rows of one prompt with predictions of 5 and 3 further words, and their responses
+    in the order of the dataset."""
+    d = scratch("exp")
+    rows = [("def f", "python", "def f a b c d e"), ("def f", "python", "def f a b c"), ("def g", "python", "def g x")]
+    path = write_dataset(d, rows, "prompt,language,prediction")
+    spec = ExperimentSpec(dataset=path, save_path=os.path.join(d, "out"), generation=False, thresholds=(1.01,))
+    res = {int(r.row_id): r for r in read_csv(spark, run_experiment(spark, spec)["results"]).collect()}
+    assert {i: len(json.loads(r.token_probabilities)) for i, r in res.items()} == {0: 5, 1: 3, 2: 1}
+    assert len({r["1.01_perplexity"] for r in res.values()}) == 3
+    answers = [(p, lang, f"### Response\n```{lang}\n{full}\n```") for p, lang, full in rows]
+    given = spark.createDataFrame(answers, "prompt string, language string, response string").coalesce(1)
+    spec = ExperimentSpec(dataset=path, save_path=os.path.join(d, "out2"), scoring=False)
+    code = read_csv(spark, run_experiment(spark, spec, given)["generated_code"]).collect()
+    assert {int(r.row_id): r.prediction for r in code} == {i: full for i, (_, _, full) in enumerate(rows)}
+    with pytest.raises(ValueError, match="3 rows cannot be aligned with 2"):
+        run_experiment(spark, spec, given.limit(2))
+    twice = spark.createDataFrame([(0, *answers[0]), (0, *answers[1])], "row_id long, prompt string, language string, response string")
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        run_experiment(spark, spec, twice)
+
+
 def test_wrong_prompt_stops_the_run(spark):
     d = scratch("exp")
     spec = ExperimentSpec(dataset=write_dataset(d, ROWS), save_path=os.path.join(d, "out"), key="id", scoring=False)

@@ -63,3 +63,17 @@ def with_freq(big: DataFrame, lookup: DataFrame, keys: list[str], freq_col: str
     a key it lacks): a lookup table for ``lookup_join``."""
     used = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(freq_col))
     return used.join(lookup, keys, "left")
+
+
+def skewed_join(big: DataFrame, small: DataFrame, keys: list[str], hot_fraction: float = HOT_FRACTION) -> DataFrame:
+    """Inner join of two tables that both may have many rows a key. The rows of ``big`` with
+    a key that holds at least ``hot_fraction`` of them draw one of the key's salts; those of
+    ``small`` are repeated for each salt. ``big`` is counted in one pass before."""
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__freq"))
+    salts = F.broadcast(hot_salts(counts, keys, "__freq", hot_fraction))
+    others = [F.col(c) for c in big.columns if c not in keys]
+    dealt = big.join(salts, keys, "left").select(
+        *big.columns, F.pmod(F.xxhash64(*others), F.coalesce("__salts", F.lit(1))).cast("int").alias("__salt"))
+    last = F.coalesce("__salts", F.lit(1)) - 1
+    repeated = small.join(salts, keys, "left").select(*small.columns, F.explode(F.sequence(F.lit(0), last)).alias("__salt"))
+    return dealt.join(repeated, [*keys, "__salt"]).drop("__salt")

@@ -98,6 +98,7 @@ from textlens.functions import metrics as M  # noqa: E402
 from textlens.functions import text as T  # noqa: E402
 from textlens.operators import idf as I  # noqa: E402
 from textlens.operators import similarity as SIM  # noqa: E402
+from textlens.operators import simjoin as SJ  # noqa: E402
 from textlens.plans.sqlparts import code_tokens, sql_str, thresholds_values, words  # noqa: E402
 
 _EV_SQL = """ev AS (
@@ -146,6 +147,22 @@ def q_scan_prompts(spark, sf):
     return FX.eval_rows(spark, sf).select("row_id", "prompt", "language", "source", "prediction")
 
 
+@register("scan_prompts_csv", f"WITH {_EV_SQL} SELECT row_id, prompt, language, source, prediction FROM ev")
+def q_scan_prompts_csv(spark, sf):
+    """The prompt dataset written as quoted CSV (texts hold newlines) under the checkpoint
+    folder and read back in splits, its key column checked."""
+    import uuid
+
+    from textlens.session import checkpoint_dir
+    from textlens.sources import io as IO
+
+    ev = FX.eval_rows(spark, sf).select(F.col("row_id").alias("id"), "prompt", "language", "source", "prediction")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/textlens-sinks/{uuid.uuid4().hex}"
+    IO.write_csv(ev, path)
+    back = IO.read_prompts(spark, path, key="id")
+    return back.select(F.col("row_id").cast("bigint").alias("row_id"), "prompt", "language", "source", "prediction")
+
+
 @register(
     "scan_json",
     "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
@@ -795,7 +812,7 @@ def q_edit_distance(spark, sf):
     return d.select("pair_id", r6("edit_distance").alias("edit_distance"))
 
 
-_EDIT_LIMIT = 0.85
+_EDIT_LIMIT = 0.975  # between the least and the greatest distance of unrelated items
 
 
 @register(
@@ -809,6 +826,76 @@ def q_edit_distance_join(spark, sf):
     return d.select("pair_id", "distance", r6("edit_distance").alias("edit_distance"))
 
 
+# Exact joins over the whole corpus. The SQL goes through all pairs: of shingle sets by their
+# shared shingles; of token sequences by length and common words (both bounds of the
+# distance), then by the distance table inside a band, a row of it a step.
+
+_SET_JOIN_SQL = f"""{_DOC_WORDS},
+sets AS MATERIALIZED (SELECT doc_id, list_sort({_shingle_sql('w')}) AS s FROM dw),
+cls AS MATERIALIZED (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY s) AS rep_id FROM sets),
+sh AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM cls WHERE doc_id = rep_id),
+met AS (SELECT b.doc_id, a.doc_id AS rep_id, count(*) / (a.n + b.n - count(*)) AS similarity
+        FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY b.doc_id, a.doc_id, a.n, b.n),
+links AS (SELECT * FROM met WHERE similarity >= 0.8 UNION ALL SELECT doc_id, rep_id, 1.0 FROM cls WHERE doc_id <> rep_id)"""
+
+
+@register("near_dup_pairs_exact", f"WITH {_SET_JOIN_SQL} SELECT doc_id, rep_id, round(similarity, 6) AS jaccard FROM links")
+def q_near_dup_pairs_exact(spark, sf):
+    """Every copy with the smallest id of its class, every pair of classes at 0.8 or more."""
+    links, classes = SJ.jaccard_join(FX.documents(spark, sf), threshold=0.8)
+    rows = SJ.similar_classes(links, classes)
+    return rows.select("doc_id", "rep_id", r6("similarity").alias("jaccard"))
+
+
+_JOIN_LIMIT = 0.2
+
+
+def _edit_join_sql(limit: float) -> str:
+    k = f"floor({limit}::DOUBLE * greatest(a.n, b.n) + 1e-9)::BIGINT"
+    return f"""WITH RECURSIVE tok AS (SELECT doc_id, {words('text')} AS w FROM documents),
+cls AS MATERIALIZED (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY w) AS rep_id FROM tok),
+t AS MATERIALIZED (SELECT doc_id, w, len(w)::BIGINT AS n FROM cls WHERE doc_id = rep_id AND len(w) > 0),
+c AS MATERIALIZED (SELECT doc_id, word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS word FROM t) GROUP BY ALL),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, {k} AS k
+  FROM t a JOIN t b ON a.doc_id < b.doc_id AND abs(a.n - b.n) <= {k}),
+s AS MATERIALIZED (SELECT x, y, nx, ny, k FROM p JOIN c ca ON ca.doc_id = x JOIN c cb ON cb.doc_id = y AND cb.word = ca.word
+  GROUP BY ALL HAVING greatest(nx, ny) - sum(least(ca.c, cb.c)) <= k),
+pos AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(1, n + 1)) AS i FROM t
+  WHERE doc_id IN (SELECT x FROM s UNION SELECT y FROM s)),
+dp AS (
+  SELECT x, y, nx, ny, k, 0::BIGINT AS i, j, j AS d FROM (SELECT s.*, unnest(range(0, least(k, ny) + 1)) AS j FROM s)
+  UNION ALL
+  SELECT x, y, nx, ny, k, i, j, j + min(m - j) OVER (PARTITION BY x, y ORDER BY j) AS d FROM (
+    SELECT x, y, nx, ny, k, i, j, min(m) AS m FROM (
+      SELECT x, y, nx, ny, k, i + 1 AS i, j, d + 1 AS m FROM dp WHERE i < nx AND abs(j - i - 1) <= k
+      UNION ALL
+      SELECT dp.x, dp.y, nx, ny, k, dp.i + 1, j + 1, d + CASE WHEN a.word = b.word THEN 0 ELSE 1 END
+      FROM dp JOIN pos a ON a.doc_id = dp.x AND a.i = dp.i + 1 JOIN pos b ON b.doc_id = dp.y AND b.i = dp.j + 1)
+    GROUP BY ALL)),
+links AS (SELECT y AS doc_id, x AS rep_id, d AS distance, d / greatest(nx, ny) AS e FROM dp WHERE i = nx AND j = ny)"""
+
+
+@register(
+    "edit_join_documents",
+    f"""{_edit_join_sql(_JOIN_LIMIT)}
+SELECT doc_id, rep_id, distance, round(e, 6) AS edit_distance FROM links WHERE e <= {_JOIN_LIMIT}
+UNION ALL SELECT doc_id, rep_id, 0, 0.0 FROM cls WHERE doc_id <> rep_id""",
+)
+def q_edit_join_documents(spark, sf):
+    """Every copy with the smallest id of its class, every pair of classes within 0.2."""
+    links, classes = SJ.edit_join(FX.documents(spark, sf), _JOIN_LIMIT)
+    copies = classes.where("doc_id <> rep_id").select("doc_id", "rep_id", F.lit(0).cast("bigint").alias("distance"), F.lit(0.0).alias("edit_distance"))
+    return copies.unionByName(links.select(F.col("id_b").alias("doc_id"), F.col("id_a").alias("rep_id"), "distance",
+                                           r6("edit_distance").alias("edit_distance")))
+
+
+@register("token_levenshtein_documents")
+def q_token_levenshtein_documents(spark, sf):
+    """Each document against the next one, whole texts (no SQL: its table of distances would
+    have the product of both lengths in rows)."""
+    return SIM.token_levenshtein(FX.adjacent_pairs(spark, sf)).select("pair_id", "n_a", "n_b", "distance")
+
+
 @register("sink_results_wide", _wide_sql(
     extra_select=", max(n_probs)::BIGINT AS n_token_probabilities",
     extra_cte=f", np AS (SELECT row_id, count(*) AS n_probs FROM sc GROUP BY row_id), rm2 AS (SELECT * FROM rm)",

@@ -3,10 +3,11 @@
 ``ExperimentSpec`` carries the run's parameters (what a settings file would hold), with a
 switch for each of the two sections. ``run_experiment`` then:
 
-1. reads the prompt dataset (``row_id, prompt, language[, source][, prediction]``);
+1. reads the prompt dataset (``row_id, prompt, language[, source][, prediction]``); a row
+   is known by its position, or by a stated key that must not repeat;
 2. generation: renders every prompt with the chat template for the model (a sink). When
-   ``responses`` (raw model outputs by ``row_id``) are given, they must carry the dataset's
-   prompts; they are parsed into ``generated_code`` / ``prediction`` = prompt + generated
+   ``responses`` (raw model outputs, by ``row_id`` or in the order of the dataset) are given,
+   they must carry the dataset's prompts; they are parsed into ``generated_code`` / ``prediction`` = prompt + generated
    code and written;
 3. scoring: takes token scores from ``token_scores`` (a table scored elsewhere: ``row_id,
    side, pos, token, prob[, weight]``), or fits the bigram LM on the LM corpus (default: the
@@ -34,6 +35,7 @@ from textlens.functions import text as T
 from textlens.operators import idf as I
 from textlens.operators import lm as LM
 from textlens.operators import scoring as S
+from textlens.operators.align import align_by_position, require_unique
 from textlens.session import materialize, scratch_tables
 from textlens.sources import io as IO
 
@@ -43,7 +45,7 @@ class ExperimentSpec:
     dataset: str
     save_path: str
     dataset_format: str = "csv"
-    key: str | None = None  # column that identifies a row; default: a hash of language and prompt
+    key: str | None = None  # column that identifies a row; default: its position in the data set
     generation: bool = True
     scoring: bool = True
     chat_template: str | None = None  # default: textlens.functions.text.DEFAULT_CHAT_TEMPLATE
@@ -72,6 +74,11 @@ def generate(ds: DataFrame, spec: ExperimentSpec, responses: DataFrame | None, o
     out["instructions"] = IO.write_table(rendered, spec.save_path, "instructions")
     if responses is None:
         return ds
+    if "row_id" not in responses.columns:  # in the order of the dataset
+        if spec.key:
+            raise ValueError("responses without row_id are aligned by position, which a dataset with a key has not")
+        responses = align_by_position(ds.select("row_id"), responses, "row_id")
+    require_unique(responses, "row_id", "the responses' column")
     wrong = LM.prompt_mismatches(ds, responses).limit(1).collect()
     if wrong:
         raise ValueError(f"the response of row {wrong[0].row_id} belongs to another prompt")

@@ -1,21 +1,21 @@
 """Readers and writers of the evaluation tables.
 
 * ``read_prompts``: the CSV prompt dataset (header row, quoted multi-line fields, doubled
-  quotes as escape, explicit schema, ``NA``-style strings to NULL).
+  quotes as escape, explicit schema, ``NA``-style strings to NULL), read in splits.
 * ``read_json`` / ``parse_json_column``: whole JSON documents or a JSON text column.
 * ``write_generated``, ``write_results``, ``write_percentages``: the sinks. Arrays are
   serialised with ``to_json`` for CSV, which has no array type.
-
-A ``multiLine`` CSV file is not splittable; at scale keep the prompts as many files or as
-parquet (``read_prompts(..., fmt="parquet")``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textlens.operators.align import require_unique, with_positions
+from textlens.sources.quoted_csv import header_of, read_quoted_csv
+
 PROMPT_SCHEMA = T.StructType(
     [
         T.StructField("prompt", T.StringType()),
@@ -34,37 +34,27 @@ NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-na
 
 def read_prompts(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | None = None,
                  key: str | None = None) -> DataFrame:
-    """Prompt dataset with a ``row_id`` key. For CSV the header decides which of the
-    schema's columns exist (``source`` and ``prediction`` are optional). ``key`` names the
-    column that identifies a row; without one (and without a column ``row_id``) the key is a
-    hash of language and prompt, which does not depend on how the files are laid out."""
+    """Prompt dataset with a ``row_id``. For CSV the header decides which of the schema's
+    columns exist (``source`` and ``prediction`` are optional).
+
+    ``key`` names the column that identifies a row; it must not repeat. Without one (and
+    without a column ``row_id``, for which the same holds) a row's position in the data set
+    is its id: files by name, rows in order. Rows that repeat a prompt stay apart."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
+        key = key or ("row_id" if "row_id" in df.columns else None)
+        if not key:
+            return with_positions(df, "row_id", written=True)
     else:
-        header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
-        fields = [f for f in (schema or PROMPT_SCHEMA).fields if f.name in header]
-        extra = [T.StructField(c, T.StringType()) for c in header if c not in {f.name for f in fields}]
-        by_name = {f.name: f for f in fields + extra}
-        sch = T.StructType([by_name[c] for c in header])
-        df = (
-            spark.read.schema(sch)
-            .option("header", True)
-            .option("multiLine", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .csv(path)
-        )
-        for c in df.columns:
-            df = df.withColumn(c, F.when(F.col(c).isin(*NA_STRINGS), F.lit(None)).otherwise(F.col(c)))
-    if key:
-        return df.withColumnRenamed(key, "row_id")
-    if "row_id" not in df.columns:
-        df = df.withColumn("row_id", prompt_key("prompt", "language"))
-    return df
-
-
-def prompt_key(prompt, language) -> Column:
-    return F.xxhash64(F.col(language), F.col(prompt))
+        named = header_of(spark, path)
+        df = read_quoted_csv(spark, path, schema or PROMPT_SCHEMA)
+        df = df.select(*[F.when(F.col(f"`{c}`").isin(*NA_STRINGS), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
+                         if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes])
+        key = key or ("row_id" if "row_id" in named else None)
+        if not key:
+            return df
+    df = require_unique(df, key)
+    return df if key == "row_id" else df.drop("row_id").withColumnRenamed(key, "row_id")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
