@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.operators import lm as LM
+from textlens.operators import ngram as NG
 from textlens.operators import scoring as S
 from textlens.plans import fixtures as FX
-from textlens.plans.sqlparts import lm_ctes, metric_ctes, scored_ctes
+from textlens.plans.sqlparts import kn_ctes, kn_scored, lm_ctes, metric_ctes, scored_ctes
 from textlens.session import materialize
 
 QUERIES: dict = {}
@@ -604,6 +605,32 @@ def q_paired_share(spark, sf):
                      r6("source_filtered_token_percentage").alias("source_filtered_token_percentage"))
 
 
+# ---------------------------------------------------------------------------------------
+# The n-gram model of order 5, fitted on all documents
+# ---------------------------------------------------------------------------------------
+
+_ORDER = 5
+_KN_SQL = kn_ctes("documents", "text", _ORDER, NG.FALLBACK)
+
+
+@register("ngram_kn_discounts", f"WITH {_KN_SQL} " + " UNION ALL ".join(
+    f'SELECT {m} AS "order", round(d1, 9) AS d1, round(d2, 9) AS d2, round(d3, 9) AS d3 FROM kd{m}' for m in range(1, _ORDER + 1)))
+def q_ngram_kn_discounts(spark, sf):
+    tables = NG.adjusted_counts(FX.documents(spark, sf), "text", _ORDER)
+    return NG.discounts(tables).select("order", *[F.round(c, 9).alias(c) for c in ("d1", "d2", "d3")])
+
+
+@register("ngram_kn_scores", f"""WITH {_EV_SQL}, {_KN_SQL}, {kn_scored('ev', 'row_id', 'prediction', 'prompt', _ORDER)}
+SELECT ev.row_id, count(ks.prob) AS n_tokens, round(coalesce(sum(ln(ks.prob)), 0), 6) AS log_prob
+FROM ev LEFT JOIN ks ON ks.row_id = ev.row_id GROUP BY ev.row_id""")
+def q_ngram_kn_scores(spark, sf):
+    """The predictions' log probability; the model is that of the documents, so grams of all
+    orders and unknown tokens occur."""
+    lm = NG.fit_ngram_lm(FX.documents(spark, sf), "text", _ORDER)
+    ts = NG.ngram_token_scores(lm, FX.eval_rows(spark, sf), "row_id", "prediction", "prompt")
+    return ts.groupBy("row_id").agg(F.count("prob").alias("n_tokens"), F.round(F.coalesce(F.sum(F.ln("prob")), F.lit(0.0)), 6).alias("log_prob"))
+
+
 # ---------------------------------------------------------------------------------------
 # 2.5 IDF
 # ---------------------------------------------------------------------------------------

@@ -98,3 +98,48 @@ rm AS (
   LEFT JOIN ag ON ag.{id_col} = r.{id_col} AND ag.threshold = thr.threshold {''.join(f' AND ag.{c} = r.{c}' for c in extra.split(', ') if c)}
   LEFT JOIN lr ON lr.{id_col} = r.{id_col} AND lr.threshold = thr.threshold {''.join(f' AND lr.{c} = r.{c}' for c in extra.split(', ') if c)}
 )"""
+
+
+def _lagged(source: str, key: str, seq: str, order: int, extra: str = "") -> str:
+    """One row per token of the list ``seq``: its place ``idx`` and the tokens l1.. before it."""
+    lags = ", ".join(f"lag(token, {k}) OVER (PARTITION BY {key} ORDER BY idx) AS l{k}" for k in range(1, order + 1))
+    return f"""SELECT *, {lags} FROM (SELECT {key}{extra}, unnest({seq}) AS token, generate_subscripts({seq}, 1) AS idx FROM {source})"""
+
+
+def _context(m: int, prefix: str = "") -> str:
+    return "array_to_string([" + ", ".join(f"{prefix}l{k}" for k in range(m - 1, 0, -1)) + "], ' ')" if m > 1 else "''"
+
+
+def kn_ctes(fit_table: str, text_col: str, order: int, fallback=(0.5, 1.0, 1.5)) -> str:
+    """CTEs of the modified Kneser-Ney model: ``a{m}(ctx, token, a)``, ``kd{m}(d1, d2, d3)``,
+    ``kc{m}(ctx, total, gamma)`` for the orders m, and ``kv(v)``, the number of tokens seen."""
+    out = [f"kn_seq AS (SELECT row_number() OVER () AS rid, list_concat([{sql_str(BOS)}], {words(text_col)}) AS s FROM {fit_table})",
+           f"kn_occ AS MATERIALIZED ({_lagged('kn_seq', 'rid', 's', order)})"]
+    f1, f2, f3 = (dbl(x) for x in fallback)
+    for m in range(1, order + 1):
+        count = "count(*)" if m == order else f"count(DISTINCT l{m}) + count(*) FILTER (WHERE l{m} IS NULL)"
+        out.append(f"a{m} AS MATERIALIZED (SELECT {_context(m)} AS ctx, token, {count} AS a FROM kn_occ WHERE idx >= greatest(2, {m}) GROUP BY ALL)")
+        out.append(f"kt{m} AS (SELECT count(*) FILTER (WHERE a = 1) AS t1, count(*) FILTER (WHERE a = 2) AS t2, "
+                   f"count(*) FILTER (WHERE a = 3) AS t3, count(*) FILTER (WHERE a = 4) AS t4 FROM a{m})")
+        out.append(f"kr{m} AS (SELECT 1 - 2 * y * t2 / t1 AS d1, 2 - 3 * y * t3 / t2 AS d2, 3 - 4 * y * t4 / t3 AS d3 FROM (SELECT *, t1 / (t1 + 2 * t2) AS y FROM kt{m}))")
+        ok = "d1 BETWEEN 0 AND 1 AND d2 BETWEEN 0 AND 2 AND d3 BETWEEN 0 AND 3"
+        out.append(f"kd{m} AS MATERIALIZED (SELECT CASE WHEN {ok} THEN d1 ELSE {f1} END AS d1, CASE WHEN {ok} THEN d2 ELSE {f2} END AS d2, "
+                   f"CASE WHEN {ok} THEN d3 ELSE {f3} END AS d3 FROM kr{m})")
+        out.append(f"kc{m} AS MATERIALIZED (SELECT ctx, sum(a) AS total, sum(CASE a WHEN 1 THEN d1 WHEN 2 THEN least(d2, 2) ELSE least(d3, a) END) / sum(a) AS gamma "
+                   f"FROM a{m}, kd{m} GROUP BY ctx)")
+    out.append("kv AS (SELECT count(*) AS v FROM a1)")
+    return ",\n".join(out)
+
+
+def kn_scored(rows_table: str, id_col: str, text_col: str, prompt_col: str, order: int) -> str:
+    """CTE ``ks(<id>, pos, token, prob)`` of the scored tokens of ``rows_table``, each
+    probability by the recursion from order 0 up."""
+    p, joins = "1.0::DOUBLE / (kv.v + 1)", ""
+    for m in range(1, order + 1):
+        joins += (f" LEFT JOIN kc{m} c{m} ON o.idx >= {m} AND c{m}.ctx = {_context(m, 'o.')}"
+                  f" LEFT JOIN a{m} g{m} ON o.idx >= {m} AND g{m}.ctx = {_context(m, 'o.')} AND g{m}.token = o.token CROSS JOIN kd{m} e{m}")
+        cut = f"CASE g{m}.a WHEN 1 THEN e{m}.d1 WHEN 2 THEN e{m}.d2 ELSE e{m}.d3 END"
+        p = f"CASE WHEN c{m}.total IS NULL THEN {p} ELSE coalesce(greatest(g{m}.a - {cut}, 0), 0) / c{m}.total + c{m}.gamma * ({p}) END"
+    seq = f"(SELECT {id_col}, len({words(prompt_col)}) + 1 AS start, list_concat([{sql_str(BOS)}], {words(text_col)}) AS s FROM {rows_table})"
+    return f"""ks_occ AS MATERIALIZED ({_lagged(seq, id_col, 's', order - 1 or 1, ', start')}),
+ks AS (SELECT o.{id_col}, o.idx - 1 AS pos, o.token, {p} AS prob FROM ks_occ o{joins} CROSS JOIN kv WHERE o.idx - 1 >= o.start)"""
