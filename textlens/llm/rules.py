@@ -38,15 +38,35 @@ MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
 
-def ngram_bins(w: Column, buckets: int = BUCKETS) -> Column:
-    """Bins of the words and of the neighbouring word pairs of a word array."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.transform(w, lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
+def word_hashes(w: Column) -> Column:
+    """The words as 64-bit hashes. Pairs and windows hash these, so a word's characters are
+    read once."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def _pair(h: Column, x: Column, i: Column) -> Column:
+    return F.xxhash64(x, F.get(h, i + 1))
+
+
+def ngram_bins(h: Column, buckets: int = BUCKETS) -> Column:
+    """Bins of the words and of the neighbouring word pairs of an array of word hashes."""
+    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    two = F.transform(h, lambda x, i: F.pmod(_pair(h, x, i), F.lit(buckets)).cast("int"))
+    return F.concat(one, F.slice(two, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
+
+
+def mean_weight(h: Column, weights: Column, buckets: int = BUCKETS) -> Column:
+    """The mean of ``weights`` over the bins of ``ngram_bins``, without making their array;
+    0 without words."""
+    weight = lambda x: F.get(weights, F.pmod(x, F.lit(buckets)).cast("int"))
+    last = F.size(h) - 1
+    both = F.transform(h, lambda x, i: weight(x) + F.when(i < last, weight(_pair(h, x, i))).otherwise(F.lit(0.0)))
+    return F.when(last < 0, F.lit(0.0)).otherwise(F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / (2 * last + 1))
 
 
 def repeat_words(w: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more in the text.
+    """Words covered by 3-word windows that occur twice or more in the text; ``w`` is an
+    array of word hashes.
 
     Windows are compared by a 64-bit hash. Only a text with a repeated window sorts its
     (hash, position) pairs; equal neighbours are the repeated windows, and the gaps
@@ -100,20 +120,19 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     good = small_side(trusted.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct()
                       .withColumn("_good", F.lit(1)))
     counts = materialize(t.join(good, F.col("doc_id") == F.col("_id"), "left")
-              .select(F.coalesce("_good", F.lit(0)).alias("_good"), words(F.col("text")).alias("_w"))
-              .select("_good", F.explode(ngram_bins(F.col("_w"), buckets)).alias("bin"))
+              .select(F.coalesce("_good", F.lit(0)).alias("_good"), word_hashes(words(F.col("text"))).alias("_h"))
+              .select("_good", F.explode(ngram_bins(F.col("_h"), buckets)).alias("bin"))
               .groupBy("bin").agg(F.count(F.lit(1)).alias("raw"), F.sum("_good").alias("target")))
     weights = bin_weights(spark, counts, buckets, mu)
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    scored = (t.withColumn("_w", words(F.col("text"))).withColumn("_weights", weights).select(
+    scored = (t.withColumn("_h", word_hashes(words(F.col("text")))).withColumn("_weights", weights).select(
         "doc_id",
-        F.size("_w").cast("long").alias("n_words"),
+        F.size("_h").cast("long").alias("n_words"),
         _without(F.col("text"), SPACE).cast("long").alias("word_chars"),
         (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("n_repeat_words"),
-        let(ngram_bins(F.col("_w"), buckets), lambda b: F.when(F.size(b) == 0, F.lit(0.0)).otherwise(
-            F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get("_weights", x)) / F.size(b))).alias("llr_score")))
+        repeat_words(F.col("_h")).alias("n_repeat_words"),
+        mean_weight(F.col("_h"), F.col("_weights"), buckets).alias("llr_score")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("llr_score") >= threshold))
