@@ -100,6 +100,7 @@ from textlens.functions import text as T  # noqa: E402
 from textlens.operators import idf as I  # noqa: E402
 from textlens.operators import similarity as SIM  # noqa: E402
 from textlens.operators import simjoin as SJ  # noqa: E402
+from textlens.operators import token_align as TA  # noqa: E402
 from textlens.plans.sqlparts import code_tokens, sql_str, thresholds_values, words  # noqa: E402
 
 _EV_SQL = """ev AS (
@@ -233,6 +234,32 @@ def q_render_prompt(spark, sf):
     return d.select("row_id", T.render_prompt("prompt", "language").alias("rendered"))
 
 
+_CHAT_TEMPLATE = """{{ bos_token }}
+{%- for m in messages %}
+<|{{ m.role }} {{ loop.index }}/{{ loop.length }}|>
+  {%- if m.role == 'user' %} {{ m.content | trim }}
+  {%- elif m.content %} {{ m['content'] }}{% else %} -
+  {%- endif %}
+  {%- if not loop.last %}{{ ';' }}{% endif %}
+{% endfor %}
+{%- if messages[-1].role == 'user' %}<|assistant|>{% endif %}"""
+
+
+@register("render_chat", f"""
+WITH t AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations
+           WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, '<s>' || string_agg('<|' || role || ' ' || i || '/' || n || '|> ' || CASE
+    WHEN role = 'user' THEN regexp_replace(regexp_replace(text, {sql_str(T.LEADING_WS)}, ''), {sql_str(T.TRAILING_WS)}, '')
+    WHEN text <> '' THEN text ELSE '-' END || CASE WHEN i < n THEN ';' ELSE '' END, '' ORDER BY i)
+  || CASE WHEN arg_max(role, i) = 'user' THEN '<|assistant|>' ELSE '' END AS rendered
+FROM t GROUP BY conv_id""")
+def q_render_chat(spark, sf):
+    """Whole conversations through a template with a loop over the turns and branches."""
+    from textlens.functions.template import render_template
+
+    return render_template(FX.chats(spark, sf), _CHAT_TEMPLATE, {"messages": "messages"}, {"bos_token": T.BOS}).select("conv_id", "rendered")
+
+
 _RESP_SQL = f"""resp AS (
   SELECT doc_id AS row_id, split_part(text, chr(10), 1) AS prompt, lang AS language,
          '### Response' || chr(10) || '```' || lang || chr(10) || text || CASE WHEN lang = 'de' THEN '' ELSE chr(10) || '```' END AS response
@@ -558,6 +585,41 @@ def q_impute_failed(spark, sf):
     return imp.select("row_id", "threshold", "failed", r6("perplexity").alias("perplexity"), r6("longest_run").alias("longest_run"))
 
 
+def _in_batches(spark, rows: DataFrame, group_cols=("threshold",), block_rows: int = 1000):
+    """All rows of ``rows`` in three batches, by a hash of the id, through the running tables."""
+    import uuid
+
+    from textlens.operators.running import RunningMetrics
+    from textlens.session import checkpoint_dir
+
+    rows = materialize(rows.withColumn("__b", F.pmod(F.xxhash64("row_id"), F.lit(3))))
+    running = RunningMetrics(spark, f"{checkpoint_dir(spark).rstrip('/')}/textlens-running/{uuid.uuid4().hex}", group_cols, block_rows=block_rows)
+    for b in range(3):
+        running.add(rows.where(F.col("__b") == b).drop("__b"), b)
+    return running
+
+
+@register("running_corpus_metrics", f"""
+WITH {_DOC_SQL}, {lm_ctes('documents', 'text')}, {scored_ctes('docs', 'row_id', 'text')}, {metric_ctes('docs', 'row_id')}
+SELECT threshold, count(*) AS n, round(avg(perplexity), 6) AS mean_perplexity,
+       round(sum(filtered_tokens) / (sum(total_tokens) + 1e-9), 6) AS filtered_share
+FROM rm GROUP BY threshold""")
+def q_running_corpus_metrics(spark, sf):
+    """The corpus metrics of all documents, added in batches and read from the sums."""
+    c = _in_batches(spark, doc_row_metrics(spark, sf)).corpus()
+    return c.select("threshold", "n", r6("mean_perplexity").alias("mean_perplexity"), r6("filtered_share").alias("filtered_share"))
+
+
+@register("running_imputation", ORACLES["impute_failed"].replace("round(CASE WHEN failed THEN mp ELSE perplexity END, 6)", "round(mp, 6)").replace(
+    "round(CASE WHEN failed THEN ml ELSE longest_run END, 6)", "round(ml, 6)").replace("threshold, failed,\n       round", "threshold,\n       round") + " WHERE failed")
+def q_running_imputation(spark, sf):
+    """The imputed metrics of the failed documents, from batches in which later and earlier
+    documents are mixed."""
+    reported = FX.table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("row_id")).distinct()
+    imp = _in_batches(spark, LM.mark_failed(doc_row_metrics(spark, sf), reported, ["row_id"])).imputed()
+    return imp.select("row_id", "threshold", r6("perplexity").alias("perplexity"), r6("longest_run").alias("longest_run"))
+
+
 def _wide_sql(extra_select: str = "", extra_cte: str = "") -> str:
     cols = []
     for i, t in enumerate(M.DEFAULT_THRESHOLDS):
@@ -605,6 +667,62 @@ def q_paired_share(spark, sf):
                      r6("source_filtered_token_percentage").alias("source_filtered_token_percentage"))
 
 
+# ---------------------------------------------------------------------------------------
+# External token scores against their texts
+# ---------------------------------------------------------------------------------------
+
+_EXTERNAL_SQL = f"""{_EV_SQL},
+xw AS (SELECT row_id, (row_id // 1000000 + row_id % 1000000) % 8 AS f,
+  flatten(list_transform({words('prediction')}, lambda w: regexp_extract_all(w, '.{{1,4}}'))) AS t FROM ev),
+xp AS (SELECT row_id, f, len(t) AS n, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM xw),
+xs AS (SELECT row_id, pos, CASE WHEN f = 3 AND pos = 2 THEN '#' ELSE token END AS token, CASE WHEN f = 4 AND pos = 1 THEN 1.5 ELSE 1.0 / (pos + 2) END AS prob
+  FROM xp WHERE NOT (f = 1 AND pos = 3) AND f <> 5 AND NOT (f = 6 AND pos = n - 1)
+  UNION ALL SELECT CASE WHEN f = 0 THEN -row_id - 1 ELSE row_id END, CASE WHEN f = 7 THEN n ELSE pos END, token, 1.0 / (pos + 2)
+  FROM xp WHERE (f = 2 AND pos = 2) OR (f = 7 AND pos = n - 1) OR (f = 0 AND pos = 0)),
+xv AS (SELECT row_id, array_to_string({words('prediction')}, '') AS v FROM ev),
+xr AS (SELECT row_id, pos, min(token) AS token, count(*) AS c FROM xs GROUP BY row_id, pos),
+xo AS (SELECT xr.*, coalesce(sum(length(token)) OVER (PARTITION BY row_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o,
+  lag(pos) OVER (PARTITION BY row_id ORDER BY pos) AS before FROM xr),
+xd AS (SELECT xo.*, v, list_min(list_filter(range(1, length(token) + 1), lambda i: substr(token, i, 1) <> substr(v, o + i, 1))) AS miss
+  FROM xo JOIN xv USING (row_id)),
+xf AS (SELECT row_id, min(pos) AS pos FROM xd WHERE miss IS NOT NULL GROUP BY row_id)"""
+
+
+@register("score_defects", f"""WITH {_EXTERNAL_SQL}
+SELECT DISTINCT row_id, 'unknown_row' AS defect, NULL::BIGINT AS pos, NULL::BIGINT AS "at" FROM xs WHERE row_id NOT IN (SELECT row_id FROM ev)
+UNION ALL SELECT row_id, 'no_scores', NULL, NULL FROM xv WHERE v <> '' AND row_id NOT IN (SELECT row_id FROM xs)
+UNION ALL SELECT row_id, 'bad_prob', pos, NULL FROM xs WHERE NOT (prob > 0 AND prob <= 1) AND row_id IN (SELECT row_id FROM ev)
+UNION ALL SELECT row_id, 'repeated_pos', pos, NULL FROM xd WHERE c > 1
+UNION ALL SELECT row_id, 'missing_pos', before + 1, NULL FROM xd WHERE before + 1 < pos
+UNION ALL SELECT row_id, 'foreign_token', xd.pos, o + miss - 1 FROM xd JOIN xf USING (row_id) WHERE xd.pos = xf.pos
+UNION ALL SELECT row_id, 'unread_text', NULL, max(o + length(token)) FROM xd WHERE row_id NOT IN (SELECT row_id FROM xf)
+  GROUP BY row_id, v HAVING max(o + length(token)) < length(v)""")
+def q_score_defects(spark, sf):
+    return TA.score_defects(FX.eval_rows(spark, sf), FX.external_scores(spark, sf), ["row_id"], "prediction").select(
+        "row_id", "defect", F.col("pos").cast("bigint").alias("pos"), F.col("at").cast("bigint").alias("at"))
+
+
+@register("subword_weights", f"""WITH {_EXTERNAL_SQL}, {_weights_sql('mean')},
+sound AS (SELECT row_id, f FROM xw WHERE f IN (0, 4)),
+ww AS (SELECT row_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT row_id, {words('prediction')} AS w FROM ev)),
+wo AS (SELECT *, sum(length(word)) OVER (PARTITION BY row_id ORDER BY i) AS e FROM ww),
+tw AS (SELECT xo.row_id, xo.pos, xs.prob, (SELECT arg_min(wo.word, wo.e) FROM wo WHERE wo.row_id = xo.row_id AND wo.e > xo.o) AS word
+  FROM xo JOIN xs ON xs.row_id = xo.row_id AND xs.pos = xo.pos JOIN sound ON sound.row_id = xo.row_id)
+SELECT row_id, count(*) AS n_tokens, round(sum(coalesce(wt.weight, 0.001)), 6) AS weights,
+  round(sum(-ln(prob) * coalesce(wt.weight, 0.001)), 6) AS weighted_nll
+FROM tw LEFT JOIN wt ON wt.token = tw.word GROUP BY row_id""")
+def q_subword_weights(spark, sf):
+    """Scores of sub-word tokens with the IDF weight of the word they begin in, for the rows
+    without a defect of order or spelling."""
+    ev, scores = FX.eval_rows(spark, sf), FX.external_scores(spark, sf)
+    wrong = TA.score_defects(ev, scores, ["row_id"], "prediction").where("defect <> 'bad_prob'").select("row_id").distinct()
+    sound = ev.join(wrong, ["row_id"], "left_anti")
+    placed = TA.words_of_tokens(sound, scores.join(sound.select("row_id"), ["row_id"], "left_semi"), ["row_id"], "prediction")
+    weighted = LM.with_weights(placed.select("row_id", "prob", F.col("word").alias("token")), doc_weights(spark, sf))
+    return weighted.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.round(F.sum("weight"), 6).alias("weights"),
+                                          F.round(F.sum(-F.ln("prob") * F.col("weight")), 6).alias("weighted_nll"))
+
+
 # ---------------------------------------------------------------------------------------
 # The n-gram model of order 5, fitted on all documents
 # ---------------------------------------------------------------------------------------

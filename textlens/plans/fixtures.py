@@ -10,6 +10,10 @@
   German documents are left unclosed to reach the fallback path.
 * ``adjacent_pairs(documents)``: ``candidate`` = document ``d``, ``reference`` = document
   ``d+1`` (an equi-join, no window).
+* ``external_scores(conversations)``: token scores of the predictions as another tokenizer
+  would send them (pieces of up to four characters of a word, ``prob = 1 / (2 + pos)``), with
+  one class of fault in seven of eight rows, by conversation and turn.
+* ``chats(conversations)``: ``conv_id, messages``, a conversation's turns in order.
 * ``benchmark_pairs(benchmark)``: item ``i`` against item ``i+1``.
 """
 
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlens.functions.text import FENCE, RESPONSE_MARKER, first_line
+from textlens.functions.text import FENCE, RESPONSE_MARKER, first_line, tokenize_words
 from textlens.sources.tables import read_parquet
 
 TABLES = (
@@ -93,3 +97,26 @@ def benchmark_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(nxt, ["item_id"], "inner").select(
         F.col("item_id").alias("pair_id"), F.col("text").alias("candidate"), "reference"
     )
+
+
+def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``row_id, pos, token, prob``. Fault 0 none (but scores for an unknown row too), 1 a
+    missing position, 2 a repeated one, 3 a foreign token, 4 a probability over 1, 5 no
+    scores, 6 no last token, 7 one token too many."""
+    ev = eval_rows(spark, sf_dir).select("row_id", tokenize_words("prediction").alias("w"))
+    fault = F.pmod(F.floor(F.col("row_id") / 1_000_000) + F.col("row_id") % 1_000_000, F.lit(8))
+    cut = F.flatten(F.transform("w", lambda w: F.regexp_extract_all(w, F.lit(".{1,4}"), F.lit(0))))
+    rows = ev.select("row_id", fault.alias("f"), cut.alias("t")).select("row_id", "f", F.size("t").alias("n"), F.posexplode("t").alias("pos", "token"))
+    f, pos = F.col("f"), F.col("pos")
+    kept = rows.where(~(((f == 1) & (pos == 3)) | (f == 5) | ((f == 6) & (pos == F.col("n") - 1))))
+    scored = kept.select("row_id", "pos", F.when((f == 3) & (pos == 2), "#").otherwise(F.col("token")).alias("token"),
+                         F.when((f == 4) & (pos == 1), F.lit(1.5)).otherwise(1 / (pos + 2)).alias("prob"))
+    more = rows.where(((f == 2) & (pos == 2)) | ((f == 7) & (pos == F.col("n") - 1)) | ((f == 0) & (pos == 0))).select(
+        F.when(f == 0, -F.col("row_id") - 1).otherwise(F.col("row_id")).alias("row_id"), F.when(f == 7, F.col("n")).otherwise(pos).alias("pos"),
+        "token", (1 / (pos + 2)).alias("prob"))
+    return scored.unionByName(more)
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content")).alias("m"))
+    return turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
