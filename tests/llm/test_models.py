@@ -106,31 +106,64 @@ def test_language_edge_cases(spark):
     assert language.predict_language(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_mixing_meets_targets_and_equals_numpy(spark):
-    audit = {}
-    out = mixing.mix_rates(spark.read.parquet(f"{SF}/documents.parquet"), mixing.domain_labels(spark, SF), mixing.TARGETS,
-                           audit=audit).collect()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_mixing_meets_targets_and_equals_numpy(spark, sf):
+    path = f"/root/testdata/{sf}"
+    out = mixing.mix_rates(spark.read.parquet(f"{path}/documents.parquet"), mixing.domain_labels(spark, path), mixing.TARGETS).collect()
     names = sorted(mixing.TARGETS)
     n = np.array([r.n_words for r in out], float)
     p = np.array([[r[f"p_{d}"] for d in names] for r in out])
     rate = np.array([r.rate for r in out])
-    assert np.allclose(p.sum(1), 1) and (rate >= 0).all()
-    goal, r, y = np.array(audit["targets"]), np.ones(len(n)), np.ones(len(n))
+    goal, reached = ([out[0][f"{c}_{d}"] for d in names] for c in ("target", "reached"))
+    assert np.allclose(p.sum(1), 1) and (rate >= 0).all() and np.allclose(goal, [mixing.TARGETS[d] for d in names])
+    goal, r, y = np.array(goal), np.ones(len(n)), np.ones(len(n))
     share = (n[:, None] * p).sum(0) / n.sum()
-    for t in range(audit["steps"]):  # the accelerated projected gradient, plainly
-        off = np.where(share >= mixing.ABSENT, (n[:, None] * y[:, None] * p).sum(0) / n.sum() - goal, 0)
-        g = np.where(share >= mixing.ABSENT, off / np.maximum(share, 1e-12), 0)
-        new = np.maximum(0, y - mixing.STEP * (p @ g + mixing.RIDGE * (y - 1)))
+    for t in range(3000):  # the accelerated projected gradient, plainly
+        off = (n[:, None] * y[:, None] * p).sum(0) / n.sum() - goal
+        new = np.maximum(0, y - mixing.STEP * (p @ (off / share) + mixing.RIDGE * (y - 1)))
+        if np.allclose(new, rate, atol=1e-6):
+            break
         r, y = new, new + t / (t + 3) * (new - r)
-    assert np.allclose(rate, r, atol=1e-6)
+    assert np.allclose(rate, new, atol=1e-6)  # the rates are those after some step
     now = (n[:, None] * rate[:, None] * p).sum(0) / n.sum()
-    assert np.allclose(now, audit["shares"], atol=1e-6)
+    assert np.allclose(now, reached, atol=1e-6)
+    if sf == "sf0.1":
+        assert np.abs(now - goal).max() <= 0.01
+    assert all(abs(x.copies - x.rate) < 1 + 1e-9 for x in out)
 
-    def loss(t):
-        return (np.where(share >= mixing.ABSENT, (t - goal) ** 2 / np.maximum(share, 1e-12), 0)).sum()
 
-    assert loss(now) < loss(share)
-    assert all(abs(x.copies - x.rate) < 1 + 1e-9 for x in out)
+def test_posteriors_equal_plain_python(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c", "a a d", "c d e x", "q r", "", None] * 60)]
+    domain = lambda t: "one" if "a" in (t or "") else "two" if "d" in (t or "") else "three"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, domain(t)) for i, t in rows], "doc_id long, domain string")
+    names = ["one", "three", "two"]
+    out = mixing.mix_rates(df, labels, dict.fromkeys(names, 1 / 3)).collect()
+    count, docs = {}, [sum(domain(t) == d for _, t in rows) for d in names]
+    for _, t in rows:
+        for w in set((t or "").split()):
+            count.setdefault(w, [0, 0, 0])[names.index(domain(t))] += 1
+    pairs = [sum(c[i] for c in count.values()) for i in range(3)]
+
+    def weight(w, i):
+        n, e = sum(count[w]), sum(count[w]) * pairs[i] / sum(pairs)
+        c = mixing.SMOOTH * n / sum(docs)
+        x = np.log((count[w][i] + c) / (e + c))
+        return x if abs(count[w][i] - e) >= mixing.Z * np.sqrt(e + 1) and abs(x) >= mixing.RATIO else 0.0
+
+    def kind(t):
+        e = [sum(weight(w, i) for w in set((t or "").split())) for i in range(3)]
+        return e, 3 if not any(weight(w, i) for w in (t or "").split() for i in range(3)) else int(np.argmax(e))
+
+    table = [[(docs[i] + 1) / (sum(docs) + 3) for i in range(3)] for _ in range(4)]
+    for _, t in rows:
+        table[kind(t)[1]][names.index(domain(t))] += 1
+    for r in out:
+        e, c = kind(rows[r.doc_id][1])
+        s = np.array(e) + np.log(np.array(table[c]) / sum(table[c]))
+        want = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        assert np.allclose([r[f"p_{d}"] for d in names], want, atol=1e-9)
+    assert any(abs(weight(w, i)) > 0 for w in count for i in range(3))
 
 
 def test_mixing_rows_and_edge_cases(spark):
@@ -143,8 +176,14 @@ def test_mixing_rows_and_edge_cases(spark):
     kinds = out.groupBy("_row").count().collect()
     n = {r._row: r["count"] for r in kinds}
     assert n["a"] >= 600 and n.get("b", 0) <= 200
-    audit = {}
-    mixing.mix_rates(df, labels, {"ok": 0.9, "bad": 0.1}, audit=audit).count()
-    assert np.allclose(audit["shares"], [0.1, 0.9], atol=2e-3) and audit["steps"] < mixing.MAX_STEPS
+    got = mixing.mix_rates(df, labels, {"ok": 0.9, "bad": 0.1, "never": 0.5}).first()
+    assert got.target_never == 0 and np.allclose([got.target_ok, got.target_bad], [1.35, 0.15])  # its target goes to the others
+    assert np.allclose([got.reached_ok, got.reached_bad], [1.35, 0.15], atol=2e-3)
+    rare = [(i, "x", 0) for i in range(2000)] + [(5000 + i, "odd thing", 0) for i in range(2)]
+    few = spark.createDataFrame(rare, "doc_id long, text string, n int")
+    own = spark.createDataFrame([(i, "common" if i < 5000 else "rare") for i, _, _ in rare], "doc_id long, domain string")
+    got = mixing.mix_rates(few, own, {"common": 0.99, "rare": 0.01}).first()
+    assert got.target_rare == 0.01 and got.reached_rare is not None  # a share of 0.1% is no reason to give up its target
+    assert mixing.mix_rates(df.where("text IS NULL"), labels, {"ok": 0.9, "bad": 0.1}).first().reached_ok is None
     assert mixing.mix_rows(df.limit(0), labels, {"ok": 0.9, "bad": 0.1}).count() == 0
     assert mixing.mix_rows(df, labels.limit(0), {"ok": 0.5, "bad": 0.5}).count() == len(rows)
