@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline as CP
 from textlens.llm import jaccard_join as J
 from textlens.llm import vector_dedup as V
-from textlens.llm.components import connected
+from textlens.operators.groups import connected
+from textlens.session import materialize
 
 
 def shingles(t):
@@ -93,7 +94,7 @@ def test_connected(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vectors_equal_brute_force(spark):
+def test_vectors_equal_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))
     x[100:140] = x[100] + rng.normal(size=(40, 16)) * 0.08
@@ -114,20 +115,102 @@ def test_vectors_equal_brute_force(spark):
     for i in (300, 301, 302, 303, 306):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert V.link_vectors(df.limit(0)).count() == 0
-
-
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("_gone", F.lit(1)).withColumn("kept", F.lit("x"))
+    # a recall that no search reaches: the exact comparison, in small chunks
+    monkeypatch.setattr(V, "CHUNK", 32)
+    monkeypatch.setattr(V, "GUESTS", 50)
+    monkeypatch.setattr(V, "MAX_OVERLAP", V.OVERLAP)
+    exact = {r.vec_id: r for r in V.link_vectors(df, recall=1.1, audit=audit).collect()}
+    assert audit["exact"] and [exact[i].n_links for i in range(300)] == true.tolist()
+    root = list(range(300))
+    for _ in range(300):
+        root = [min(root[j] for j in range(300) if j == i or u[i] @ u[j] >= 0.95) for i in range(300)]
+    assert [exact[i].component_id for i in range(300)] == root
+
+
+def test_vectors_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (3, [1.0, 0.01])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in V.link_vectors(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_links_of_the_table_equal_brute_force(spark):
+    source = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in source], float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    got = {r.vec_id: r for r in V.op6_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert [got[r.vec_id].n_links for r in source] == (near.sum(1) - 1).tolist()
+    root = np.array([r.vec_id for r in source])
+    for _ in range(50):
+        root = np.where(near, root[None], root[:, None]).min(1)
+    assert [got[r.vec_id].component_id for r in source] == root.tolist()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def odd_documents(spark):
+    """Documents with clashing columns; some again without an id or with a shared one, and
+    null and empty texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    rows = [(None, t) for t in texts[:20]] + [(10_000 + i // 4, t) for i, t in enumerate(texts[20:60])]
+    rows += [(20_000, None), (20_001, ""), (None, None), (None, ""), (10_000, None), (20_002, texts[0]), (20_002, texts[0])]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(own)
+    clash = ["_key", "_key_", "score", "predicted", "kept", "_row", "copies", "label", "_gone", "n"]
+    return both.select("*", *[F.monotonically_increasing_id().alias(c) for c in clash])
+
+
+def test_quality_stage_judges_every_row_by_its_text(spark):
+    docs = materialize(odd_documents(spark))
+    out = CP.quality_classifier(spark, docs, SF)
+    assert out.dtypes == docs.dtypes
+    left = {r.score for r in out.collect()}  # the row's number, under a clashing name
+    kept = {}
+    for r in docs.collect():
+        kept.setdefault(r.text or "", set()).add(r.score in left)
+    assert all(len(v) == 1 for v in kept.values()) and {v for s in kept.values() for v in s} == {True, False}
+
+
+def test_near_duplicate_stage_keeps_one_of_each_group(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").withColumn("_gone", F.lit(1)).withColumn("kept", F.lit("x"))
     assert [n for n, _ in CP.STAGES] == ["quality classifier", "near duplicates", "secret scans", "mixing", "byte-level BPE"]
-    one = CP.near_duplicates(spark, docs, sf)
-    assert one.dtypes == docs.dtypes
-    left = {r.doc_id for r in one.collect()}
-    want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    assert left == {c for c, _ in want.values()}
-    twice = docs.limit(3).union(docs.limit(3))
-    assert CP.near_duplicates(spark, twice, sf).count() == len({want[r.doc_id][0] for r in docs.limit(3).collect()})
-    assert CP.secret_scans(spark, docs, sf).count() == docs.count()
+    one = CP.near_duplicates(spark, plain, SF)
+    assert one.dtypes == plain.dtypes
+    want = brute([(r.doc_id, r.text) for r in plain.collect()])
+    assert {r.doc_id for r in one.collect()} == {c for c, _ in want.values()}
+    docs = materialize(odd_documents(spark))
+    out = CP.near_duplicates(spark, docs, SF)
+    assert out.dtypes == docs.dtypes
+    rows = [(i, r.text) for i, r in enumerate(docs.collect())]
+    want = brute(rows)
+    group = {(t or ""): want[i][0] for i, t in rows}
+    left = [group[r.text or ""] for r in out.collect()]
+    assert len(left) == len(set(left)) == len(set(group.values()))
+
+
+def test_secret_mixing_and_bpe_stages_on_odd_rows(spark):
+    docs = materialize(odd_documents(spark))
+    n = docs.count()
+    hidden = CP.secret_scans(spark, docs, SF)
+    assert hidden.dtypes == docs.dtypes and hidden.count() == n
+    mixed = CP.mixing(spark, docs, SF)
+    assert mixed.dtypes == docs.dtypes
+    rows = {(r.doc_id, r.text, r.score) for r in docs.collect()}
+    got = [(r.doc_id, r.text, r.score) for r in mixed.collect()]
+    assert set(got) <= rows and 0.5 * n < len(got) < 2 * n
+    coded = CP.byte_bpe(spark, docs, SF)
+    tokens = {r.doc_id: r.n_tokens for r in coded.collect()}
+    assert coded.count() == n and tokens[20_000] == tokens[20_001] == 0
+
+
+def test_stages_of_an_empty_table(spark):
+    none = odd_documents(spark).limit(0)
+    for name, stage in CP.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == "byte-level BPE" or out.dtypes == none.dtypes)
 
 
 def test_pipeline_run(spark):

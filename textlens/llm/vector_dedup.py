@@ -16,12 +16,17 @@
 5. Each task returns link counts and a spanning forest of its links, never the pairs. The
    forests give the components.
 6. Audit: the links of ``AUDIT_ROWS`` vectors, taken by hash, are counted by brute force
-   against all vectors; below the target recall the search is made again with one more
-   shard a vector.
+   against all vectors; a sample with fewer than ``AUDIT_LINKED`` linked vectors grows up to
+   ``AUDIT_MOST``. Recall is the mean over the linked ones of the share of their links that
+   the search found, so a large group counts no more than its vectors. Below the target the
+   search is made again with one more shard a vector, and after ``MAX_OVERLAP`` exactly:
+   every vector then goes to each shard whose centre is at most twice the linking distance
+   farther than its own, which holds all its partners at home, and is compared with them.
 
 Vectors of different length never link. Defined results: rows that repeat both id and
-vector are one vector; an id may be null; a vector that cannot link is its own component;
-an empty table gives no rows; other columns are ignored.
+vector are one vector; rows of one id with different vectors are vectors of their own, with
+links of their own; an id may be null; a vector that cannot link is its own component; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,16 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.llm.common import hash_sample, table
-from textlens.llm.components import connected
-from textlens.operators.groups import spanning_forest
+from textlens.operators.groups import connected, spanning_forest
 from textlens.session import materialize
 
 THRESHOLD = 0.95
 FIT_ROWS, SHARD, MAX_CENTRES = 4096, 400, 1024
 OVERLAP, MAX_OVERLAP = 3, 6
 CHUNK, DEGREE, CANDIDATES, ALPHA = 1024, 16, 32, 1.2
+GUESTS = 4096  # vectors that a task of the exact comparison holds beside a chunk
 BEAM, EXPAND, SLACK = 16, 4, 0.02
-AUDIT_ROWS, RECALL = 256, 0.97
+AUDIT_ROWS, AUDIT_LINKED, AUDIT_MOST, RECALL = 256, 64, 4096, 0.97
 
 
 def unit_rows(column) -> np.ndarray:
@@ -136,6 +141,7 @@ def _adjacency(lists, index: dict[int, int]) -> np.ndarray:
 def _build(t):
     import pyarrow as pa
 
+    t = t.sort_by("rep")  # the far candidates depend on the order
     ids = t["rep"].to_numpy()
     near = prune(unit_rows(t["vec"]))
     return pa.table({"rep": t["rep"], "near": pa.array([ids[r[r >= 0]].tolist() for r in near], pa.list_(pa.int64()))})
@@ -145,6 +151,7 @@ def _search(threshold):
     def run(t):
         import pyarrow as pa
 
+        t = t.sort_by([("chunk", "ascending"), ("rep", "ascending")])
         ids, copies, chunk = t["rep"].to_numpy(), t["copies"].to_numpy(), t["chunk"].to_numpy()
         x, shards, near, own = unit_rows(t["vec"]), t["shards"].to_pylist(), t["near"].to_pylist(), t["shard"][0].as_py()
         parts = [np.flatnonzero(chunk == c) for c in np.unique(chunk)]
@@ -221,6 +228,63 @@ def _searched(reps: DataFrame, centres, overlap: int, threshold: float) -> DataF
         _search(threshold), "rep long, other long, links long"))
 
 
+def _exact(reps: DataFrame, centres, threshold: float) -> DataFrame:
+    """Rows like those of ``_searched``, by comparing every vector with those at home in the
+    shards that can hold a partner. A pair is counted where the greater of the two is at home."""
+    reach = 2 * np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            dims, out = t["dim"].to_numpy(), [None] * len(t)
+            for dim in np.unique(dims):
+                rows, c = np.flatnonzero(dims == dim), centres.value.get(int(dim))
+                far = np.zeros((len(rows), 1)) if c is None else np.sqrt(np.maximum(
+                    2 - 2 * np.clip(unit_rows(t["vec"].take(pa.array(rows))) @ c.T, -1, 1), 0))
+                for r, f in zip(rows, far):
+                    home = int(f.argmin())
+                    out[r] = [home, *np.flatnonzero((f <= f[home] + reach) & (np.arange(len(f)) != home)).tolist()]
+            yield pa.RecordBatch.from_arrays([batch["rep"], batch["copies"], batch["dim"], batch["vec"], pa.array(out, pa.list_(pa.int32()))],
+                                             ["rep", "copies", "dim", "vec", "shards"])
+
+    placed = materialize(reps.mapInArrow(place, "rep long, copies long, dim int, vec array<double>, shards array<int>"))
+    at_home = placed.select("rep", "copies", "dim", "vec", F.get("shards", F.lit(0)).alias("shard"))
+    sizes = at_home.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("cut"))  # a row a centre
+    cut = F.broadcast(sizes)
+    home = at_home.join(cut, ["dim", "shard"]).select(
+        "rep", "copies", "dim", "vec", "shard", F.pmod(F.xxhash64("rep"), F.col("cut")).cast("int").alias("chunk"), F.lit(True).alias("home"))
+    visits = placed.select("rep", "copies", "dim", "vec", F.explode("shards").alias("shard"))
+    slots = visits.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("slots")).join(sizes, ["dim", "shard"])
+    slots = F.broadcast(materialize(slots))  # a row a centre
+    guests = visits.join(slots, ["dim", "shard"]).select(
+        "rep", "copies", "dim", "vec", "shard", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("chunk"), F.lit(False).alias("home"),
+        F.pmod(F.xxhash64("rep", F.lit(1)), F.col("slots")).cast("int").alias("slot"))
+    hosts = home.join(slots.drop("cut"), ["dim", "shard"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
+
+    def compare(t):
+        import pyarrow as pa
+
+        t = t.sort_by("rep")
+        ids, copies, home, x = t["rep"].to_numpy(), t["copies"].to_numpy(), t["home"].to_numpy(zero_copy_only=False), unit_rows(t["vec"])
+        hosts, guests = np.flatnonzero(home), np.flatnonzero(~home)
+        weight, links = np.zeros(len(ids), np.int64), []
+        for a in range(0, len(guests), CHUNK):
+            g = guests[a:a + CHUNK]
+            i, j = np.nonzero((x[g] @ x[hosts].T >= threshold) & (ids[g][:, None] < ids[hosts]))
+            i, j = g[i], hosts[j]
+            np.add.at(weight, i, copies[j])
+            np.add.at(weight, j, copies[i])
+            links += spanning_forest(i, j)
+        return pa.table({"rep": pa.array([*ids, *(ids[i] for i, _ in links)], pa.int64()),
+                         "other": pa.array([None] * len(ids) + [ids[j] for _, j in links], pa.int64()),
+                         "links": pa.array([*weight, *[0] * len(links)], pa.int64())})
+
+    return materialize(hosts.unionByName(guests).groupBy("dim", "shard", "chunk", "slot").applyInArrow(
+        compare, "rep long, other long, links long"))
+
+
 def _true_links(reps: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
     """(rep, n): exact number of linked other vectors (with copies) of the sampled ones."""
     import pyarrow as pa
@@ -256,9 +320,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     usable = F.col("vec").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vec", lambda c: c != 0)
     v = materialize(v.withColumn("usable", F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False))))
+    key = F.xxhash64("vec")  # of the vector, as an id may have several
     reps = materialize(v.where("usable").groupBy("vec").agg(
-        F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        .select("rep", "copies", F.size("vec").alias("dim"), "vec"))
+        F.min("vec_id").cast("long").alias("least"), F.count(F.lit(1)).alias("copies"))
+        .select(key.alias("rep"), "least", "copies", F.size("vec").alias("dim"), "vec"))
 
     total = reps.count()
     sample = hash_sample(reps, "rep", FIT_ROWS).toArrow()
@@ -271,24 +336,33 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         k = int(np.clip(np.ceil(total * len(x) / len(dims) / SHARD), 1, min(MAX_CENTRES, len(x))))
         centres[int(d)] = fit_centres(x, k)
     sent = spark.sparkContext.broadcast(centres)
-    probe = hash_sample(reps.withColumn("salted", F.xxhash64(F.lit("audit"), "rep")), "salted", AUDIT_ROWS)
+    audited = reps.withColumn("salted", F.xxhash64(F.lit("audit"), "rep"))
+    rows = AUDIT_ROWS
+    while True:
+        probe = _true_links(reps, materialize(hash_sample(audited, "salted", rows)), threshold)
+        probe = materialize(probe.where("n > 0"))  # AUDIT_MOST rows at most
+        if rows >= min(total, AUDIT_MOST) or probe.count() >= AUDIT_LINKED:
+            break
+        rows *= 4
     while True:
-        found = _searched(reps, sent, overlap, threshold)
+        exact = overlap > MAX_OVERLAP
+        found = _exact(reps, sent, threshold) if exact else _searched(reps, sent, overlap, threshold)
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        sums = (_true_links(reps, probe, threshold).join(counts, "rep", "left")
-                .agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.least("n", "links")), F.lit(0))).first()
-                if total else (0, 0))
-        reached = sums[1] / sums[0] if sums[0] else 1.0
+        share = F.least("n", F.coalesce("links", F.lit(0))) / F.col("n")
+        reached = 1.0 if exact else probe.join(counts, "rep", "left").agg(F.avg(share)).first()[0]
+        reached = 1.0 if reached is None else reached  # no linked vector among those sampled
         if audit is not None:
-            audit |= {"recall": reached, "overlap": overlap}
-        if reached >= recall or overlap >= MAX_OVERLAP:
+            audit |= {"recall": reached, "overlap": overlap, "exact": exact}
+        if exact or reached >= recall:
             break
         overlap += 1
 
     roots = connected(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    classes = (reps.join(counts, "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-               .select("vec", F.col("copies") - 1 + F.col("links"), F.coalesce("root", "rep"))
-               .toDF("vec", "links", "component"))
+    placed = materialize(reps.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "rep", "vec", "copies", "least", F.coalesce("root", "rep").alias("root")))
+    names = placed.groupBy("root").agg(F.min("least").alias("component"))
+    classes = (placed.join(counts, "rep").join(names, "root")
+               .select("vec", F.col("copies") - 1 + F.col("links"), "component").toDF("vec", "links", "component"))
     linked = v.where("usable").join(classes, "vec").select("vec_id", "links", "component")
     alone = v.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
     return linked.union(alone).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"),
