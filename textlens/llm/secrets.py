@@ -3,7 +3,8 @@ control.
 
 Patterns (``BASE``) are matched leftmost and non-overlapping over the whole text; spans
 are code points, end exclusive. The battery adds spans of kind ``random``. Candidates
-are maximal runs of at least ``MIN_RUN`` symbols of the base64 alphabets. For each the
+are maximal runs of at least ``MIN_RUN`` symbols of the base64 alphabets in what the base
+spans leave of the text, so the rest of a run that a base span cuts is tested too. For each the
 encoding is inferred (decimal, hex, base32, letters, base62, base64, base64url, ...),
 which gives the alphabet size k and the order of symbols, and three tests are made:
 
@@ -15,10 +16,13 @@ which gives the alphabet size k and the order of symbols, and three tests are ma
 * the lag-1 serial correlation of the symbol numbers; both against randomness, at
   ``|z| <= Z_RANDOM``. A candidate that either rejects gets p = 1.
 
-Discoveries are made by Benjamini-Hochberg at level ``q`` within each length class
-(powers of two), over all documents: p-values are counted in bins of a tenth of a decade
-(at most 401 a class), so only a small histogram is gathered, never the candidates, and
-the bins' upper edges keep the control conservative.
+Discoveries are made by Benjamini-Hochberg at level ``q`` within each length class (powers
+of two), over all documents. The runs of an encoding that ordinary text seldom keeps to
+(``SELDOM``: hex, upper-case hex, base32) are classes of their own, so that paths, words and
+lines of dashes do not dilute its keys; all others are controlled together. p-values are
+counted in bins of a tenth of a decade (at most 401 a class), so only a small histogram is
+gathered, never the candidates, and the bins' upper edges keep the control conservative.
+Power depends on the alphabet: a short key of few symbols is hard to tell from structure.
 
 The scan reads each text once and writes the spans and candidate bins of each document
 as a table; the histogram and the result read that table.
@@ -66,6 +70,8 @@ ENCODINGS = (
     ("^[A-Za-z0-9_-]+$", _UP + _LOW + _DIGITS + "-_"),
     ("", _UP + _LOW + _DIGITS + "+/-_"),
 )
+#: Numbers of the encodings with classes of their own.
+SELDOM = (1, 2, 4)
 
 _BLOCK = 256
 
@@ -116,12 +122,17 @@ def base_spans(text: Column) -> Column:
     return F.concat(of(0, long_values), of(1, match_spans(text, ACCESS)), of(2, match_spans(text, HEX)))
 
 
-def _tests(hit: Column) -> Column:
+def _encoding(hit: Column) -> Column:
+    """The number of the first encoding that fits the run."""
+    number = F
+    for i, (pattern, _) in enumerate(ENCODINGS[:-1]):
+        number = number.when(F.rlike(hit, F.lit(pattern)), F.lit(i))
+    return number.otherwise(F.lit(len(ENCODINGS) - 1))
+
+
+def _tests(hit: Column, encoding: Column) -> Column:
     """The evidence against structure of one run in bins of a tenth of a decade (0: none)."""
-    alphabet = F
-    for pattern, symbols in ENCODINGS[:-1]:
-        alphabet = alphabet.when(F.rlike(hit, F.lit(pattern)), F.lit(symbols))
-    alphabet = alphabet.otherwise(F.lit(ENCODINGS[-1][1]))
+    alphabet = F.get(F.array(*[F.lit(symbols) for _, symbols in ENCODINGS]), encoding)
 
     def zs(s):
         a, n = s["a"], F.length(s["h"]).cast("double")
@@ -164,30 +175,45 @@ def _tests(hit: Column) -> Column:
     return let(let(F.struct(hit.alias("h"), alphabet.alias("a")), zs), bins)
 
 
+def blanked(text: Column, base: Column) -> Column:
+    """The text with spaces for the characters of its base spans, of the same length."""
+    def step(acc, s):
+        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        spaces = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(acc["at"], s["end"]).cast("int").alias("at"), F.concat(acc["parts"], F.array(before, spaces)).alias("parts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(F.sort_array(base), start, step, lambda acc: F.concat(
+        F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, len_class, bin>> of the runs that the battery tests."""
-    return F.transform(match_spans(text, RUN), lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.floor(F.log2(F.length(s["hit"]).cast("double"))).cast("int").alias("len_class"),
-        _tests(s["hit"]).alias("bin")))
+    """array<struct<start, end, kind, bin>> of the runs that the battery tests; ``kind`` numbers
+    the class that its discoveries are controlled in."""
+    def of(s, encoding):
+        length = F.floor(F.log2(F.length(s["hit"]).cast("double"))).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.when(encoding.isin(*SELDOM), encoding + 1).otherwise(0) * 64 + length).alias("kind"),
+                        _tests(s["hit"], encoding).alias("bin"))
+
+    return F.transform(match_spans(text, RUN), lambda s: let(_encoding(s["hit"]), lambda e: of(s, e)))
 
 
 def cut_bins(scanned: DataFrame, q: float = Q) -> DataFrame:
-    """Benjamini-Hochberg by length class: (len_class, cut), the least bin discovered."""
-    counts = (scanned.select(F.explode("_cand").alias("c")).groupBy("c.len_class", "c.bin")
+    """Benjamini-Hochberg by class: (kind, cut), the least bin discovered."""
+    counts = (scanned.select(F.explode("_cand").alias("c")).groupBy("c.kind", "c.bin")
               .agg(F.count(F.lit(1)).alias("n")))
-    by = Window.partitionBy("len_class")
+    by = Window.partitionBy("kind")
     found = F.sum("n").over(by.orderBy(F.desc("bin")))
     return (counts.withColumn("found", found).withColumn("tested", F.sum("n").over(by))
             .where((F.col("bin") > 0) & (F.col("tested") * F.pow(F.lit(10.0), -F.col("bin") / 10) <= q * F.col("found")))
-            .groupBy("len_class").agg(F.min("bin").alias("cut")))
+            .groupBy("kind").agg(F.min("bin").alias("cut")))
 
 
 def _with_found(scanned: DataFrame, q: float) -> DataFrame:
     """Column ``_found``: all spans, sorted by start and kind."""
-    cuts = cut_bins(scanned, q).agg(F.map_from_entries(F.collect_list(F.struct("len_class", "cut")))).scalar()
+    cuts = cut_bins(scanned, q).agg(F.map_from_entries(F.collect_list(F.struct("kind", "cut")))).scalar()
     extra = F.transform(F.filter("_cand", lambda c: c["bin"] >= F.coalesce(
-        F.element_at("_cuts", c["len_class"]), F.lit(TOP_BIN + 1))), lambda c: F.struct(
+        F.element_at("_cuts", c["kind"]), F.lit(TOP_BIN + 1))), lambda c: F.struct(
             c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     return scanned.withColumn("_cuts", cuts).withColumn("_found", F.sort_array(F.concat("_base", extra)))
 
@@ -214,13 +240,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _spans_only(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``_base`` and the ``_cand`` that touch no base span."""
-    def apart(c):
-        return ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-
-    s = rows.select(*keep, base_spans(F.col("text")).alias("_base"), candidates(F.col("text")).alias("_cand"))
-    return s.withColumn("_cand", F.when((F.size("_cand") > 0) & (F.size("_base") > 0),
-                                        F.filter("_cand", apart)).otherwise(F.col("_cand")))
+    """``keep`` columns, ``_base`` and the ``_cand`` beside the base spans."""
+    s = rows.select(*keep, "text", base_spans(F.col("text")).alias("_base"))
+    return s.select(*keep, "_base", candidates(blanked(F.col("text"), F.col("_base"))).alias("_cand"))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", q: float = Q) -> DataFrame:
