@@ -37,6 +37,14 @@ def test_sinks_round_trip(spark):
     jp = IO.write_percentages(share, d)
     line = spark.read.json(jp).collect()[0]
     assert line.source_filtered_token_percentage is None
+    rows = [(i, t, 0.1 * i, v) for i, (t, v) in enumerate([(1.01, None), (0.5, 0.25)] + [(0.4, 1 / 3)] * 10)]
+    share = spark.createDataFrame(rows[::-1], share.schema)
+    text = spark.read.text(IO.write_percentages(share, d, "columns")).collect()
+    assert len(text) == 1 and json.loads(text[0].value) == {
+        "source_filtered_token_percentages": {str(i): v and round(v, 10) for i, _, _, v in rows},
+        "filtered_token_percentages": {str(i): round(p, 10) for i, _, p, _ in rows}}
+    with pytest.raises(ValueError):
+        IO.write_percentages(share, d, "rows")
 
 
 def test_json_column(spark):

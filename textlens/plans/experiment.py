@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions import metrics as M
 from textlens.functions import text as T
+from textlens.functions.template import render_template
 from textlens.operators import idf as I
 from textlens.operators import lm as LM
 from textlens.operators import scoring as S
@@ -48,7 +49,7 @@ class ExperimentSpec:
     key: str | None = None  # column that identifies a row; default: its position in the data set
     generation: bool = True
     scoring: bool = True
-    chat_template: str | None = None  # default: textlens.functions.text.DEFAULT_CHAT_TEMPLATE
+    chat_template: str | None = None  # in the language of textlens.functions.template; default: DEFAULT_CHAT_TEMPLATE
     thresholds: tuple = M.DEFAULT_THRESHOLDS
     idf_enabled: bool = False
     add_start_token: bool = True
@@ -57,6 +58,7 @@ class ExperimentSpec:
     token_scores: str | None = None  # table of external token scores
     token_scores_format: str = "parquet"
     results_format: str = "csv"
+    percentages_orient: str = "records"  # or "columns": one document, values by position
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
@@ -70,7 +72,12 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 def generate(ds: DataFrame, spec: ExperimentSpec, responses: DataFrame | None, out: dict) -> DataFrame:
     """Renders the prompts and, with responses, completes the dataset."""
-    rendered = ds.select("row_id", "language", T.render_prompt("prompt", "language", spec.chat_template).alias("instruction"))
+    if spec.chat_template is None:
+        rendered = ds.select("row_id", "language", T.render_prompt("prompt", "language").alias("instruction"))
+    else:
+        filled = render_template(ds.select("row_id", "language", "prompt"), spec.chat_template, {"messages": "prompt", "language": "language"},
+                                 {"bos_token": T.BOS, "eos_token": T.EOS, "add_generation_prompt": True}, "instruction")
+        rendered = filled.select("row_id", "language", "instruction")
     out["instructions"] = IO.write_table(rendered, spec.save_path, "instructions")
     if responses is None:
         return ds
@@ -154,4 +161,4 @@ def score(spark: SparkSession, ds: DataFrame, spec: ExperimentSpec, out: dict) -
             probs = probs.select("row_id", F.col("token_probabilities").alias("source_token_probabilities"))
         wide = wide.join(probs, ["row_id"], "left")
     out["results"] = IO.write_results(wide, spec.save_path, spec.results_format)
-    out["token_percentages"] = IO.write_percentages(S.paired_share(rows, "source" in ds.columns), spec.save_path)
+    out["token_percentages"] = IO.write_percentages(S.paired_share(rows, "source" in ds.columns), spec.save_path, spec.percentages_orient)

@@ -105,14 +105,23 @@ def write_results(df: DataFrame, save_path: str, fmt: str = "csv") -> str:
     return path
 
 
-def write_percentages(df: DataFrame, save_path: str) -> str:
-    """One JSON line per threshold: ``threshold_idx, threshold, filtered_token_percentage,
-    source_filtered_token_percentage`` (10 decimals)."""
+def write_percentages(df: DataFrame, save_path: str, orient: str = "records") -> str:
+    """The shares of each threshold, to 10 decimals. ``records``: one JSON line per threshold
+    (``threshold_idx, threshold, filtered_token_percentage, source_filtered_token_percentage``);
+    ``columns``: one JSON document that maps each column to its values by position."""
     path = save_path.rstrip("/") + "/token_percentages"
-    out = df.select(
-        "threshold_idx", "threshold",
-        F.round("filtered_token_percentage", 10).alias("filtered_token_percentage"),
-        F.round("source_filtered_token_percentage", 10).alias("source_filtered_token_percentage"),
-    )
-    out.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    shares = ("filtered_token_percentage", "source_filtered_token_percentage")
+    out = df.select("threshold_idx", "threshold", *[F.round(c, 10).alias(c) for c in shares])
+    if orient == "records":
+        out.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    elif orient == "columns":
+        listed = out.agg(F.sort_array(F.collect_list(F.struct("threshold_idx", *shares))).alias("l"))  # a row a threshold
+
+        def by_place(share):
+            pairs = F.transform("l", lambda x: F.struct(x["threshold_idx"].cast("string"), x[share]))
+            return F.map_from_entries(pairs).alias(share + "s")
+
+        listed.select(F.to_json(F.struct(*map(by_place, reversed(shares)))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    else:
+        raise ValueError("orient must be 'records' or 'columns'")
     return path
