@@ -12,7 +12,7 @@ child's name, and the least draw wins. A child's draw depends on its own weight
 Growth by one shard opens a region of its own (``tree``): all other subtrees keep their
 weights, so documents move into the new shard only.
 
-Placement needs the id alone and no shuffle. The gapless slots of a shard come from two
+Placement needs the id alone and no shuffle; ids, sizes and shards are written once. The gapless slots of a shard come from two
 levels: documents fall into ``blocks`` hash blocks a shard; the (shard, block) counts, at
 most ``shards * blocks`` rows, are summed up to first slots, and rows are numbered inside
 their own block. No window holds a whole shard, and the text never moves.
@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlens.llm.common import small_side, table
+from textlens.session import materialize
 
 BASE_SHARDS, RACKS, PER_RACK = 16, 2, 4
 BLOCKS = 256
@@ -46,25 +47,22 @@ def tree(shards: int, base: int = BASE_SHARDS, racks: int = RACKS, per_rack: int
     return out
 
 
-def _draw(key: Column, node: Column, child: str, weight: Column) -> Column:
-    """``-ln(u) / weight`` with u in (0, 1) from 52 hashed bits; null for weight 0."""
-    bits = F.shiftrightunsigned(F.xxhash64(node, F.lit(child), key), 12).cast("double")
-    return F.when(weight > 0, -F.log((bits + 0.5) / float(1 << 52)) / weight)
+def _draw(key: Column, parent: str, child: str, weight: float) -> Column:
+    """struct (``-ln(u) / weight``, child) with u in (0, 1) from 52 hashed bits."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(parent), F.lit(child), key), 12).cast("double")
+    return F.struct((-F.log((bits + 0.5) / float(1 << 52)) / F.lit(weight)).alias("d"), F.lit(child).alias("c"))
 
 
 def _descend(df: DataFrame, out: str, key: Column, parent: Column, children: dict[str, dict[str, float]]) -> DataFrame:
     """Column ``out``: the child with the least weighted draw below ``parent`` (ties: the
-    first name). ``children``: parent -> child -> weight."""
-    names = list(dict.fromkeys(c for kids in children.values() for c in kids))
-    draws = []
-    for c in names:
-        w = F.lit(None).cast("double")
-        for p, kids in children.items():
-            if c in kids:
-                w = F.when(parent == p, F.lit(kids[c])).otherwise(w)
-        draws.append(F.struct(_draw(key, parent, c, w).alias("d"), F.lit(c).alias("c")))
-    best = F.array_min(F.filter(F.array(*draws), lambda x: x["d"].isNotNull()))
-    return df.withColumn(out, best["c"])
+    first name; null without a child of positive weight). ``children``: parent -> child ->
+    weight. Only the children of a row's own parent draw."""
+    best = F
+    for p, kids in children.items():
+        draws = [_draw(key, p, c, w) for c, w in kids.items() if w > 0]
+        if draws:
+            best = best.when(parent == p, F.least(*draws)["c"] if len(draws) > 1 else draws[0]["c"])
+    return df.withColumn(out, F.lit(None).cast("string") if best is F else best)
 
 
 def place(df: DataFrame, out: str, key: Column, nodes: dict[str, dict[str, dict[int, float]]]) -> DataFrame:
@@ -81,25 +79,19 @@ def shard_rows(docs: DataFrame, shards: int = BASE_SHARDS, id_col: str = "doc_id
                blocks: int = BLOCKS, weights: dict[int, float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-
-    def placed(df):
-        return place(df, "shard", key, tree(shards, weights=weights)).withColumn(
-            "_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-
-    rows = placed(docs.select(
+    rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("text_crc32")))
-    counts = placed(docs.select(F.col(f"`{id_col}`").alias("doc_id"))).groupBy("shard", "_block").agg(
-        F.count(F.lit(1)).alias("_n"))
+        F.coalesce(F.crc32(F.col(f"`{text_col}`")), F.lit(0)).cast("long").alias("text_crc32"))
+    rows = place(rows, "shard", key, tree(shards, weights=weights))
+    rows = place(rows, "grown_shard", key, tree(shards + 1, weights=weights))
+    # a few numbers a row, written once: the counts and the numbering read them
+    rows = materialize(rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")))
+    counts = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(F.col("shard").alias("_s"), F.col("_block").alias("_b"),
-                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    first = materialize(counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")))
     inside = Window.partitionBy("shard", "_block").orderBy("doc_id", "size", "text_crc32")
-    return (place(rows, "grown_shard", key, tree(shards + 1, weights=weights))
-            .withColumn("_rank", F.row_number().over(inside))
-            .join(small_side(first, shards * blocks),
-                  (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
+    return (rows.withColumn("_rank", F.row_number().over(inside)).join(small_side(first), ["shard", "_block"])
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                     (F.col("_first") + F.col("_rank") - 1).cast("long").alias("slot"),
                     "grown_shard"))
