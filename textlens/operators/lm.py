@@ -21,28 +21,65 @@ context of the first scored token still comes from the prompt.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.metrics import DEFAULT_IDF_WEIGHT
 from textlens.functions.text import BOS, tokenize_words
 from textlens.operators.skew import lookup_join, with_freq
-from textlens.session import materialize
+from textlens.session import materialize, table_scope
 
 # Interpolation weight of the bigram estimate.
 DEFAULT_LAMBDA = 0.7
 
+# Share of all occurrences from which on those of one bigram may be spread over tasks.
+HOT = 1 / 500
+SALTS = 1024
+# Tokens whose counts are broadcast; two of their numbers make one long.
+COMMON = 100_000
+PACK = 1 << 20
+
 SCORE_STRUCT = "array<struct<pos:int,token:string,prob:double,weight:double>>"
 
 
 @dataclass(frozen=True)
 class BigramLM:
-    bigrams: DataFrame  # prev, token, cnt  (prev = context token, <s> included)
-    unigrams: DataFrame  # token, cnt       (predicted tokens)
-    contexts: DataFrame  # prev, ctx_cnt
-    totals: DataFrame  # one row: n_tokens, n_types
+    """Counted from ``steps`` (``prev, token``: one row an occurrence), each table when it is
+    first asked for and then written once; a table that only needs tokens costs no count of
+    bigrams. The tables last as long as those of the ``scope`` that the model was made in."""
+
+    steps: DataFrame
     lam: float = DEFAULT_LAMBDA
+    scope: list[str] | None = None
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """``prev, token, cnt``; ``prev`` is NULL for a first token without a start."""
+        return materialize(self.steps.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cnt")), self.scope)
+
+    @property
+    def bigrams(self) -> DataFrame:
+        """``prev, token, cnt`` (``prev`` = context token, ``<s>`` included)."""
+        return self.pairs.filter(F.col("prev").isNotNull())
+
+    @cached_property
+    def unigrams(self) -> DataFrame:
+        """``token, cnt`` (predicted tokens)."""
+        if "pairs" in self.__dict__:
+            return materialize(self.pairs.groupBy("token").agg(F.sum("cnt").alias("cnt")), self.scope)
+        return materialize(self.steps.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")), self.scope)
+
+    @property
+    def contexts(self) -> DataFrame:
+        """``prev, ctx_cnt``."""
+        return self.bigrams.groupBy("prev").agg(F.sum("cnt").alias("ctx_cnt"))
+
+    @property
+    def totals(self) -> DataFrame:
+        """One row: ``n_tokens, n_types``."""
+        return self.unigrams.agg(F.sum("cnt").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
 
 
 def sequence_pairs(tokens: Column, add_bos: bool = True, bos: str = BOS) -> Column:
@@ -137,16 +174,11 @@ def fit_bigram_lm(
     add_bos: bool = True,
     lam: float = DEFAULT_LAMBDA,
 ) -> BigramLM:
-    """Count bigrams once over the token occurrences (partial aggregation map-side, so a
-    hot bigram never reaches one task un-combined); unigrams and context counts are
-    derived from the bigram table, not from the occurrences again."""
+    """The model of the texts in ``df``. Its counts are partially aggregated, so a hot bigram
+    never reaches one task un-combined; once the bigrams are counted, unigrams and contexts
+    are derived from them, not from the occurrences again."""
     occ = occurrences(df.withColumn("__rid", F.lit(0)), "__rid", text_col, tokenizer, add_bos, scored_only=False)
-    all_pairs = materialize(occ.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cnt")))
-    bigrams = all_pairs.filter(F.col("prev").isNotNull())
-    unigrams = materialize(all_pairs.groupBy("token").agg(F.sum("cnt").alias("cnt")))
-    contexts = bigrams.groupBy("prev").agg(F.sum("cnt").alias("ctx_cnt"))
-    totals = unigrams.agg(F.sum("cnt").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
-    return BigramLM(bigrams, unigrams, contexts, totals, lam)
+    return BigramLM(occ.select("prev", "token"), lam, table_scope())
 
 
 def bigram_prob(cb: Column, cc: Column, cu: Column, n: Column, v: Column, lam: float) -> Column:
@@ -298,6 +330,27 @@ def validate_scores(scores: DataFrame) -> DataFrame:
     return scores.filter(F.col("pos").isNotNull() & (p.isNull() | F.isnan(p) | (p <= 0) | (p > 1)))
 
 
+def _coded_texts(df: DataFrame, id_col: str, text_col: str, tokenizer, tokens: bool) -> DataFrame:
+    """``id_col, __h[, __w]``: a row's tokens as 64-bit hashes, and as they are. Written once:
+    the passes that follow neither cut nor hash texts again."""
+    cut = df.select(id_col, tokenizer(F.col(text_col)).alias("__w"))
+    return materialize(cut.select(id_col, F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"), *(["__w"] if tokens else [])))
+
+
+def _steps(coded: DataFrame, keep: list[str], add_bos: bool, tokens: bool) -> DataFrame:
+    """``keep.., pos, __p, __t[, token]``: one row for each scored token ``__t`` and the token
+    (or the start) before it."""
+    first = F.array(F.xxhash64(F.lit(BOS))) if add_bos else F.array().cast("array<bigint>")
+    lost = 0 if add_bos else 1  # the first token has no context then
+    n = F.greatest(F.size("__h") - lost, F.lit(0))
+    lists = [F.slice(F.concat(first, "__h"), 1, n).alias("p"), F.slice("__h", 1 + lost, n).alias("t")]
+    if tokens:
+        lists.append(F.slice("__w", 1 + lost, n).alias("w"))
+    steps = coded.select(*keep, F.posexplode(F.arrays_zip(*lists)).alias("__i", "__s"))
+    return steps.select(*keep, (F.col("__i") + 1 + lost).alias("pos"), F.col("__s.p").alias("__p"), F.col("__s.t").alias("__t"),
+                        *([F.col("__s.w").alias("token")] if tokens else []))
+
+
 def fit_and_score(
     df: DataFrame,
     id_col: str = "row_id",
@@ -306,28 +359,66 @@ def fit_and_score(
     add_bos: bool = True,
     lam: float = DEFAULT_LAMBDA,
     weights: DataFrame | None = None,
+    tokens: bool = True,
 ) -> DataFrame:
     """In-sample scoring: fit the LM on the texts of ``df`` and score those same texts
-    (no prompt).
-
-    Every scored (prev, token) pair is then a bigram of the model, so the bigram table
-    doubles as the pair table: context and unigram counts are two partially aggregated
-    counts of it, joined back with salts (a frequent token has many neighbours). Returns
-    the scores like ``score_long``."""
-    occ = occurrences(df, id_col, text_col, tokenizer, add_bos, None, scored_only=False)
-    all_pairs = materialize(occ.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("cnt")))
-    totals = all_pairs.agg(F.sum("cnt").alias("n_tokens"), F.count_distinct("token").alias("n_types"))
-    uni = all_pairs.groupBy("token").agg(F.sum("cnt").alias("cu"), F.count(F.lit(1)).alias("__freq"))
-    seen = all_pairs.filter(F.col("prev").isNotNull())
-    ctx = seen.groupBy("prev").agg(F.sum("cnt").alias("cc"), F.count(F.lit(1)).alias("__freq"))
-    counted = lookup_join(lookup_join(seen, uni, ["token"], "__freq"), ctx, ["prev"], "__freq")
-    probs = counted.crossJoin(F.broadcast(totals)).select(
-        "prev",
-        "token",
-        F.col("cnt").alias("n_occ"),
-        bigram_prob(F.col("cnt"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lam).alias("prob"),
-    )
-    probs = materialize(with_weights(probs, weights))
-    scored_occ = occurrences(df, id_col, text_col, tokenizer, add_bos, None, True, keep_empty=True)
-    return lookup_join(scored_occ, probs, ["prev", "token"], "n_occ", how="left").select(
-        id_col, "pos", "token", "prob", "weight")
+    (no prompt). Returns the scores like ``score_long``; without ``tokens`` the column
+    ``token`` is NULL and no token string is moved.
+
+    Tokens are compared by 64-bit hashes. The counts (and weights) of the ``COMMON`` most
+    frequent tokens are broadcast, as tokens and as contexts; the occurrences of the others
+    meet them in a shuffle. Then each occurrence moves once, to the others of its bigram (of
+    its context, if that is not common), where windows count them. A bigram of common tokens
+    is known by both their numbers in one long.
+
+    A token of at least ``HOT`` of all occurrences is hot, as is the start as a context. The
+    bigrams of two hot ones (at most 1 / ``HOT`` squared) are counted beforehand and broadcast, their
+    occurrences dealt at random. So no task holds more of one key."""
+    coded = _coded_texts(df, id_col, text_col, tokenizer, tokens)
+    types = coded.select(F.explode("__h").alias("__t")).groupBy("__t").agg(F.count(F.lit(1)).alias("__u"))
+    if weights is not None:
+        own = weights.select(F.xxhash64("token").alias("__t"), F.col("weight").cast("double").alias("weight"))
+        types = types.join(own, ["__t"], "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_IDF_WEIGHT)))
+    types = materialize(types)
+    n, v = types.agg(F.coalesce(F.sum("__u"), F.lit(0)), F.count(F.lit(1))).first()
+    most = Window.orderBy(F.desc("__u"), "__t")  # over COMMON rows
+    common = materialize(types.orderBy(F.desc("__u"), "__t").limit(COMMON).withColumn("__ct", F.row_number().over(most).cast("long")))
+    hot = F.col("__u") >= F.lit(n * HOT)
+    values = ["__u"] if weights is None else ["__u", "weight"]
+    token = F.broadcast(common.select("__t", "__ct", *values, hot.alias("__ht")))
+    bos = F.xxhash64(F.lit(BOS))
+    start = df.sparkSession.range(1).select(bos.alias("__p"), F.lit(0).cast("long").alias("__cp"), F.lit(True).alias("__hp"))
+    context = F.broadcast(common.where(F.col("__t") != bos).select(
+        F.col("__t").alias("__p"), F.col("__ct").alias("__cp"), hot.alias("__hp")).union(start))
+
+    both = F.col("__hp") & F.coalesce("__ht", F.lit(False))
+    before = materialize(_steps(coded, [], add_bos, False).join(context, ["__p"]).join(token.where("__ht").select("__t", "__ct", "__ht"), ["__t"], "left").groupBy(
+        "__cp", F.when(both, F.col("__ct")).alias("__ct")).agg(F.count(F.lit(1)).alias("__hb")))
+    of_context = F.broadcast(before.groupBy("__cp").agg(F.sum("__hb").alias("__hc")))
+    of_pair = F.broadcast(before.where("__ct IS NOT NULL").select((F.col("__cp") * PACK + F.col("__ct")).alias("__pair"), "__hb"))
+
+    steps = _steps(coded, [id_col], add_bos, tokens)
+    rare = steps.join(F.broadcast(common.select("__t")), ["__t"], "left_anti").join(types, ["__t"])
+    marked = steps.join(token, ["__t"]).unionByName(rare, allowMissingColumns=True).join(context, ["__p"], "left")
+    salt = F.when(both, F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS)) * (PACK * PACK)).otherwise(F.lit(0))
+    rare_context, rare_token = F.col("__cp").isNull(), F.col("__ct").isNull()
+    key = F.when(rare_context, F.col("__p")).when(rare_token, F.xxhash64("__p", "__t")).otherwise(F.col("__cp") * PACK + F.col("__ct") + salt)
+    second = F.when(rare_context, F.col("__t").bitwiseOR(F.lit(1 << 62))).when(rare_token, F.col("__cp"))  # NULL: both common
+    carried = [F.when(rare_context | rare_token, F.col(c)).alias(c) for c in values]  # else looked up again
+    dealt = marked.select(id_col, "pos", *(["token"] if tokens else []), *carried, key.alias("__k"), second.alias("__q")).repartition("__k")
+
+    k, q = F.col("__k"), F.col("__q")
+    lone = (q < 0) | (q >= PACK)  # the context is not common
+    here = dealt.withColumn("__b", F.count(F.lit(1)).over(Window.partitionBy("__k", "__q"))).withColumn(
+        "__c", F.count(F.when(lone, F.lit(1))).over(Window.partitionBy("__k")))
+    here = here.withColumn("__cp", F.when(q.isNull(), F.shiftright(k, 20).bitwiseAND(F.lit(PACK - 1))).when(~lone, q)).withColumn(
+        "__ct", F.when(q.isNull(), k.bitwiseAND(F.lit(PACK - 1)))).withColumn("__pair", F.when(q.isNull(), k.bitwiseAND(F.lit(PACK * PACK - 1))))
+    of_token = F.broadcast(common.select("__ct", *[F.col(c).alias(f"__h{c}") for c in values]))
+    full = here.join(of_context, ["__cp"], "left").join(of_token, ["__ct"], "left").join(of_pair, ["__pair"], "left")
+    prob = bigram_prob(F.coalesce("__hb", "__b"), F.coalesce("__hc", "__c"), F.coalesce("__h__u", "__u"), F.lit(n), F.lit(v), lam)
+    no_token = F.lit(None).cast("string").alias("token")
+    scored = full.select(id_col, "pos", "token" if tokens else no_token, prob.alias("prob"),
+                         (F.lit(1.0) if weights is None else F.coalesce("__hweight", "weight")).alias("weight"))
+    empty = coded.where(F.size("__h") < (1 if add_bos else 2)).select(
+        id_col, F.lit(None).cast("int").alias("pos"), no_token, F.lit(None).cast("double").alias("prob"), F.lit(None).cast("double").alias("weight"))
+    return scored.unionByName(empty)

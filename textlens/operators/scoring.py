@@ -58,43 +58,25 @@ def row_metrics_long(
     weighted: bool = False,
 ) -> DataFrame:
     """Row metrics straight from long-form token scores ``keys.., pos, prob, weight``,
-    without assembling arrays, in one pass over them:
-
-    * one window per row gives, for every threshold, the last kept position up to each
-      token; a filtered token ends a run as long as its distance from it;
-    * one aggregate on the same partitioning takes counts, negative log-likelihood sums and
-      the longest run of all thresholds.
+    without assembling arrays: the scores move once, to their rows, and one numpy pass
+    (``_metric_pass``) takes counts, negative log-likelihood sums and the longest filtered
+    runs of all thresholds. Rows are told apart by a 64-bit hash of the keys, which is one to
+    one for a single integer key.
 
     A row with nothing to score has one row with NULL ``pos``: it gets zero counts, NULL
     perplexity and a run of 0.0.
     Output: ``keys.., threshold_idx, threshold, total_tokens, filtered_tokens, perplexity,
     longest_run``.
     """
-    p = F.col("prob")
-    nll = -F.ln(p) * F.col("weight") if weighted else -F.ln(p)
     ths = [float(t) for t in thresholds]
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = ts.select(
-        *keys,
-        "prob",
-        "weight",
-        *[(F.col("pos") - F.coalesce(F.max(F.when(p < F.lit(t), F.col("pos"))).over(w), F.min("pos").over(w) - 1)).alias(f"__r{j}")
-          for j, t in enumerate(ths)],
-    )
-    aggs = [F.count("prob").alias("__n")]
-    for j, t in enumerate(ths):
-        kept = p < F.lit(t)
-        aggs += [F.count(F.when(kept, F.lit(1))).alias(f"__k{j}"), F.sum(F.when(kept, nll)).alias(f"__s{j}"),
-                 F.max(f"__r{j}").alias(f"__b{j}")]
-    base = runs.groupBy(*keys).agg(*aggs)
-    long = base.select(
-        *keys,
-        "__n",
-        F.posexplode(
-            F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"__k{j}").alias("k"), F.col(f"__s{j}").alias("s"),
-                               F.col(f"__b{j}").alias("b")) for j, t in enumerate(ths)])
-        ).alias("threshold_idx", "__m"),
-    )
+    named = [F.col("pos").cast("bigint").alias("__pos"), F.col("prob").cast("double").alias("__p")]
+    if weighted:
+        named.append(F.col("weight").cast("double").alias("__w"))
+    moved = ts.select(*keys, *named).repartition(*keys)
+    placed = moved.select("*", F.xxhash64(*keys).alias("__row")).sortWithinPartitions("__row")
+    kinds = ", ".join(f"`{c}` {ts.schema[c].dataType.simpleString()}" for c in keys)
+    base = placed.mapInArrow(_metric_pass(keys, ths), f"{kinds}, __n bigint, __m array<struct<t:double,k:bigint,s:double,b:bigint>>")
+    long = base.select(*keys, "__n", F.posexplode("__m").alias("threshold_idx", "__m"))
     k = F.col("__m.k")
     return long.select(
         *keys,
@@ -107,6 +89,63 @@ def row_metrics_long(
     )
 
 
+def _metric_pass(keys: list[str], ths: list[float], chunk: int = 1 << 18):
+    """Scores with equal ``__row`` together -> one row of sums for each. Works on ``chunk``
+    scores at a time, or on all scores of a row if it has more."""
+    m = len(ths)
+
+    def sums(t):
+        import numpy as np
+        import pyarrow as pa
+
+        row, at = t["__row"].to_numpy(), t["__pos"]
+        has, pos = at.is_valid().to_numpy(), at.fill_null(0).to_numpy()
+        order = np.lexsort((pos, row))
+        row, has, pos = row[order], has[order], pos[order]
+        known, p = t["__p"].is_valid().to_numpy()[order], t["__p"].fill_null(np.inf).to_numpy()[order]
+        with np.errstate(all="ignore"):
+            nll = -np.log(p) * (t["__w"].to_numpy()[order] if "__w" in t.column_names else 1.0)
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        size = np.diff([*starts, len(row)])
+        start, place = np.repeat(starts, size), np.arange(len(row))
+        # as if the place before a row's first one were kept
+        before = np.repeat(np.minimum.reduceat(np.where(has, pos, np.iinfo(np.int64).max), starts), size) - 1
+        k, s, b = np.empty((len(starts), m), np.int64), np.empty((len(starts), m)), np.empty((len(starts), m), np.int64)
+        for j, t_j in enumerate(ths):
+            kept = known & (p < t_j)
+            k[:, j] = np.add.reduceat(kept.astype(np.int64), starts)
+            s[:, j] = np.add.reduceat(np.where(kept, nll, 0.0), starts)
+            near = np.maximum.accumulate(np.where(kept & has, place, -1))
+            b[:, j] = np.maximum.reduceat(np.where(has, pos - np.where(near >= start, pos[near], before), 0), starts)
+        cells = pa.StructArray.from_arrays(
+            [pa.array(np.tile(np.array(ths), len(starts))), pa.array(k.ravel()), pa.array(s.ravel()), pa.array(b.ravel())], ["t", "k", "s", "b"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * m), cells)
+        n = pa.array(np.add.reduceat(known.astype(np.int64), starts))
+        out = t.select(keys).take(pa.array(order[starts])).append_column("__n", n).append_column("__m", lists)
+        return out.combine_chunks().to_batches()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        kept, rows, enough = [], 0, chunk
+        for batch in batches:
+            kept, rows = [*kept, batch], rows + batch.num_rows
+            if rows < enough:
+                continue
+            t = pa.Table.from_batches(kept)
+            row = t["__row"].to_numpy()
+            cut = int(np.searchsorted(row, row[-1]))  # the last row may go on in the next batch
+            if cut:
+                yield from sums(t.slice(0, cut))
+            kept, rows = t.slice(cut).to_batches(), rows - cut
+            enough = max(chunk, 2 * rows)  # so that the scores of a long row are not looked through again and again
+        if rows:
+            yield from sums(pa.Table.from_batches(kept))
+
+    return run
+
+
 def corpus_metrics(rows: DataFrame, group_cols=("threshold",)) -> DataFrame:
     """Mean perplexity (NULLs ignored, as a NaN-ignoring mean) and filtered-token share
     ``sum(filtered) / (sum(total) + 1e-9)`` per threshold. Partial + final aggregation."""
