@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from textlens.llm.common import fold, small_side, table, texts
 from textlens.operators.skew import lookup_join, with_freq
-from textlens.session import materialize
+from textlens.session import materialize, scratch_tables, table_scope
 
 MIN_COUNT = 128
 TAIL = 1024
@@ -302,12 +302,13 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     needed = [words.select("block", "word").join(small_side(own.select("word", "symbol", p_own.alias("p")), SMALL), "word")
               .select("block", F.lit(ROOT).cast("long").alias("context"), "symbol", "p")]
     found = spark.createDataFrame([], "block long, context long, symbol long")
-    reached = 0
+    reached, outer = 0, table_scope()
     for d in range(1, depth + 1 if root.n else 1):
         grams = materialize(coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
             _block_pairs(root, d), "block long, context long, suffix long, symbol long, n long"))
         pairs = grams.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
-        scored = materialize(_states(pairs, below, penalty))
+        with scratch_tables(spark):  # what leads to the states goes when they are written
+            scored = materialize(_states(pairs, below, penalty), outer)
         below, reached = scored, d
         needed.append(grams.select("block", "context", "symbol").join(
             scored.where("state").select("context", "symbol", "p"), ["context", "symbol"]).select("block", "context", "symbol", "p"))
