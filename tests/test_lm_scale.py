@@ -84,7 +84,7 @@ def test_metrics_do_not_depend_on_batches(spark, monkeypatch, chunk):
 
 
 def test_unigrams_alone_count_no_bigrams(spark):
-    lm = LM.fit_bigram_lm(spark.createDataFrame(ROWS, SCHEMA), "text")
+    lm = LM.fit_bigram_lm(spark.createDataFrame(ROWS, SCHEMA), "text", lazy=True)
     assert {r.token: r.cnt for r in lm.unigrams.collect()}["a"] == Counter(w for _, t in ROWS for w in (t or "").split())["a"]
     assert "pairs" not in lm.__dict__
     assert {tuple(r) for r in lm.unigrams.collect()} == {tuple(r) for r in lm.bigrams.groupBy("token").agg({"cnt": "sum"}).collect()}

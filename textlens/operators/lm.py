@@ -173,12 +173,17 @@ def fit_bigram_lm(
     tokenizer=tokenize_words,
     add_bos: bool = True,
     lam: float = DEFAULT_LAMBDA,
+    lazy: bool = False,
 ) -> BigramLM:
     """The model of the texts in ``df``. Its counts are partially aggregated, so a hot bigram
     never reaches one task un-combined; once the bigrams are counted, unigrams and contexts
-    are derived from them, not from the occurrences again."""
+    are derived from them, not from the occurrences again. Both are counted here, or, with
+    ``lazy``, when they are first asked for."""
     occ = occurrences(df.withColumn("__rid", F.lit(0)), "__rid", text_col, tokenizer, add_bos, scored_only=False)
-    return BigramLM(occ.select("prev", "token"), lam, table_scope())
+    lm = BigramLM(occ.select("prev", "token"), lam, table_scope())
+    if not lazy:
+        _ = lm.pairs, lm.unigrams
+    return lm
 
 
 def bigram_prob(cb: Column, cc: Column, cu: Column, n: Column, v: Column, lam: float) -> Column:

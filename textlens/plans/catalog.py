@@ -65,7 +65,7 @@ def doc_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def doc_lm(spark: SparkSession, sf: str) -> LM.BigramLM:
     """The LM fitted on all documents."""
-    return LM.fit_bigram_lm(FX.documents(spark, sf).select("text"), "text")
+    return LM.fit_bigram_lm(FX.documents(spark, sf).select("text"), "text", lazy=True)
 
 
 def doc_row_metrics(spark: SparkSession, sf: str, weights: DataFrame | None = None) -> DataFrame:
