@@ -120,3 +120,17 @@ def test_prompts_weights_and_the_longer_context_helps(spark):
         assert set(got[order]) == {(1, 3), (1, 4), (2, None)}
         assert got[order][1, 3].weight == 2.0 and got[order][1, 4].weight == 0.001
     assert got[4][1, 4].prob > got[2][1, 4].prob
+
+
+def test_discounts_take_one_pass_and_write_no_table_of_grams(spark):
+    from textlens.session import table_scope
+
+    df = spark.createDataFrame([(t,) for t in corpus(4)], "text string")
+    before = len(table_scope())
+    counts = N.adjusted_counts(df, "text", 5)
+    got = {r.order: (r.d1, r.d2, r.d3) for r in N.discounts(counts).collect()}
+    assert len(table_scope()) - before == 1  # the texts as hashes
+    _, rates = plain_model(corpus(4), 5)
+    assert all(got[m] == pytest.approx(rates[m]) for m in range(1, 6))
+    assert counts.tables.keys() == got.keys()  # written now, and counted from
+    assert {r.order: (r.d1, r.d2, r.d3) for r in N.discounts(counts).collect()} == got

@@ -13,10 +13,12 @@ counts t1 to t4; ``gamma`` gives the discounted mass to the lower order. Order 0
 over the V tokens seen and one unknown token, so p sums to 1 over them in any context. A
 context that was not seen passes to the next lower order unchanged.
 
-Everything is a table: grams as (context joined by spaces, token), one for each order. The
-orders below the highest come from the *distinct* grams above them, so the texts are
-exploded once and every further table is smaller. Contexts that many grams share (``the``)
-are looked up with salts.
+Grams are rows of 64-bit token hashes, the token first (``t0``) and those before it after
+(``t1``, ``t2``, ..; NULL before the text's start). All grams move once, to the others with
+their last two tokens: there the counts of all orders are counts of distinct prefixes, so
+one shuffle gives every order, and only single tokens are counted across tasks. A model holds
+the counts of all grams and the sums of all contexts; the probabilities are worked out for
+the distinct grams that are asked for, from joins by gram and by context.
 
 Texts are padded with the start token for the fit. A text word equal to it counts like it.
 """
@@ -24,81 +26,154 @@ Texts are padded with the start token for the fit. A text word equal to it count
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import BOS, tokenize_words
 from textlens.operators.lm import first_scored_position, with_weights
-from textlens.operators.skew import lookup_join, with_freq
+from textlens.operators.skew import lookup_join
 from textlens.session import materialize
 
 #: Discounts where the counts of counts do not give any (tiny or artificial corpora).
 FALLBACK = (0.5, 1.0, 1.5)
+#: Share of all tokens from which on a token is hot: grams that end in two hot ones are
+#: counted where they are before they move.
+HOT = 1 / 50
+#: Grams of one task.
+TASK_GRAMS = 1 << 20
+
+
+def _names(m: int) -> list[str]:
+    return [f"t{j}" for j in range(m)]
+
+
+def _gram(m: int) -> Column:
+    """Key of the gram of order ``m``."""
+    return F.xxhash64(F.lit(m), *_names(m))
+
+
+def _context(m: int) -> Column:
+    """Key of its context (``m`` of 2 or more)."""
+    return F.xxhash64(F.lit(m), *_names(m)[1:])
+
+
+@dataclass(frozen=True)
+class GramCounts:
+    """Adjusted counts of the orders up to ``order``, from ``grams``: ``t0 .., n``, dealt by
+    the last two tokens."""
+
+    order: int
+    grams: DataFrame
+
+    def highest(self) -> DataFrame:
+        """``t0 .., a`` of the highest order, with the shorter grams of the texts' starts."""
+        return self.grams.groupBy(*_names(self.order)).agg(F.sum("n").alias("a"))
+
+    @staticmethod
+    def below(table: DataFrame, m: int, *sums: Column) -> DataFrame:
+        """The same of order ``m`` - 1: each gram above is one more token before its suffix;
+        those at a text's start have no token before them and count their occurrences."""
+        a = F.sum(F.when(F.col(f"t{m - 1}").isNull(), F.col("a")).otherwise(F.lit(1)))
+        return table.groupBy(*_names(m - 1)).agg(a.alias("a"), *sums)
+
+    @cached_property
+    def tables(self) -> dict[int, DataFrame]:
+        """order -> ``t0 .., a``, each written once."""
+        table, out = materialize(self.highest()), {}
+        for m in range(self.order, 0, -1):
+            out[m] = table.where(F.col(f"t{m - 1}").isNotNull())
+            if m > 1:
+                table = materialize(self.below(table, m))
+        return out
 
 
 @dataclass(frozen=True)
 class NgramLM:
     order: int
-    probs: dict  # order -> ctx, token, prob
-    contexts: dict  # order -> ctx, backoff (the mass that its unseen tokens share)
-    unknown: DataFrame  # one row: prob of a token that was never seen, without context
+    grams: DataFrame  # g, a: the counts of all grams
+    contexts: DataFrame | None  # c, total, backoff (the mass that its unseen tokens share); None for order 1
+    empty: tuple[float, float, int]  # total, backoff and tokens of the empty context
     discounts: DataFrame  # order, d1, d2, d3
+    rates: dict  # order -> (d1, d2, d3)
+
+
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w))
+
+
+def _gram_lists(order: int, add_bos: bool = True, *more: Column) -> Column:
+    """The grams that end in each token of ``__h``, as an array of structs; ``more``: arrays
+    zipped with it."""
+    n, none = F.size("__h"), F.lit(None).cast("bigint")
+    before = F.concat(F.array(F.xxhash64(F.lit(BOS))), F.col("__h")) if add_bos else F.col("__h")
+    lists = [F.col("__h").alias("t0")]
+    for j in range(1, order):
+        lost = j - 1 if add_bos else j
+        lists.append(F.concat(F.array_repeat(none, lost), F.slice(before, 1, F.greatest(n - lost, F.lit(0)))).alias(f"t{j}"))
+    return F.slice(F.arrays_zip(*lists, *more), 1, n)
 
 
 def ngram_occurrences(df: DataFrame, keep: list[Column], text_col: str, order: int, tokenizer=tokenize_words, add_bos: bool = True,
                       prompt_col: str | None = None, outer: bool = False) -> DataFrame:
-    """One row per scored token: the columns ``keep``, ``pos``, ``ctx`` (up to ``order`` - 1
-    tokens before it, joined by spaces) and ``token``. ``outer`` keeps texts without one as a
-    row of nulls."""
+    """One row per scored token: the columns ``keep``, ``pos``, ``token`` and the hashes ``t0``
+    .. of the token and of up to ``order`` - 1 before it. ``outer`` keeps texts without one as
+    a row of nulls."""
     start = first_scored_position(df, prompt_col, tokenizer, add_bos)
-    toks = df.select(*keep, F.concat(F.array(F.lit(BOS)), tokenizer(F.col(text_col))).alias("__s"), start.alias("__from"))
-    low = 1 if add_bos else 2  # the first index that a context may hold
-
-    def gram(i):
-        first = F.greatest(i - (order - 1), F.lit(low))
-        return F.struct((i - 1).alias("pos"), F.array_join(F.slice("__s", first, F.greatest(i - first, F.lit(0))), " ").alias("ctx"),
-                        F.get(F.col("__s"), i - 1).alias("token"))
-
+    toks = df.select(*keep, tokenizer(F.col(text_col)).alias("__w"), start.alias("__from"))
     names = [c for c in toks.columns if not c.startswith("__")]
-    begin = F.col("__from") + 1
-    places = F.when(F.size("__s") >= begin, F.sequence(begin, F.size("__s"))).otherwise(F.array().cast("array<int>"))
-    rows = toks.select(*names, F.explode_outer(F.transform(places, gram)).alias("__g"))
-    rows = rows if outer else rows.where("__g IS NOT NULL")
-    return rows.select(*names, F.col("__g.pos").alias("pos"), F.col("__g.ctx").alias("ctx"), F.col("__g.token").alias("token"))
-
-
-def shorter(ctx: Column) -> Column:
-    """A context without its first token (of at least one)."""
-    cut = F.instr(ctx, F.lit(" "))
-    return F.when(cut == 0, F.lit("")).otherwise(F.substr(ctx, cut + F.lit(1)))
-
-
-def _tokens_in(ctx: Column) -> Column:
-    return F.when(ctx == "", F.lit(0)).otherwise(F.length(ctx) - F.length(F.translate(ctx, " ", "")) + 1)
-
-
-def adjusted_counts(df: DataFrame, text_col: str, order: int, tokenizer=tokenize_words) -> dict[int, DataFrame]:
-    """order -> ``ctx, token, a``."""
-    grams = ngram_occurrences(df, [], text_col, order, tokenizer)
-    counted = materialize(grams.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("n")).withColumn("m", _tokens_in(F.col("ctx")) + 1))
-    tables = {order: counted.where(F.col("m") == order).select("ctx", "token", F.col("n").alias("a"))}
-    for m in range(order - 1, 0, -1):
-        # each distinct gram above is one more token before its suffix; those at a text's
-        # start have no token before them and count their occurrences
-        above = tables[m + 1].select(shorter(F.col("ctx")).alias("ctx"), "token", F.lit(1).cast("bigint").alias("a"))
-        first = counted.where(F.col("m") == m).select("ctx", "token", F.col("n").alias("a"))
-        tables[m] = materialize(above.unionByName(first).groupBy("ctx", "token").agg(F.sum("a").alias("a")))
-    return tables
-
-
-def discounts(tables: dict[int, DataFrame]) -> DataFrame:
-    """``order, d1, d2, d3``: one row an order."""
-    out = None
-    for m, t in tables.items():
-        n = [F.count_if(F.col("a") == k).alias(f"t{k}") for k in (1, 2, 3, 4)]
-        row = t.agg(*n).withColumn("order", F.lit(m))
-        out = row if out is None else out.unionByName(row)
+    coded = toks.select(*names, "__w", _hashed(F.col("__w")).alias("__h"), "__from")
+    n = F.size("__h")
+    grams = coded.select(*names, "__from", n.alias("__n"), _gram_lists(order, add_bos, F.col("__w").alias("token")).alias("__l"))
+    some = F.slice("__l", F.col("__from"), F.greatest(F.col("__n") - F.col("__from") + 1, F.lit(0)))
+    rows = grams.select(*names, "__from", F.posexplode_outer(some).alias("__i", "__g"))
+    rows = rows if outer else rows.where("__i IS NOT NULL")
+    return rows.select(*names, (F.col("__i") + F.col("__from")).alias("pos"), "__g.token", *[f"__g.{t}" for t in _names(order)])
+
+
+def adjusted_counts(df: DataFrame, text_col: str, order: int, tokenizer=tokenize_words) -> GramCounts:
+    """The counts of all grams of the texts. No (t0, t1) of two hot tokens reaches a task
+    un-combined, and any other has less than ``HOT`` of all grams."""
+    coded = materialize(df.select(_hashed(tokenizer(F.col(text_col))).alias("__h")))
+    total = coded.agg(F.sum(F.size("__h"))).first()[0] or 0
+    tokens = coded.select(F.explode("__h").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    hot = [r.t for r in tokens.where(F.col("n") >= F.lit(total * HOT)).collect()]  # at most 1 / HOT rows
+    names = _names(order)
+    rows = coded.select(F.explode(_gram_lists(order)).alias("__g")).select("__g.*")
+    one = F.lit(1).cast("bigint").alias("n")
+    if not hot:
+        grams = rows.select(*names, one)
+    else:
+        both = F.col("t0").isin(hot)
+        if order > 1:
+            both = both & (F.col("t1").isin(hot) | (F.col("t1") == F.xxhash64(F.lit(BOS))))
+        combined = rows.where(both).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+        grams = rows.where(~both).select(*names, one).unionByName(combined)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_GRAMS))
+    return GramCounts(order, grams.repartition(parts, *names[:2]))
+
+
+def discounts(counts: GramCounts) -> DataFrame:
+    """``order, d1, d2, d3``: one row an order. The counts of counts of all orders come from
+    the written tables, or else, with the grams' counts, from one pass that writes none."""
+    def equal(m, k):
+        return F.count_if(F.col(f"t{m - 1}").isNotNull() & (F.col("a") == k)).alias(f"s{m}_{k}")
+
+    if "tables" in counts.__dict__:
+        out = reduce(DataFrame.unionByName, [
+            t.agg(*[F.count_if(F.col("a") == k).alias(f"t{k}") for k in (1, 2, 3, 4)]).withColumn("order", F.lit(m))
+            for m, t in counts.tables.items()])
+    else:
+        level, passed = counts.highest(), []
+        for m in range(counts.order, 0, -1):
+            own = [equal(m, k) for k in (1, 2, 3, 4)]
+            sums = [F.sum(c).alias(c) for c in passed] + own
+            level = GramCounts.below(level, m, *sums) if m > 1 else level.agg(*sums)
+            passed += [f"s{m}_{k}" for k in (1, 2, 3, 4)]
+        one = F.array(*[F.struct(F.lit(m).alias("order"), *[F.col(f"s{m}_{k}").alias(f"t{k}") for k in (1, 2, 3, 4)])
+                        for m in range(counts.order, 0, -1)])
+        out = level.select(F.explode(one).alias("__o")).select("__o.*")
     y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
     d = [F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(f"t{k + 1}"), F.col(f"t{k}")) for k in (1, 2, 3)]
     sound = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0)
@@ -107,64 +182,80 @@ def discounts(tables: dict[int, DataFrame]) -> DataFrame:
     return out.select("order", *[F.when(sound, x).otherwise(F.lit(f)).alias(f"d{k}") for k, x, f in zip((1, 2, 3), d, FALLBACK)])
 
 
+def _off(a: Column, rate: tuple) -> Column:
+    return F.when(a == 1, F.lit(rate[0])).when(a == 2, F.lit(rate[1])).otherwise(F.lit(rate[2]))
+
+
 def fit_ngram_lm(df: DataFrame, text_col: str = "text", order: int = 5, tokenizer=tokenize_words) -> NgramLM:
     """The model of the texts in ``df``; at least one of them must have a token."""
     if order < 1:
         raise ValueError("order must be at least 1")
-    tables = adjusted_counts(df, text_col, order, tokenizer)
-    rates = materialize(discounts(tables))
-    probs, contexts, unknown = {}, {}, None
-    for m in range(1, order + 1):
-        rate = F.broadcast(rates.where(F.col("order") == m).drop("order"))  # one row
+    counts = adjusted_counts(df, text_col, order, tokenizer)
+    tables = counts.tables
+    rates = materialize(discounts(counts))
+    d = {r["order"]: (r.d1, r.d2, r.d3) for r in rates.collect()}  # one row an order
+    grams = reduce(DataFrame.unionByName, [t.select(_gram(m).alias("g"), "a") for m, t in tables.items()])
+
+    def sums(m):  # gamma's numerator counts the discounts, each at most the gram's own count
         a = F.col("a")
-        off = F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = tables[m].crossJoin(rate).select("ctx", "token", "a", off.alias("__d"))
-        # gamma's numerator counts the discounts, each at most the gram's own count
-        stats = seen.groupBy("ctx").agg(F.sum("a").alias("__total"), F.sum(F.least("__d", "a")).alias("__off"), F.count(F.lit(1)).alias("__n"))
-        stats = materialize(stats.select("ctx", "__total", (F.col("__off") / F.col("__total")).alias("backoff"), "__n"))
-        own = lookup_join(seen, stats, ["ctx"], "__n").select(
-            "ctx", "token", (F.greatest(a - F.col("__d"), F.lit(0.0)) / F.col("__total")).alias("__p"), "backoff")
-        if m == 1:
-            uniform = stats.select((F.col("backoff") / (F.col("__n") + 1)).alias("prob"))
-            unknown = materialize(uniform)
-            table = own.crossJoin(F.broadcast(unknown)).select("ctx", "token", (F.col("__p") + F.col("prob")).alias("prob"))
-        else:
-            low = probs[m - 1].withColumnRenamed("ctx", "__c").withColumnRenamed("prob", "__low")
-            keyed = own.withColumn("__c", shorter(F.col("ctx")))
-            table = lookup_join(keyed, with_freq(keyed, low, ["__c", "token"]), ["__c", "token"], "__freq").select(
-                "ctx", "token", (F.col("__p") + F.col("backoff") * F.col("__low")).alias("prob"))
-        probs[m] = materialize(table)
-        contexts[m] = stats.select("ctx", "backoff")
-    return NgramLM(order, probs, contexts, unknown, rates)
+        return F.sum("a").alias("total"), F.sum(F.least(_off(a, d[m]), a)).alias("__off")
+
+    contexts = [t.groupBy(_context(m).alias("c")).agg(*sums(m)).select("c", "total", (F.col("__off") / F.col("total")).alias("backoff"))
+                for m, t in tables.items() if m > 1]
+    one = tables[1].agg(*sums(1), F.count(F.lit(1)).alias("n")).first()
+    return NgramLM(order, grams, materialize(reduce(DataFrame.unionByName, contexts)) if contexts else None,
+                   (one["total"], one["__off"] / one["total"], one["n"]), rates, d)
+
+
+def _probabilities(lm: NgramLM, used: DataFrame) -> DataFrame:
+    """``__g, prob`` of distinct grams ``__g, t0 ..``: from the empty context up, each order that
+    saw the context adds its own share to its back-off's."""
+    def parts(m):
+        return F.when(F.col(f"t{m - 1}").isNotNull(), F.struct(
+            F.lit(m).alias("m"), _gram(m).alias("g"), (_context(m) if m > 1 else F.lit(None).cast("bigint")).alias("c")))
+
+    asked = F.filter(F.array(*[parts(m) for m in range(1, lm.order + 1)]), lambda x: x.isNotNull())
+    need = materialize(used.select("__g", F.explode(asked).alias("__x")).select("__g", "__x.*"))
+    grams = need.groupBy("g").agg(F.count(F.lit(1)).alias("__freq")).join(lm.grams, ["g"])
+    found = lookup_join(need.drop("c"), grams, ["g"], "__freq")
+    none = F.lit(None).cast("double")
+    rows = found.select("__g", "m", "a", none.alias("total"), none.alias("backoff")).unionByName(
+        used.select("__g", F.lit(0).alias("m"), F.lit(None).cast("bigint").alias("a"), none.alias("total"), none.alias("backoff")))
+    if lm.contexts is not None:
+        longer = need.where("m > 1").drop("g")
+        contexts = longer.groupBy("c").agg(F.count(F.lit(1)).alias("__freq")).join(lm.contexts, ["c"])
+        seen = lookup_join(longer, contexts, ["c"], "__freq")
+        rows = rows.unionByName(seen.select("__g", "m", F.lit(None).cast("bigint").alias("a"), F.col("total").cast("double").alias("total"), "backoff"))
+    at = lambda c, m: F.max(F.when(F.col("m") == m, F.col(c))).alias(f"{c}{m}")
+    flat = rows.groupBy("__g").agg(*[at(c, m) for m in range(1, lm.order + 1) for c in ("a", "total", "backoff")])
+
+    def share(m, total, backoff, low):
+        a = F.col(f"a{m}")
+        own = F.when(a.isNotNull(), F.greatest(a - _off(a, lm.rates[m]), F.lit(0.0)) / total).otherwise(F.lit(0.0))
+        return own + backoff * low
+
+    total, backoff, n = lm.empty
+    flat = flat.withColumn("prob", share(1, F.lit(total), F.lit(backoff), F.lit(1.0 / (n + 1))))
+    for m in range(2, lm.order + 1):
+        higher = share(m, F.col(f"total{m}"), F.col(f"backoff{m}"), F.col("prob"))
+        flat = flat.withColumn("prob", F.when(F.col(f"total{m}").isNotNull(), higher).otherwise(F.col("prob")))
+    return flat.select("__g", "prob")
+
+
+def _whole_gram(order: int) -> Column:
+    """Key of a row's gram, whatever its length."""
+    length = sum(F.col(t).isNotNull().cast("int") for t in _names(order))
+    return F.xxhash64(length, *_names(order))
 
 
 def gram_probabilities(lm: NgramLM, grams: DataFrame) -> DataFrame:
-    """``ctx, token, n_occ, prob`` of distinct grams (``ctx`` of up to ``lm.order`` - 1 tokens).
-
-    From the highest order down: a gram that the order's table holds is done, any other
-    takes its context's back-off on to the next order. Only unresolved grams go on."""
-    rest = grams.select("ctx", "token", "n_occ", F.col("ctx").alias("__c"), F.lit(1.0).alias("__acc"))
-    done = []
-    for m in range(lm.order, 0, -1):
-        at = _tokens_in(F.col("__c")) == m - 1  # shorter contexts wait for their order
-        here = rest.where(at)
-        table = lm.probs[m].select(F.col("ctx").alias("__c"), "token", F.col("prob").alias("__p"))
-        found = materialize(lookup_join(here, with_freq(here, table, ["__c", "token"]), ["__c", "token"], "__freq")
-                            .select("ctx", "token", "n_occ", "__c", "__acc", "__p"))
-        done.append(found.where("__p IS NOT NULL").select("ctx", "token", "n_occ", (F.col("__acc") * F.col("__p")).alias("prob")))
-        lost = found.where("__p IS NULL").drop("__p")
-        back = lm.contexts[m].select(F.col("ctx").alias("__c"), F.col("backoff").alias("__b"))
-        if m == 1:
-            last = lost.crossJoin(F.broadcast(lm.unknown.select(F.col("prob").alias("__u"))))
-            done.append(last.select("ctx", "token", "n_occ", (F.col("__acc") * F.col("__u")).alias("prob")))
-            break
-        passed = lookup_join(lost, with_freq(lost, back, ["__c"]), ["__c"], "__freq").select(
-            "ctx", "token", "n_occ", shorter(F.col("__c")).alias("__c"), (F.col("__acc") * F.coalesce("__b", F.lit(1.0))).alias("__acc"))
-        rest = materialize(passed.unionByName(rest.where(~at)))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    """``ctx, token, n_occ, prob`` of distinct grams (``ctx`` of up to ``lm.order`` - 1 tokens,
+    joined by spaces)."""
+    before = F.reverse(F.filter(F.split("ctx", " "), lambda w: w != ""))
+    hashes = grams.select("ctx", "token", "n_occ", F.xxhash64("token").alias("t0"), *[
+        F.when(F.size(before) >= j, F.xxhash64(F.get(before, F.lit(j - 1)))).alias(f"t{j}") for j in range(1, lm.order)])
+    used = materialize(hashes.withColumn("__g", _whole_gram(lm.order)))
+    return used.join(_probabilities(lm, used), ["__g"]).select("ctx", "token", "n_occ", "prob")
 
 
 def ngram_token_scores(lm: NgramLM, df: DataFrame, id_col: str = "row_id", text_col: str = "text", prompt_col: str | None = None,
@@ -176,7 +267,13 @@ def ngram_token_scores(lm: NgramLM, df: DataFrame, id_col: str = "row_id", text_
     The distinct grams of the texts are scored, then each occurrence looks up its own."""
     keep = [F.col(id_col), *[F.col(c) for c in extra_cols]]
     args = (df, keep, text_col, lm.order, tokenizer, add_bos, prompt_col)
-    grams = materialize(ngram_occurrences(*args).groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("n_occ")))
-    probs = materialize(with_weights(gram_probabilities(lm, grams), weights))
-    return lookup_join(ngram_occurrences(*args, outer=True), probs, ["ctx", "token"], "n_occ", how="left").select(
-        id_col, *extra_cols, "pos", "token", "prob", "weight")
+    names = _names(lm.order)
+    used = ngram_occurrences(*args).groupBy(*names).agg(F.first("token").alias("token"), F.count(F.lit(1)).alias("n_occ"))
+    used = materialize(used.withColumn("__g", _whole_gram(lm.order)))
+    known = used.select("__g", "token", "n_occ").join(_probabilities(lm, used), ["__g"])
+    probs = materialize(with_weights(known, weights).drop("token"))
+    occ = ngram_occurrences(*args, outer=True)
+    # texts without a scored token spread over the tasks by their ids
+    key = F.when(F.col("pos").isNull(), F.xxhash64(F.lit(-1), id_col)).otherwise(_whole_gram(lm.order))
+    placed = occ.select(id_col, *extra_cols, "pos", "token", key.alias("__g"))
+    return lookup_join(placed, probs, ["__g"], "n_occ", how="left").select(id_col, *extra_cols, "pos", "token", "prob", "weight")
