@@ -88,3 +88,18 @@ def test_unigrams_alone_count_no_bigrams(spark):
     assert {r.token: r.cnt for r in lm.unigrams.collect()}["a"] == Counter(w for _, t in ROWS for w in (t or "").split())["a"]
     assert "pairs" not in lm.__dict__
     assert {tuple(r) for r in lm.unigrams.collect()} == {tuple(r) for r in lm.bigrams.groupBy("token").agg({"cnt": "sum"}).collect()}
+
+
+def test_texts_are_scored_from_hashed_counts_without_counting_strings(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    lm = LM.fit_bigram_lm(df, "text")
+    id_col, text_col = df.columns[:2]
+    got = LM.score_long(lm, df, id_col, text_col).groupBy(id_col).count().collect()
+    want = Counter()
+    for i, t in ROWS:
+        want[i] += max(1, len((t or "").split()))
+    assert {r[0]: r["count"] for r in got} == want
+    assert "pairs" not in lm.__dict__  # the table of token strings is counted for those who read it
+    tokens = Counter(w for _, t in ROWS for w in (t or "").split())
+    assert {tuple(r) for r in lm.totals.collect()} == {(sum(tokens.values()), len(tokens))}
+    assert sorted(r.cu for r in lm.types.where("cu IS NOT NULL").collect()) == sorted(tokens.values())

@@ -48,12 +48,30 @@ SCORE_STRUCT = "array<struct<pos:int,token:string,prob:double,weight:double>>"
 class BigramLM:
     """Counted from ``steps`` (``prev, token``: one row an occurrence), each table when it is
     first asked for and then written once; a table that only needs tokens costs no count of
-    bigrams. The tables last as long as those of the ``scope`` that the model was made in."""
+    bigrams. The tables last as long as those of the ``scope`` that the model was made in.
+    Texts are scored from ``counts`` and ``types``, where tokens are 64-bit hashes."""
 
     steps: DataFrame
     lam: float = DEFAULT_LAMBDA
     scope: list[str] | None = None
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``__p, __t, cb``: all bigrams by their hashes; ``__p`` is NULL like ``prev``."""
+        p = F.when(F.col("prev").isNotNull(), F.xxhash64("prev"))
+        hashed = self.steps.select(p.alias("__p"), F.xxhash64("token").alias("__t"))
+        return materialize(hashed.groupBy("__p", "__t").agg(F.count(F.lit(1)).alias("cb")), self.scope)
+
+    @cached_property
+    def types(self) -> DataFrame:
+        """``__t, cu, cc``: all tokens by their hashes, as predicted ones and as contexts (NULL:
+        never)."""
+        none = F.lit(None).cast("bigint")
+        as_token = self.counts.select("__t", F.col("cb").alias("cu"), none.alias("cc"))
+        as_context = self.counts.where("__p IS NOT NULL").select(F.col("__p").alias("__t"), none.alias("cu"), F.col("cb").alias("cc"))
+        both = as_token.unionByName(as_context)
+        return materialize(both.groupBy("__t").agg(F.sum("cu").alias("cu"), F.sum("cc").alias("cc")), self.scope)
+
     @cached_property
     def pairs(self) -> DataFrame:
         """``prev, token, cnt``; ``prev`` is NULL for a first token without a start."""
@@ -71,15 +89,10 @@ class BigramLM:
             return materialize(self.pairs.groupBy("token").agg(F.sum("cnt").alias("cnt")), self.scope)
         return materialize(self.steps.groupBy("token").agg(F.count(F.lit(1)).alias("cnt")), self.scope)
 
-    @property
-    def contexts(self) -> DataFrame:
-        """``prev, ctx_cnt``."""
-        return self.bigrams.groupBy("prev").agg(F.sum("cnt").alias("ctx_cnt"))
-
     @property
     def totals(self) -> DataFrame:
         """One row: ``n_tokens, n_types``."""
-        return self.unigrams.agg(F.sum("cnt").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
+        return self.types.agg(F.sum("cu").alias("n_tokens"), F.count("cu").alias("n_types"))
 
 
 def sequence_pairs(tokens: Column, add_bos: bool = True, bos: str = BOS) -> Column:
@@ -177,12 +190,12 @@ def fit_bigram_lm(
 ) -> BigramLM:
     """The model of the texts in ``df``. Its counts are partially aggregated, so a hot bigram
     never reaches one task un-combined; once the bigrams are counted, unigrams and contexts
-    are derived from them, not from the occurrences again. Both are counted here, or, with
-    ``lazy``, when they are first asked for."""
+    are derived from them, not from the occurrences again. What scoring needs is counted here,
+    or, with ``lazy``, when it is first asked for."""
     occ = occurrences(df.withColumn("__rid", F.lit(0)), "__rid", text_col, tokenizer, add_bos, scored_only=False)
     lm = BigramLM(occ.select("prev", "token"), lam, table_scope())
     if not lazy:
-        _ = lm.pairs, lm.unigrams
+        _ = lm.types
     return lm
 
 
@@ -206,20 +219,17 @@ def with_weights(probs: DataFrame, weights: DataFrame | None) -> DataFrame:
 
 
 def pair_probabilities(lm: BigramLM, pairs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """Score each distinct (prev, token) pair that the texts use.
-
-    ``pairs``: ``prev, token, n_occ``. The joins run on distinct keys (one row per pair or
-    token), so their size is bounded by the vocabulary, not by the corpus; those on one
-    token, which many pairs can share, are salted."""
-    j = pairs.join(lm.bigrams.withColumnRenamed("cnt", "cb"), ["prev", "token"], "left")
-    j = lookup_join(j, with_freq(pairs, lm.contexts.withColumnRenamed("ctx_cnt", "cc"), ["prev"]), ["prev"], "__freq")
-    j = lookup_join(j, with_freq(pairs, lm.unigrams.withColumnRenamed("cnt", "cu"), ["token"]), ["token"], "__freq")
-    out = j.crossJoin(F.broadcast(lm.totals)).select(
-        "prev",
-        "token",
-        "n_occ",
-        bigram_prob(F.col("cb"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lm.lam).alias("prob"),
-    )
+    """Score each distinct bigram that the texts use.
+
+    ``pairs``: ``__p, __t, n_occ`` and, for ``weights``, ``token``. The joins run on distinct
+    keys (one row per pair or token), so their size is bounded by the vocabulary, not by the
+    corpus; those on one token, which many pairs can share, are salted."""
+    j = pairs.join(lm.counts, ["__p", "__t"], "left")
+    contexts, tokens = lm.types.select(F.col("__t").alias("__p"), "cc"), lm.types.select("__t", "cu")
+    j = lookup_join(j, with_freq(pairs, contexts, ["__p"]), ["__p"], "__freq")
+    j = lookup_join(j, with_freq(pairs, tokens, ["__t"]), ["__t"], "__freq")
+    prob = bigram_prob(F.col("cb"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lm.lam)
+    out = j.crossJoin(F.broadcast(lm.totals)).select(*pairs.columns, prob.alias("prob"))
     return with_weights(out, weights)
 
 
@@ -242,10 +252,14 @@ def token_scores(
     The texts are read once for their distinct pairs and once for the join of each
     occurrence with its pair's probability, which is the only shuffle of occurrences."""
     args = (df, id_col, text_col, tokenizer, add_bos, prompt_col, True, extra_cols)
-    pairs = materialize(occurrences(*args).groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n_occ")))
-    probs = materialize(pair_probabilities(lm, pairs, weights))
-    occ = occurrences(*args, keep_empty=keep_empty)
-    scored = lookup_join(occ, probs, ["prev", "token"], "n_occ", how="left" if keep_empty else "inner")
+    p, t = F.xxhash64("prev").alias("__p"), F.xxhash64("token").alias("__t")
+    shown = [] if weights is None else [F.first("token").alias("token")]
+    used = occurrences(*args).select(p, t, "token").groupBy("__p", "__t").agg(F.count(F.lit(1)).alias("n_occ"), *shown)
+    probs = materialize(pair_probabilities(lm, materialize(used), weights).drop("token"))
+    # rows without a scored token spread over the tasks by their ids
+    alone = F.when(F.col("pos").isNull(), F.xxhash64(F.lit(-1), id_col, *extra_cols)).otherwise(p)
+    occ = occurrences(*args, keep_empty=keep_empty).select(id_col, *extra_cols, "pos", "token", alone.alias("__p"), t)
+    scored = lookup_join(occ, probs, ["__p", "__t"], "n_occ", how="left" if keep_empty else "inner")
     return scored.select(id_col, *extra_cols, "pos", "token", "prob", "weight")
 
 
