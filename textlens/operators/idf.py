@@ -54,7 +54,8 @@ def vocab_weights(vocab: DataFrame, idf_table: DataFrame, token_col: str = "toke
     cut = materialize(vocab.select(F.col(token_col).alias("token"), tokenizer(F.col(token_col)).alias("__terms")))
     pieces = cut.select("token", F.explode("__terms").alias("term"))
     # a frequent piece ("." or ",") occurs in a large share of a word vocabulary: salted
-    table = with_freq(pieces, idf_table.select("term", "idf"), ["term"]).filter(F.col("idf").isNotNull())
+    # and read three times, so counted once
+    table = materialize(with_freq(pieces, idf_table.select("term", "idf"), ["term"]).filter(F.col("idf").isNotNull()))
     known = lookup_join(pieces, table, ["term"], "__freq")
     if agg == "mean":
         a = F.avg("idf")

@@ -230,7 +230,8 @@ def pair_probabilities(lm: BigramLM, pairs: DataFrame, weights: DataFrame | None
     j = lookup_join(j, with_freq(pairs, tokens, ["__t"]), ["__t"], "__freq")
     prob = bigram_prob(F.col("cb"), F.col("cc"), F.col("cu"), F.col("n_tokens"), F.col("n_types"), lm.lam)
     out = j.crossJoin(F.broadcast(lm.totals)).select(*pairs.columns, prob.alias("prob"))
-    return with_weights(out, weights)
+    # weights are looked up by how often a token occurs in ``out``, so it is read twice
+    return with_weights(out if weights is None else materialize(out), weights)
 
 
 def token_scores(
