@@ -258,11 +258,15 @@ def count_vocabulary(vocabulary: DataFrame, p_min: float | None, min_count: int,
     return coded, root
 
 
-def _states(pairs: DataFrame, below: DataFrame, penalty: float) -> DataFrame:
-    """(context, symbol, n, p, state) of the summed pairs of a depth; ``below``: the
-    probabilities in their suffixes."""
-    known = materialize(_looked_up(pairs, below.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("q")),
-                                   ["suffix", "symbol"]))
+def _states(grams: DataFrame, below: DataFrame, penalty: float) -> DataFrame:
+    """(context, symbol, n, p, state) of a depth's pairs, summed over the blocks; ``below``:
+    the probabilities in their suffixes. If these can't be broadcast, a pair moves once: it is
+    dealt by what its suffix's probability is looked up by, and summed there."""
+    q = below.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("q"))
+    small = below.limit(SMALL + 1).count() <= SMALL
+    dealt = grams if small else grams.repartition("suffix", "symbol")
+    pairs = dealt.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
+    known = materialize(pairs.join(F.broadcast(q) if small else q, ["suffix", "symbol"]))
     seen = F.col("n") > 0
     stats = known.groupBy("context").agg(
         F.sum("n").alias("total"), F.count_if(seen).alias("distinct"),
@@ -306,9 +310,8 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     for d in range(1, depth + 1 if root.n else 1):
         grams = materialize(coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
             _block_pairs(root, d), "block long, context long, suffix long, symbol long, n long"))
-        pairs = grams.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
         with scratch_tables(spark):  # what leads to the states goes when they are written
-            scored = materialize(_states(pairs, below, penalty), outer)
+            scored = materialize(_states(grams.drop("block"), below, penalty), outer)
         below, reached = scored, d
         needed.append(grams.select("block", "context", "symbol").join(
             scored.where("state").select("context", "symbol", "p"), ["context", "symbol"]).select("block", "context", "symbol", "p"))
