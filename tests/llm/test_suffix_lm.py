@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textlens.llm import suffix_lm as L
 from textlens.llm.common import fold
+from textlens.session import scratch_tables, table_scope
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +131,16 @@ def test_rare_contexts_seen_often_are_states(spark):
     # a text starts with one of 1250; all that follows is nearly certain
     assert got[-1].score > math.log10(300 / 1250) - 0.4
     assert got[-2].score > math.log10(300 / 1250) - 0.4
+
+
+def test_only_the_result_stays_written(spark):
+    """Interim tables of a run go with it; the session's settings are as before."""
+    rows = [(i, "a b a b c " * 5) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    with scratch_tables(spark):
+        out = L.score_documents(df, F.col("doc_id") >= 0, min_count=20, block_chars=200)
+        assert len(table_scope()) == 1
+        assert out.count() == 40
+    assert spark.conf.get(key, None) == before

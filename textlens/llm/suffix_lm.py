@@ -24,13 +24,20 @@ Counts follow the corpus and cover all of it:
 
 1. Texts are dealt into blocks of about ``BLOCK_CHARS`` by a hash of id and text. A block
    lists its distinct words with their training counts; the vocabulary sums the lists.
-2. The vocabulary's counts and classes return to the blocks that hold the words, and each
-   text is written as the list of its symbols.
-3. For each depth one pass over the blocks counts their (context, symbol) pairs with numpy
-   (0 for those of other texts only), and Spark sums them. A pair seen ``MIN_COUNT`` times
-   is a context of the next depth and returns to the blocks that hold it.
-4. The pairs' probabilities, a Spark table too, return to the blocks that hold the pairs,
-   whose symbols are scored with numpy. No token occurrence is ever a row.
+   Each text is written as numbers, places in its block's list.
+2. The vocabulary's counts and classes return to the lists of the blocks that hold the words.
+3. For each depth one pass over the blocks counts their distinct (context, symbol) pairs with
+   numpy (0 for those of other texts only) and deals them by a hash of the context's last
+   symbol (and of the symbol, if the former is frequent), so that a pair meets those of other
+   blocks and the one of its suffix.
+   There they are summed; Spark sums the parts of each context and decides on states.
+4. A pair's answer goes back in the order in which its block asked: the change of its log10
+   probability, 0 unless the context is a state, and whether it was seen ``MIN_COUNT`` times
+   and so is a context of the next depth. The block adds the changes to its texts' scores.
+
+Between blocks and deals pairs travel as numpy arrays, one row of zstd bytes for each block
+and deal, and each depth's tables go when the next has been counted. No token occurrence is ever
+a row; blocks and deals keep their size as the corpus grows, only their number follows it.
 
 Contexts are named by 64-bit hashes. A table of at most ``SMALL`` rows of plain numbers or
 words up to ``OWN_BYTES`` may be broadcast; the driver holds the ``TAIL`` classes' counts only.
@@ -43,7 +50,8 @@ block; an empty table gives no rows; without training texts the base score is lo
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,14 +59,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.llm.common import fold, small_side, table, texts
-from textlens.operators.skew import lookup_join, with_freq
-from textlens.session import materialize, scratch_tables, table_scope
+from textlens.session import drop_tables, materialize, scratch_tables, table_scope
 
 MIN_COUNT = 128
 TAIL = 1024
 DEPTH = 4
 PENALTY = 1.0
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
+DEAL_BLOCKS = 2  # pairs of so many blocks go to one deal
 OWN_BYTES = 64  # a longer word is never a class of its own
 START, END, FIRST = 0, 1, 2
 OWN = 1 << 62  # a bit of the symbols that are words
@@ -110,135 +118,291 @@ def _mix(key, symbol):
 
 
 def _block_words(block):
-    """Distinct words of one block with their training counts (b"" is the end token)."""
+    """A block's texts as places in the list of its distinct words, and a row for each word with its
+    place and training count (b"" is the end token)."""
     import pyarrow as pa
 
-    train, other = Counter(), {b""}
-    for text, learns in zip(block["text"].to_pylist(), block["learn"].to_pylist()):
-        w = tokens(text)
-        if learns:
-            train.update(w)
-            train[b""] += 1
-        else:
-            other.update(w)
-    words = [*train, *(other - train.keys())]
-    b = block["block"][0].as_py()
-    return pa.table({"block": pa.array([b] * len(words), pa.int64()), "word": pa.array(words, pa.binary()),
-                     "n": pa.array([train[w] for w in words], pa.int64())})
+    index = defaultdict()
+    index.default_factory = index.__len__
+    end = index[b""]
+    codes = []
+    for text in block["text"].to_pylist():
+        codes.append(np.array([index[w] for w in tokens(text)] + [end], np.int32))
+    learnt = [code for code, learns in zip(codes, block["learn"].to_pylist()) if learns]
+    n = np.bincount(np.concatenate([np.empty(0, np.int32), *learnt]), minlength=len(index))
+    m, k = len(codes), len(index)
 
+    def after(column):
+        return pa.concat_arrays([pa.nulls(m, column.type), column])
 
-def _block_symbols(root: Root):
-    """Texts and words of one block -> the texts as symbols, with their sums."""
-    def run(docs, words):
-        import pyarrow as pa
+    return pa.table({
+        "block": pa.array([block["block"][0].as_py()] * (m + k), pa.int64()), "at": pa.array([*range(m)] + [None] * k, pa.int64()),
+        **{c: pa.concat_arrays([*block[c].chunks, pa.nulls(k, block[c].type)]) for c in ("doc_id", "learn")},
+        "codes": _bytes([*codes, *[None] * k], np.int32), "nth": after(pa.array(np.arange(k))),
+        "word": after(pa.array(list(index), pa.binary())), "n": after(pa.array(n))})
 
-        listed = words["word"].to_pylist()
-        index = {w: i for i, w in enumerate(listed)}
-        c = words["n"].to_numpy().astype(np.float64)
-        symbol = words["symbol"].to_numpy()
-        base = np.log10((c + 0.1) / (root.n + 0.1 * (root.v + 1)))
-        alone = _is_own(symbol) | (symbol == END)
-        k = np.where(alone, END, symbol)
-        inside = np.where(alone, 0.0, np.log10((c + 0.1) / (root.tokens[k] + 0.1 * (root.words[k] + 1))))
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "inside", "symbols")}
-        for text in docs["text"].to_pylist():
-            at = np.array([index[w] for w in tokens(text)] + [index[b""]], np.int64)
-            out["n_tokens"].append(len(at))
-            out["n_known"].append(int((c[at] > 0).sum()))
-            out["base_score"].append(float(base[at].sum()))
-            out["inside"].append(float(inside[at].sum()))
-            out["symbols"].append(symbol[at])
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-        return pa.table({"block": docs["block"], "doc_id": docs["doc_id"], "learn": docs["learn"], **{
-            k: pa.array(x, t) for (k, x), t in zip(out.items(), kinds)}})
 
-    return run
+def _bytes(arrays, kind):
+    """Numpy arrays as a column of bytes, compressed."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd", 1)
+
+    def packed(a):
+        a = np.ascontiguousarray(a, kind)
+        return a.nbytes.to_bytes(8, "little") + codec.compress(a, asbytes=True)
+
+    return pa.array([None if a is None else packed(a) for a in arrays], pa.binary())
+
+
+def _numbers(column, kind):
+    """The arrays of a column of bytes."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd")
+    return [np.frombuffer(codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True), kind)
+            for x in column.to_pylist()]
+
+
+def _joined(column, kind):
+    """Those arrays, one after another."""
+    return np.concatenate([np.empty(0, kind), *_numbers(column, kind)])
+
+
+def _distinct(keys):
+    """(number of each key, place of each number's key): equal keys share a number."""
+    import pandas as pd
+
+    number, values = pd.factorize(keys)
+    first = np.empty(len(values), np.int64)
+    first[number[::-1]] = np.arange(len(keys))[::-1]
+    return number, first
+
+
+def _block_list(words):
+    """Symbols and training counts of a block's words, by place."""
+    import pyarrow as pa
+
+    words = words.sort_by("nth")
+    return pa.table({"block": words["block"][:1], "symbols": _bytes([words["symbol"].to_numpy()], np.int64),
+                     "counts": _bytes([words["n"].to_numpy()], np.int64)})
 
 
 class Places:
-    """The symbols of coded texts, one after another, and the contexts before them."""
-
-    def __init__(self, coded):
-        lists = coded["symbols"].combine_chunks()
-        self.sizes = np.diff(lists.offsets.to_numpy())
-        ends = np.cumsum(self.sizes)
-        self.symbol = lists.flatten().to_numpy()
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.nth = np.arange(len(self.symbol)) - (ends - self.sizes)[self.doc]
-        self.before = np.where(self.nth > 0, np.roll(self.symbol, 1), START)  # the symbol before each
-        self.context = np.full(len(self.symbol), ROOT)
-
-    def longer(self):
-        """Goes from the contexts of one depth to those of the next; returns the shorter ones and
-        which places have a context (one start symbol is before a text)."""
-        shorter, self.depth = self.context, getattr(self, "depth", 0) + 1
-        self.context = _mix(np.roll(shorter, 1) if self.depth > 1 else shorter, self.before)
-        return shorter, self.nth + 1 >= self.depth
-
-
-def _block_pairs(root: Root, depth: int):
-    """A block's texts and its contexts of this depth, as (context, symbol) of the depth below
-    -> (context, suffix, symbol) with training counts."""
-    def run(coded, found):
+    """The tokens of a block's texts, one after another."""
+
+    def __init__(self, coded, root: Root, deals: int):
+        import pyarrow.compute as pc
+
+        self.texts = coded.filter(pc.is_valid(coded["at"])).sort_by("at")
+        code = _numbers(self.texts["codes"], np.int32)
+        self.sizes = np.array([len(x) for x in code], np.int64)
+        self.code, self.root, self.deals = np.concatenate([np.empty(0, np.int32), *code]), root, deals
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.first = np.zeros(len(self.code), bool)  # of their texts
+        self.first[self.starts] = True
+        listed = coded.filter(pc.is_null(coded["at"]))
+        self.words, self.counts = _joined(listed["symbols"], np.int64), _joined(listed["counts"], np.int64)
+        self.symbol = self.words[self.code]
+        self.before = np.where(self.first, START, np.roll(self.symbol, 1))
+        self.depth, self.context, self.suffix, self.key = 0, np.full(len(self.code), ROOT), None, None
+
+    def deeper(self):
+        """Names the contexts of the next depth, their suffixes and their pairs."""
+        self.suffix = self.context
+        self.context = np.roll(self.key, 1) if self.depth else _mix(self.context, self.before)
+        self.key, self.depth = _mix(self.context, self.symbol), self.depth + 1
+        if self.depth == 1:  # a symbol's contexts go to one deal, a frequent one's to more
+            own = _is_own(self.words)
+            c = np.where(own, self.counts, self.root.tokens[np.where(own, END, self.words)])
+            share = 4 * self.deals / max(1, self.root.n)
+            spread = np.where(self.first, self.root.tokens[END], np.roll(c[self.code], 1)) * share
+            context, key = (x.view(np.uint64) >> np.uint64(33) for x in (self.context, self.key))
+            self.deal = ((context + key % (1 + spread.astype(np.uint64))) % np.uint64(self.deals)).astype(np.int32)
+
+    def texts_of(self, which):
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)[which]
+
+    def summed(self, of_word):
+        """Sums over the tokens of each text."""
+        return np.add.reduceat(of_word[self.code], self.starts)
+
+    def at_root(self):
+        """Probabilities of the words' symbols at the root, and the texts' scores by them."""
+        c, own = self.counts.astype(np.float64), _is_own(self.words)
+        k = np.where(own, END, self.words)
+        inside = np.log10((c + 0.1) / (self.root.tokens[k] + 0.1 * (self.root.words[k] + 1)))
+        p = self.root.p(np.where(own, c, self.root.tokens[k]))
+        return p, self.summed(np.where(own | (self.words == END), 0.0, inside) + np.log10(p))
+
+    def sums(self):
+        """What each text has of the columns that need no context."""
+        base = np.log10((self.counts + 0.1) / (self.root.n + 0.1 * (self.root.v + 1)))
+        return {"n_tokens": self.sizes, "n_known": self.summed((self.counts > 0).astype(np.int64)), "base_score": self.summed(base)}
+
+
+class Pairs:
+    """The distinct pairs of a block at the places ``has``, in the order in which they are dealt; a
+    context's are neighbours."""
+
+    def __init__(self, places: Places, has):
+        self.at = np.flatnonzero(has)
+        number, first = _distinct(places.key[self.at])
+        deal = places.deal[self.at[first]]
+        order = np.lexsort((places.context[self.at[first]], deal))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.number, self.first = rank[number], self.at[first[order]]
+        self.sizes = np.bincount(deal, minlength=places.deals)
+
+    def messages(self, column):
+        """(deal, its part of a column) of the deals that have pairs."""
+        return np.split(column, np.cumsum(self.sizes[self.sizes > 0])[:-1]) if len(column) else []
+
+
+def _block_step(root: Root, depth: int, deals: int, last: bool = False):
+    """A block's texts, and (``depth`` > 1) its scores and contexts of the depth below with the
+    answers to its pairs -> the same for this depth, and its pairs; ``last``: the texts' scores."""
+    def run(coded, packets):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        places = Places(coded)
-        for _ in range(depth):
-            shorter, has = places.longer()
+        places = Places(coded, root, deals)
         if depth == 1:
+            p, score = places.at_root()
             b = places.before  # a text begins as often as one ends
             has = _is_own(b) | (root.tokens[np.where(_is_own(b) | (b == START), END, b)] >= root.least)
         else:
-            has &= np.isin(places.context, _mix(found["context"].to_numpy(), found["symbol"].to_numpy()))
-        learn = np.repeat(coded["learn"].to_numpy(), places.sizes)[has]
-        context, suffix, symbol = places.context[has], shorter[has], places.symbol[has]
-        _, first, back = np.unique(_mix(context, symbol), return_index=True, return_inverse=True)
-        n = np.bincount(back, learn, len(first)).astype(np.int64)
-        order = np.lexsort((symbol[first], context[first]))
-        first, n = first[order], n[order]
-        block = coded["block"][0].as_py() if len(coded) else 0
-        return pa.table({"block": pa.array(np.full(len(first), block, np.int64)), "context": pa.array(context[first]),
-                         "suffix": pa.array(suffix[first]), "symbol": pa.array(symbol[first]), "n": pa.array(n)})
+            for _ in range(depth - 1):
+                places.deeper()
+            own = packets.filter(pc.is_null(packets["deal"]))
+            answers = packets.filter(pc.is_valid(packets["deal"])).sort_by("deal")
+            had = np.unpackbits(_joined(own["flag"], np.uint8), count=len(places.code)).astype(bool)
+            pairs = Pairs(places, had)
+            change, often = _joined(answers["score"], np.float64), _joined(answers["flag"], np.uint8)
+            score = _joined(own["score"], np.float64) + np.bincount(
+                places.texts_of(pairs.at), change[pairs.number], len(places.sizes))
+            has = np.zeros(len(had) + 1, bool)
+            has[pairs.at[often[pairs.number] > 0] + 1] = True
+            has = has[:-1] & ~places.first
+        if last:
+            return pa.table({"doc_id": places.texts["doc_id"], "learn": places.texts["learn"],
+                             **{k: pa.array(x) for k, x in places.sums().items()}, "score": pa.array(score)})
+        places.deeper()
+        pairs = Pairs(places, has)
+        learn = places.texts["learn"].to_numpy()[places.texts_of(pairs.at)]
+        n = np.bincount(pairs.number, learn, len(pairs.first))
+        context, suffix, symbol, n = (pairs.messages(x) for x in (
+            places.context[pairs.first], places.suffix[pairs.first], places.symbol[pairs.first], n))
+        # the root's probabilities are looked up here, those of deeper suffixes where they were counted
+        q = pairs.messages(p[places.code[pairs.first]]) if depth == 1 else [None] * len(n)
+        block = coded["block"][0].as_py()
+        deal = [*np.flatnonzero(pairs.sizes), block % deals]  # the last row only passes through its deal
+        return pa.table({
+            "block": pa.array([block] * len(deal), pa.int64()), "deal": pa.array(deal, pa.int64()),
+            "context": _bytes([*context, None], np.int64), "suffix": _bytes([*suffix, None], np.int64),
+            "symbol": _bytes([*symbol, None], np.int64), "n": _bytes([*n, None], np.int32), "q": _bytes([*q, None], np.float64),
+            "score": _bytes([*[None] * len(n), score], np.float64), "flag": _bytes([*[None] * len(n), np.packbits(has)], np.uint8)})
 
     return run
 
 
-def _block_scores(root: Root, depth: int):
-    """A block's coded texts and the probabilities of its pairs (root pairs of own symbols
-    too) -> scores."""
-    def run(coded, pairs):
-        import pyarrow as pa
+_PACKETS = ("block long, deal long, context binary, suffix binary, symbol binary, n binary, q binary, "
+            "score binary, flag binary")
+_SUMS = ("deal long, block long, number binary, contexts binary, of binary, symbol binary, n binary, q binary, "
+         "context long, total double, distinct double, logs double, score binary, flag binary")
+_ANSWERS = ("deal long, block long, score binary, flag binary, contexts binary, of binary, symbol binary, p binary")
 
-        places = Places(coded)
-        key = _mix(pairs["context"].to_numpy(), pairs["symbol"].to_numpy())
-        order = np.argsort(key)
-        key, logs = key[order], np.log10(pairs["p"].to_numpy()[order])
-
-        def put(log, has):
-            if len(key):
-                pair = _mix(places.context, places.symbol)
-                near = np.minimum(np.searchsorted(key, pair), len(key) - 1)
-                np.copyto(log, logs[near], where=has & (key[near] == pair))
-
-        own = _is_own(places.symbol)
-        log = np.log10(root.p(root.tokens[np.where(own, END, places.symbol)]))
-        put(log, own)
-        for _ in range(depth):
-            _, has = places.longer()
-            put(log, has)
-        score = coded["inside"].to_numpy() + np.bincount(places.doc, log, len(coded))
-        return pa.table({"doc_id": coded["doc_id"], "learn": coded["learn"], "n_tokens": coded["n_tokens"],
-                         "n_known": coded["n_known"], "base_score": coded["base_score"], "score": pa.array(score)})
+
+def _deal_sums(sent, below):
+    """The pairs that the blocks sent to one deal, and the probabilities of those of the depth
+    below -> the pairs' sums in one row, the numbers of each block's pairs among them, and a row of
+    plain numbers for each context: this deal's part of its divergence. Blocks' own rows stay."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names, kinds = _columns(_SUMS)
+    own = sent.filter(pc.is_null(sent["context"]))
+    own = pa.table({c: own[c] if c in ("deal", "block", "score", "flag") else pa.nulls(len(own), t) for c, t in zip(names, kinds)})
+    sent = sent.filter(pc.is_valid(sent["context"]))
+    if not len(sent):
+        return own
+    sizes = [len(x) for x in _numbers(sent["n"], np.int32)]
+    context, symbol = _joined(sent["context"], np.int64), _joined(sent["symbol"], np.int64)
+    number, first = _distinct(_mix(context, symbol))
+    n = np.bincount(number, _joined(sent["n"], np.int32), len(first))
+    context, symbol = context[first], symbol[first]
+    if len(below):
+        known = _mix(_joined(below["contexts"], np.int64)[_joined(below["of"], np.int32)], _joined(below["symbol"], np.int64))
+        order = np.argsort(known)
+        at = np.searchsorted(known[order], _mix(_joined(sent["suffix"], np.int64)[first], symbol))
+        q = _joined(below["p"], np.float64)[order[at]]
+    else:
+        q = _joined(sent["q"], np.float64)[first]
+    of, at = _distinct(context)
+    contexts = context[at]
+    seen = n > 0
+    logs = n * np.log(np.where(seen, n, 1) / q)
+    parts = [np.bincount(of, x, len(contexts)) for x in (n, seen, logs)]
+    m, k, deal = len(sizes), len(contexts), sent["deal"][0].as_py()
+    blank = [None] * (m + k)
+
+    def row(array, kind):
+        return _bytes([array, *blank], kind)
+
+    numbers = np.split(number, np.cumsum(sizes)[:-1])
+    sums = pa.table({
+        "deal": pa.array([deal] * (1 + m + k), pa.int64()),
+        "block": pa.array([None, *sent["block"].to_pylist(), *[None] * k], pa.int64()),
+        "number": _bytes([None, *numbers, *[None] * k], np.int32), "contexts": row(contexts, np.int64),
+        "of": row(of, np.int32), "symbol": row(symbol, np.int64), "n": row(n, np.int64), "q": row(q, np.float64),
+        "context": pa.concat_arrays([pa.nulls(1 + m, pa.int64()), pa.array(contexts)]),
+        **{name: pa.concat_arrays([pa.nulls(1 + m, pa.float64()), pa.array(x)])
+           for name, x in zip(("total", "distinct", "logs"), parts)},
+        "score": pa.nulls(1 + m + k, pa.binary()), "flag": pa.nulls(1 + m + k, pa.binary())})
+    return pa.concat_tables([sums, own])
+
+
+def _deal_answers(least: float):
+    """A deal's sums and the states among its contexts -> the answers to each block, and a row of
+    the pairs' probabilities."""
+    def run(sums, states):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        blocks = sums.filter(pc.is_valid(sums["block"]))
+        contexts = _joined(sums["contexts"].drop_null(), np.int64)
+        if not len(contexts):
+            return pa.table({k: pa.array([], t) for k, t in zip(*_columns(_ANSWERS))})
+        of, n = _joined(sums["of"].drop_null(), np.int32), _joined(sums["n"].drop_null(), np.int64)
+        q = _joined(sums["q"].drop_null(), np.float64)
+        total, distinct = np.zeros(len(contexts)), np.zeros(len(contexts))
+        order = np.argsort(contexts)
+        at = order[np.searchsorted(contexts[order], states["context"].to_numpy())]
+        total[at], distinct[at] = states["total"].to_numpy(), states["distinct"].to_numpy()
+        state = total[of] > 0
+        p = np.where(state, (n + distinct[of] * q) / np.where(state, total[of] + distinct[of], 1), q)
+        change, often = np.where(state, np.log10(p / q), 0.0), n >= least
+        numbers = _numbers(blocks["number"], np.int32)
+        m, kept = len(numbers), sums.filter(pc.is_null(sums["block"]))
+        return pa.table({
+            "deal": pa.array([sums["deal"][0].as_py()] * (m + 1), pa.int64()),
+            "block": pa.array([*blocks["block"].to_pylist(), None], pa.int64()),
+            "score": _bytes([*(change[x] for x in numbers), None], np.float64),
+            "flag": _bytes([*(often[x] for x in numbers), None], np.uint8),
+            **{k: pa.concat_arrays([pa.nulls(m, pa.binary()), *kept[k].chunks]) for k in ("contexts", "of", "symbol")},
+            "p": _bytes([*[None] * m, p], np.float64)})
 
     return run
 
 
-def _looked_up(big: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a table of one row a key; skewed keys are salted."""
-    if lookup.limit(SMALL + 1).count() <= SMALL:
-        return big.join(F.broadcast(lookup), keys)
-    big = materialize(big)
-    return lookup_join(big, with_freq(big, lookup, keys), keys, "__freq")
+def _columns(schema: str):
+    """Names and Arrow types of a schema."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    names = [x.split() for x in schema.split(", ")]
+    return [n for n, _ in names], [kinds[t] for _, t in names]
 
 
 def count_vocabulary(vocabulary: DataFrame, p_min: float | None, min_count: int, tail: int) -> tuple[DataFrame, Root]:
@@ -258,24 +422,34 @@ def count_vocabulary(vocabulary: DataFrame, p_min: float | None, min_count: int,
     return coded, root
 
 
-def _states(grams: DataFrame, below: DataFrame, penalty: float) -> DataFrame:
-    """(context, symbol, n, p, state) of a depth's pairs, summed over the blocks; ``below``:
-    the probabilities in their suffixes. If these can't be broadcast, a pair moves once: it is
-    dealt by what its suffix's probability is looked up by, and summed there."""
-    q = below.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("q"))
-    small = below.limit(SMALL + 1).count() <= SMALL
-    dealt = grams if small else grams.repartition("suffix", "symbol")
-    pairs = dealt.groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
-    known = materialize(pairs.join(F.broadcast(q) if small else q, ["suffix", "symbol"]))
-    seen = F.col("n") > 0
-    stats = known.groupBy("context").agg(
-        F.sum("n").alias("total"), F.count_if(seen).alias("distinct"),
-        F.sum(F.when(seen, F.col("n") * F.log(F.col("n") / F.col("q")))).alias("logs"))
-    stats = materialize(stats.select("context", "total", "distinct", (
-        F.col("logs") - F.col("total") * F.log("total") >= penalty * F.col("distinct")).alias("state")))
-    p = F.when(F.col("state"), (F.col("n") + F.col("distinct") * F.col("q")) / (F.col("total") + F.col("distinct")))
-    return _looked_up(known, stats, ["context"]).select(
-        "context", "symbol", "n", F.coalesce(p, F.col("q")).alias("p"), "state")
+def _states(sums: DataFrame, penalty: float) -> DataFrame:
+    """context, total, distinct and state of a depth's contexts, summed over the deals."""
+    parts = sums.where("context is not null").groupBy("context").agg(
+        *(F.sum(c).alias(c) for c in ("total", "distinct", "logs")))
+    gain = F.col("logs") - F.col("total") * F.log("total")
+    return parts.select("context", "total", "distinct",
+                        ((F.col("total") > 0) & (gain >= penalty * F.col("distinct"))).alias("state"))
+
+
+def _cogrouped(left: DataFrame, right: DataFrame, key: str, run, schema: str) -> DataFrame:
+    right = right.toDF(*right.columns)  # columns of its own, as both may come from one table
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(run, schema)
+
+
+@contextmanager
+def _lean(spark: SparkSession):
+    """A job's shuffle files go with the job, not when the driver happens to collect garbage; rows
+    of many numbers are read few at a time."""
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                "spark.sql.parquet.columnarReaderBatchSize": "256"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -285,51 +459,66 @@ def score_documents(docs: DataFrame, learn: Column, id_col: str = "doc_id", text
     ``learn``: a condition on ``doc_id``; the model is counted on the rows that meet it.
     ``p_min``: a share of the training tokens to use instead of ``min_count``. ``audit``
     receives the number of own symbols and the contexts and states of each depth."""
-    spark = docs.sparkSession
+    spark, outer = docs.sparkSession, table_scope()
     t = texts(docs, id_col, text_col).withColumn("learn", F.coalesce(learn, F.lit(False)))
-    chars = t.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    with _lean(spark), scratch_tables(spark):
+        chars = t.agg(F.sum(F.length("text"))).first()[0] or 0
+        blocks = max(1, -(-chars // block_chars))
+        out, n = _scored(t, blocks, p_min, tail, depth, penalty, min_count, audit)
+        out = materialize(out.select(
+            "doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
+            F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"), outer)
+    return out
+
+
+def _scored(t: DataFrame, blocks: int, p_min: float | None, tail: int, depth: int, penalty: float, min_count: int,
+            audit: dict | None) -> tuple[DataFrame, int]:
+    """The scores of ``t``, still to be computed, and the number of training tokens."""
+    spark, kind, scope = t.sparkSession, t.schema["doc_id"].dataType.simpleString(), table_scope()
     dealt = t.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    words = materialize(dealt.groupBy("block").applyInArrow(_block_words, "block long, word binary, n long"))
-    vocabulary, root = count_vocabulary(materialize(words.groupBy("word").agg(F.sum("n").alias("n"))), p_min, min_count, tail)
-    back = words.select("block", "word").join(vocabulary, "word")
-    kind = t.schema["doc_id"].dataType.simpleString()
-    coded = materialize(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _block_symbols(root), f"block long, doc_id {kind}, learn boolean, n_tokens long, n_known long, "
-        "base_score double, inside double, symbols array<long>"))
-
-    own = vocabulary.where((F.col("symbol") < 0) | (F.col("symbol") >= OWN))
-    p_own = (F.col("n") + F.lit(root.kinds / root.size)) / F.lit(float(root.n + root.kinds))
-    rows = [(i, float(root.p(root.tokens[i]))) for i in range(END, FIRST + tail)]
-    below = materialize(own.select("symbol", p_own.alias("p")).union(spark.createDataFrame(rows, "symbol long, p double"))
-                        .select(F.lit(ROOT).cast("long").alias("context"), "symbol", "p"))
-    needed = [words.select("block", "word").join(small_side(own.select("word", "symbol", p_own.alias("p")), SMALL), "word")
-              .select("block", F.lit(ROOT).cast("long").alias("context"), "symbol", "p")]
-    found = spark.createDataFrame([], "block long, context long, symbol long")
-    reached, outer = 0, table_scope()
+    with scratch_tables(spark):
+        cut = materialize(dealt.groupBy("block").applyInArrow(
+            _block_words, f"block long, at long, doc_id {kind}, learn boolean, codes binary, nth long, word binary, n long"))
+        words = cut.where("nth is not null")
+        vocabulary, root = count_vocabulary(
+            materialize(words.groupBy("word").agg(F.sum("n").alias("n"))), p_min, min_count, tail)
+        places = words.select("block", "nth", "word").join(vocabulary, "word").select("block", "nth", "n", "symbol")
+        lists = materialize(places.groupBy("block").applyInArrow(
+            _block_list, "block long, symbols binary, counts binary"), scope)
+        coded = materialize(cut.where("at is not null").select("block", "at", "doc_id", "learn", "codes"), scope)
+    coded = coded.unionByName(lists, allowMissingColumns=True)
+    if audit is not None:
+        audit["own"] = root.own
+
+    deals = -(-blocks // DEAL_BLOCKS)
+    below = spark.createDataFrame([], _ANSWERS)
+    packets = spark.createDataFrame([], "block long, deal long, score binary, flag binary")
+    reached, old = 0, []  # old: what the depth below has left
     for d in range(1, depth + 1 if root.n else 1):
-        grams = materialize(coded.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
-            _block_pairs(root, d), "block long, context long, suffix long, symbol long, n long"))
-        with scratch_tables(spark):  # what leads to the states goes when they are written
-            scored = materialize(_states(grams.drop("block"), below, penalty), outer)
-        below, reached = scored, d
-        needed.append(grams.select("block", "context", "symbol").join(
-            scored.where("state").select("context", "symbol", "p"), ["context", "symbol"]).select("block", "context", "symbol", "p"))
-        if audit is not None:
-            audit |= {"own": root.own, d: tuple(scored.agg(F.count_distinct("context"), F.count_distinct(
-                F.when(F.col("state"), F.col("context")))).first())}
-        longer = scored.where((F.col("n") >= root.least) & (F.col("symbol") != END)).select("context", "symbol")
-        if d == depth or longer.isEmpty():
-            break
-        found = grams.select("block", "context", "symbol").join(small_side(longer, SMALL), ["context", "symbol"])
-    pairs = needed[0]
-    for more in needed[1:]:
-        pairs = pairs.unionByName(more)
-    out = coded.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(
-        _block_scores(root, reached),
-        f"doc_id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known",
-                      F.lit(root.n).cast("long").alias("train_tokens"), "base_score", "score")
+        reached, kept = d, len(scope)
+        with scratch_tables(spark):
+            lower = below.where("block is null").select("deal", "contexts", "of", "symbol", "p")
+            sums = materialize(_cogrouped(
+                _cogrouped(coded, packets, "block", _block_step(root, d, deals), _PACKETS), lower, "deal", _deal_sums, _SUMS))
+            packets = materialize(sums.where("score is not null").select(
+                "block", F.lit(None).cast("long").alias("deal"), "score", "flag"), scope)
+            sums = sums.where("score is null").drop("score", "flag")
+            drop_tables(spark, old)
+            contexts = materialize(_states(sums, penalty))
+            if audit is not None:
+                audit[d] = tuple(contexts.agg(F.count(F.lit(1)), F.count_if("state")).first())
+            if contexts.isEmpty():
+                break
+            states = contexts.where("state").select("context", "total", "distinct")
+            back = sums.where("context is not null").select("deal", "context").join(small_side(states, SMALL), "context")
+            below = materialize(_cogrouped(
+                sums.where("context is null").drop("context", "total", "distinct", "logs"),
+                back, "deal", _deal_answers(root.least), _ANSWERS), scope)
+        packets = packets.unionByName(below.where("block is not null").select("block", "deal", "score", "flag"))
+        old = scope[kept:]
+    return _cogrouped(
+        coded, packets, "block", _block_step(root, reached + 1, deals, last=True),
+        f"doc_id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double"), root.n
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
