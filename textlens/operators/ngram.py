@@ -13,12 +13,14 @@ counts t1 to t4; ``gamma`` gives the discounted mass to the lower order. Order 0
 over the V tokens seen and one unknown token, so p sums to 1 over them in any context. A
 context that was not seen passes to the next lower order unchanged.
 
-Grams are rows of 64-bit token hashes, the token first (``t0``) and those before it after
-(``t1``, ``t2``, ..; NULL before the text's start). All grams move once, to the others with
-their last two tokens: there the counts of all orders are counts of distinct prefixes, so
-one shuffle gives every order, and only single tokens are counted across tasks. A model holds
-the counts of all grams and the sums of all contexts; the probabilities are worked out for
-the distinct grams that are asked for, from joins by gram and by context.
+Tokens are 64-bit hashes: ``t0`` is a gram's last one, ``t1``, ``t2``, .. those before it
+(NULL, in arrays ``NONE``, before the text's start). Blocks of texts send their distinct grams
+of the highest order as compressed arrays to deals, by the token before the last one (and the
+one before that, if it is hot). So the grams of an order over 1 that end alike, and those of an
+order over 1 after one context, are in one deal, where a numpy pass counts them; only the
+pairs after a hot token and single tokens are counted across deals. A model holds the grams of
+each deal, again as arrays; the distinct grams that are asked for go to their deals, where all
+orders are looked up.
 
 Texts are padded with the start token for the fit. A text word equal to it counts like it.
 """
@@ -28,77 +30,308 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.text import BOS, tokenize_words
 from textlens.operators.lm import first_scored_position, with_weights
-from textlens.operators.skew import lookup_join
-from textlens.session import materialize
+from textlens.operators.skew import lookup_join, with_freq
+from textlens.session import materialize, scratch_tables, table_scope
 
 #: Discounts where the counts of counts do not give any (tiny or artificial corpora).
 FALLBACK = (0.5, 1.0, 1.5)
-#: Share of all tokens from which on a token is hot: grams that end in two hot ones are
-#: counted where they are before they move.
-HOT = 1 / 50
-#: Grams of one task.
-TASK_GRAMS = 1 << 20
+#: Grams of one deal.
+TASK_GRAMS = 1 << 21
+#: A token with this share of a deal's even part is hot: its grams are dealt by two tokens.
+HOT = 1 / 4
+#: Tokens of a block of texts (at least one text) whose grams are packed together.
+BLOCK_TOKENS = 1 << 21
+#: Hash of no token, before the text's start.
+NONE = -(1 << 63)
+
+_PACKET = "deal int, words binary, grams binary, n binary"
 
 
 def _names(m: int) -> list[str]:
     return [f"t{j}" for j in range(m)]
 
 
-def _gram(m: int) -> Column:
-    """Key of the gram of order ``m``."""
-    return F.xxhash64(F.lit(m), *_names(m))
-
-
-def _context(m: int) -> Column:
-    """Key of its context (``m`` of 2 or more)."""
-    return F.xxhash64(F.lit(m), *_names(m)[1:])
-
-
 @dataclass(frozen=True)
 class GramCounts:
-    """Adjusted counts of the orders up to ``order``, from ``grams``: ``t0 .., n``, dealt by
-    the last two tokens."""
+    """The texts' tokens as hashes (``coded``), whose grams of up to ``order`` tokens are
+    counted in ``deals`` deals; ``hot``: tokens after which pairs are counted across them."""
 
     order: int
-    grams: DataFrame
-
-    def highest(self) -> DataFrame:
-        """``t0 .., a`` of the highest order, with the shorter grams of the texts' starts."""
-        return self.grams.groupBy(*_names(self.order)).agg(F.sum("n").alias("a"))
-
-    @staticmethod
-    def below(table: DataFrame, m: int, *sums: Column) -> DataFrame:
-        """The same of order ``m`` - 1: each gram above is one more token before its suffix;
-        those at a text's start have no token before them and count their occurrences."""
-        a = F.sum(F.when(F.col(f"t{m - 1}").isNull(), F.col("a")).otherwise(F.lit(1)))
-        return table.groupBy(*_names(m - 1)).agg(a.alias("a"), *sums)
+    coded: DataFrame
+    deals: int
+    hot: tuple[int, ...]
+    bos: int
+
+    def dealt(self):
+        """The packets of each deal."""
+        packets = self.coded.mapInArrow(_pack(self.order, self.deals, self.hot, self.bos, BLOCK_TOKENS), _PACKET)
+        return packets.repartition(self.deals, "deal").groupBy("deal")
+
+    def counted(self, packets: bool) -> DataFrame:
+        """``m, t0, t1, a`` and the columns of a packet: the counts of counts (``m`` is the order,
+        ``t0`` the count up to 4, ``a`` its grams; for pairs, those after other than hot tokens);
+        parts of the counts of pairs after hot tokens (NULL ``m``); parts of those of single tokens
+        (NULL ``t1`` too). With ``packets`` a packet of each deal's distinct grams as well."""
+        return self.dealt().applyInArrow(_deal_counts(self.order, self.hot, packets), f"m int, t0 long, t1 long, a long, {_PACKET}")
 
     @cached_property
     def tables(self) -> dict[int, DataFrame]:
-        """order -> ``t0 .., a``, each written once."""
-        table, out = materialize(self.highest()), {}
+        """order -> ``t0 .., a`` (adjusted counts), each written once."""
+        kinds = ", ".join(f"{t} long" for t in _names(self.order))
+        parts = self.dealt().applyInArrow(_deal_grams(self.order), f"m int, {kinds}, a long")
+        rows, out = materialize(parts), {}
         for m in range(self.order, 0, -1):
-            out[m] = table.where(F.col(f"t{m - 1}").isNotNull())
-            if m > 1:
-                table = materialize(self.below(table, m))
+            if m > 1 or self.order == 1:  # pairs after a hot token are in several deals, by those before
+                out[m] = materialize(rows.where(F.col("m") == m).groupBy(*_names(m)).agg(F.sum("a").alias("a")))
+            else:
+                out[m] = materialize(out[2].groupBy("t0").agg(F.count(F.lit(1)).alias("a")))
         return out
 
 
 @dataclass(frozen=True)
 class NgramLM:
     order: int
-    grams: DataFrame  # g, a: the counts of all grams
-    contexts: DataFrame | None  # c, total, backoff (the mass that its unseen tokens share); None for order 1
+    packets: DataFrame  # deal, words, grams, n: the distinct grams of each deal
+    pairs: DataFrame  # t0, t1, a: the counts of pairs after a hot token
+    tokens: DataFrame  # t0, a: the counts of single tokens
+    deals: int
+    hot: tuple[int, ...]
     empty: tuple[float, float, int]  # total, backoff and tokens of the empty context
     discounts: DataFrame  # order, d1, d2, d3
     rates: dict  # order -> (d1, d2, d3)
 
 
+# ---------------------------------------------------------------------------------------
+# Grams as arrays
+# ---------------------------------------------------------------------------------------
+
+
+def _zip(values: np.ndarray) -> bytes:
+    """Unsigned integers as a compressed string: their size, their number of bytes, and the bytes by place."""
+    raw = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return values.itemsize.to_bytes(1, "little") + len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unzip(data: bytes) -> np.ndarray:
+    size, length = data[0], int.from_bytes(data[1:9], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data[9:], length, asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(f"u{size}")
+
+
+def _packet(words: np.ndarray, grams: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """``grams``: a row for each token of them, as places in ``words``."""
+    used = np.zeros(len(words), bool)
+    used[grams] = True
+    at = np.cumsum(used) - 1
+    kind = np.uint16 if used.sum() <= 1 << 16 else np.uint32
+    return _zip(words[used].view(np.uint64)), _zip(at[grams].astype(kind)), _zip(n.astype(np.uint64))
+
+
+def _packets(order: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, grams, n) of all packets, ``words`` sorted; grams may repeat."""
+    lists = [_unzip(x.as_py()).view(np.int64) for x in table["words"]]
+    words, at = np.unique(np.concatenate([[np.int64(NONE)], *lists]), return_inverse=True)
+    grams, begin = [], 1
+    for x, own in zip(table["grams"], lists):
+        grams.append(at[begin:begin + len(own)].astype(np.int32)[_unzip(x.as_py())].reshape(order, -1))
+        begin += len(own)
+    n = [_unzip(x.as_py()).view(np.int64) for x in table["n"]]
+    empty = np.zeros((order, 0), np.int32)
+    return words, np.concatenate([empty, *grams], axis=1), np.concatenate([np.zeros(0, np.int64), *n])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _deals_of(tokens, order: int, deals: int, hot: tuple[int, ...]) -> np.ndarray:
+    """The deal of grams; ``tokens(j)``: the hashes of their t{j}."""
+    first = tokens(min(1, order - 1))
+    with np.errstate(over="ignore"):
+        h = _mixed(first.view(np.uint64))
+        if hot and order > 1:
+            second = tokens(2 if order > 2 else 0)
+            h = np.where(np.isin(first, hot), _mixed(h + second.view(np.uint64)), h)
+    return (h % np.uint64(deals)).astype(np.int32)
+
+
+def _pack(order: int, deals: int, hot: tuple[int, ...], bos: int, chunk: int):
+    """Arrow pass over texts (arrays of token hashes) -> packets of their distinct grams, a
+    block of ``chunk`` tokens (or one text) at a time."""
+    first = [j for j in (1, 2, 0) if j < order]
+    columns = first + list(range(3, order))
+
+    def block(values, sizes):
+        words, codes = np.unique(np.concatenate([[np.int64(NONE), np.int64(bos)], values]), return_inverse=True)
+        codes = codes.astype(np.int32)
+        start, own = codes[1], codes[2:]
+        place = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        grams = np.zeros((order, len(own)), np.int32)  # 0: NONE, the least
+        grams[0] = own
+        for j in range(1, order):
+            grams[j, j:] = own[:-j]
+            grams[j][place < j] = 0
+            grams[j][place == j - 1] = start
+        deal = _deals_of(lambda j: words[grams[j]], order, deals, hot)
+        by = np.lexsort([*(grams[j] for j in reversed(columns)), deal])
+        grams, deal = grams[:, by], deal[by]
+        new = np.concatenate([[True], (deal[1:] != deal[:-1]) | (grams[:, 1:] != grams[:, :-1]).any(axis=0)])
+        starts = np.flatnonzero(new)
+        n = np.diff(np.concatenate([starts, [len(deal)]]))
+        grams, deal = grams[:, starts], deal[starts]
+        cuts = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1], [True]]))
+        rows = [(int(deal[a]), *_packet(words, grams[:, a:b], n[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
+            ["deal", "words", "grams", "n"])
+
+    def run(batches):
+        held, total = [], 0
+        for batch in batches:
+            lists = batch.column(0)
+            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                done = int(ends[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + chunk - total, "right")))
+                held.append((values[done:ends[stop - 1]], sizes[at:stop]))
+                total, at = total + int(ends[stop - 1]) - done, stop
+                if total >= chunk or at < len(sizes):
+                    if total:
+                        yield block(*map(np.concatenate, zip(*held)))
+                    held, total = [], 0
+        if total:
+            yield block(*map(np.concatenate, zip(*held)))
+
+    return run
+
+
+class _Levels:
+    """The grams of all orders in a deal. ``last[j]``: the number of each gram's context of
+    ``j`` tokens. ``keys[m]``, ``a[m]``: the grams of order ``m`` (those at a text's start that
+    are shorter too, not ``whole``) and their adjusted counts; ``at[m]``: a gram of the highest
+    order that ends with each."""
+
+    def __init__(self, order: int, words: np.ndarray, grams: np.ndarray, n: np.ndarray):
+        self.order, self.words, self.grams, self.v = order, words, grams, len(words)
+        self.last, self.known = [np.zeros(grams.shape[1], np.int64)], [None]
+        for j in range(1, order):
+            known, at = np.unique(self.last[-1] * self.v + grams[j], return_inverse=True)
+            self.last.append(at.astype(np.int64))
+            self.known.append(known)
+        self.keys, self.a, self.at, self.whole = {}, {}, {}, {}
+        rows, a = np.arange(grams.shape[1]), n
+        for m in range(order, 0, -1):
+            self.keys[m], first, own = np.unique(self.last[m - 1][rows] * self.v + grams[0, rows], return_index=True, return_inverse=True)
+            self.a[m] = np.bincount(own, a, len(first)).astype(np.int64)
+            self.at[m] = rows = rows[first]
+            self.whole[m] = grams[m - 1, rows] > 0
+            # each gram is one more token before its suffix; at a text's start its occurrences count
+            a = np.where(self.whole[m], 1, self.a[m])
+
+    def contexts(self, m: int, rate: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Total and back-off of each context of grams of order ``m``, by its number."""
+        whole = self.whole[m]
+        of, a, size = self.last[m - 1][self.at[m][whole]], self.a[m][whole], len(self.known[m - 1])
+        total = np.bincount(of, a, size)
+        off = np.bincount(of, np.minimum(np.array((0, *rate))[np.minimum(a, 3)], a), size)
+        return total, np.divide(off, total, out=np.zeros(size), where=total > 0)
+
+
+def _deal_counts(order: int, hot: tuple[int, ...], packets: bool):
+    def run(table):
+        words, grams, n = _packets(order, table)
+        levels, rows, parts = _Levels(order, words, grams, n), [], []
+        for m in range(order, 0, -1):
+            a, at = levels.a[m][levels.whole[m]], levels.at[m][levels.whole[m]]
+            if m == 2:
+                after = np.isin(words[grams[1, at]], hot)
+                parts.append((words[grams[0, at[after]]], words[grams[1, at[after]]], a[after]))
+                token, own = np.unique(grams[0, at[~after]], return_counts=True)  # each other pair is whole here
+                parts.append((words[token], None, own))
+                a = a[~after]
+            if m > 1:
+                rows += [(m, k, int((a == k).sum())) for k in (1, 2, 3, 4)]
+            elif order == 1:
+                parts.append((words[grams[0, at]], None, a))
+        deal = table["deal"][0].as_py()
+        made = [pa.table({"m": pa.array([r[0] for r in rows], pa.int32()), "t0": pa.array([r[1] for r in rows], pa.int64()),
+                          "a": pa.array([r[2] for r in rows], pa.int64())})]
+        for t0, t1, a in parts:
+            made.append(pa.table({"t0": pa.array(t0), "a": pa.array(a.astype(np.int64))} | ({} if t1 is None else {"t1": pa.array(t1)})))
+        if packets:
+            top = levels.at[order]
+            one = _packet(words, grams[:, top], levels.a[order])
+            made.append(pa.table({"deal": pa.array([deal], pa.int32())} | {c: pa.array([x], pa.binary()) for c, x in zip(("words", "grams", "n"), one)}))
+        schema = pa.schema([("m", pa.int32()), ("t0", pa.int64()), ("t1", pa.int64()), ("a", pa.int64()), ("deal", pa.int32()),
+                            ("words", pa.binary()), ("grams", pa.binary()), ("n", pa.binary())])
+        return pa.concat_tables([pa.table({f.name: t[f.name] if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema}, schema)
+                                 for t in made])
+
+    return run
+
+
+def _deal_grams(order: int):
+    def run(table):
+        words, grams, n = _packets(order, table)
+        levels, made = _Levels(order, words, grams, n), []
+        for m in range(order, 0, -1):
+            at = levels.at[m][levels.whole[m]]
+            made.append(pa.table({"m": pa.array(np.full(len(at), m, np.int32))} | {
+                t: pa.array(words[grams[j, at]]) if j < m else pa.nulls(len(at), pa.int64()) for j, t in enumerate(_names(order))
+            } | {"a": pa.array(levels.a[m][levels.whole[m]])}))
+        return pa.concat_tables(made)
+
+    return run
+
+
+def _asked_columns(order: int) -> list[str]:
+    return [f"{c}{m}" for m in range(2, order + 1) for c in ("a", "total", "backoff")]
+
+
+def _deal_answers(order: int, hot: tuple[int, ...], rates: dict):
+    """``__g, t0, t1, a2, total2, backoff2, ..`` of the grams asked of a deal, NULL where it
+    saw none. Pairs after hot tokens are counted across deals and not looked up here."""
+    def run(asked, table):
+        words, grams, n = _packets(order, table if asked.num_rows else table.slice(0, 0))
+        levels = _Levels(order, words, grams, n)
+
+        def place(values, known):
+            at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+            return np.where(known[at] == values, at, -1) if len(known) else np.full(len(values), -1)
+
+        tokens = [asked[t].fill_null(NONE).to_numpy() for t in _names(order)]
+        codes = [place(t, words) for t in tokens]
+        codes = [np.where(t == NONE, -1, c) for t, c in zip(tokens, codes)]
+        out, context = {"__g": asked["__g"], "t0": asked["t0"], "t1": asked["t1"]}, np.zeros(len(tokens[0]), np.int64)
+        across = np.isin(tokens[1], hot)
+        for m in range(2, order + 1):
+            context = np.where((context >= 0) & (codes[m - 1] >= 0), place(context * levels.v + codes[m - 1], levels.known[m - 1]), -1)
+            seen = (context >= 0) & ~(across & (m == 2))
+            own = np.where(seen & (codes[0] >= 0), place(context * levels.v + codes[0], levels.keys[m]), -1)
+            total, backoff = levels.contexts(m, rates[m])
+            total, backoff, a = np.append(total, 0), np.append(backoff, 0), np.append(levels.a[m], 0)  # so that -1 is a place
+            out |= {f"a{m}": pa.array(a[own], pa.int64(), mask=own < 0), f"total{m}": pa.array(total[context], pa.float64(), mask=~seen),
+                    f"backoff{m}": pa.array(backoff[context], pa.float64(), mask=~seen)}
+        return pa.table(out)
+
+    return run
+
+
+# ---------------------------------------------------------------------------------------
+# Tables
+# ---------------------------------------------------------------------------------------
+
+
 def _hashed(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
@@ -133,53 +366,62 @@ def ngram_occurrences(df: DataFrame, keep: list[Column], text_col: str, order: i
 
 
 def adjusted_counts(df: DataFrame, text_col: str, order: int, tokenizer=tokenize_words) -> GramCounts:
-    """The counts of all grams of the texts. No (t0, t1) of two hot tokens reaches a task
-    un-combined, and any other has less than ``HOT`` of all grams."""
+    """The counts of all grams of the texts. Each block of texts sends a gram once, and a deal
+    gets those after one other than hot token or after one pair."""
     coded = materialize(df.select(_hashed(tokenizer(F.col(text_col))).alias("__h")))
     total = coded.agg(F.sum(F.size("__h"))).first()[0] or 0
-    tokens = coded.select(F.explode("__h").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    hot = [r.t for r in tokens.where(F.col("n") >= F.lit(total * HOT)).collect()]  # at most 1 / HOT rows
-    names = _names(order)
-    rows = coded.select(F.explode(_gram_lists(order)).alias("__g")).select("__g.*")
-    one = F.lit(1).cast("bigint").alias("n")
-    if not hot:
-        grams = rows.select(*names, one)
-    else:
-        both = F.col("t0").isin(hot)
-        if order > 1:
-            both = both & (F.col("t1").isin(hot) | (F.col("t1") == F.xxhash64(F.lit(BOS))))
-        combined = rows.where(both).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-        grams = rows.where(~both).select(*names, one).unionByName(combined)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_GRAMS))
-    return GramCounts(order, grams.repartition(parts, *names[:2]))
+    deals = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_GRAMS))
+    bos = df.sparkSession.range(1).select(F.xxhash64(F.lit(BOS))).first()[0]
+    # the start is before each text's first token
+    tokens = coded.select(F.explode(F.concat(F.array(F.lit(bos)), F.col("__h"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    hot = [r.t for r in tokens.where(F.col("n") >= F.lit(total * HOT / deals)).collect()]  # at most 2 * deals / HOT rows
+    return GramCounts(order, coded, deals, tuple(hot), bos)
 
 
-def discounts(counts: GramCounts) -> DataFrame:
-    """``order, d1, d2, d3``: one row an order. The counts of counts of all orders come from
-    the written tables, or else, with the grams' counts, from one pass that writes none."""
-    def equal(m, k):
-        return F.count_if(F.col(f"t{m - 1}").isNotNull() & (F.col("a") == k)).alias(f"s{m}_{k}")
+def _pairs_and_tokens(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``t0, t1, a`` of the pairs after hot tokens; ``t0, a`` of single tokens, given those."""
+    parts = counted.where("m IS NULL AND t0 IS NOT NULL")
+    pairs = materialize(parts.where("t1 IS NOT NULL").groupBy("t0", "t1").agg(F.sum("a").alias("a")))
+    own = parts.where("t1 IS NULL").select("t0", "a").unionByName(pairs.select("t0", F.lit(1).cast("bigint").alias("a")))
+    return pairs, materialize(own.groupBy("t0").agg(F.sum("a").alias("a")))
 
-    if "tables" in counts.__dict__:
+
+def _counts_of_counts(rows: DataFrame) -> DataFrame:
+    """``order, t1 .., t4`` from ``m, t0, a``: how many grams (``a``) have a count (``t0``)."""
+    return rows.groupBy(F.col("m").alias("order")).agg(*[
+        F.coalesce(F.sum(F.when(F.col("t0") == k, F.col("a"))), F.lit(0)).alias(f"t{k}") for k in (1, 2, 3, 4)])
+
+
+def discounts(counts: GramCounts, counted: DataFrame | None = None) -> DataFrame:
+    """``order, d1, d2, d3``: one row an order. The counts of counts of all orders come from
+    the written tables, or else, with the grams' counts, from one pass that writes none.
+    ``counted``: what ``counts.counted`` gave."""
+    if counted is None and "tables" in counts.__dict__:
         out = reduce(DataFrame.unionByName, [
             t.agg(*[F.count_if(F.col("a") == k).alias(f"t{k}") for k in (1, 2, 3, 4)]).withColumn("order", F.lit(m))
             for m, t in counts.tables.items()])
     else:
-        level, passed = counts.highest(), []
-        for m in range(counts.order, 0, -1):
-            own = [equal(m, k) for k in (1, 2, 3, 4)]
-            sums = [F.sum(c).alias(c) for c in passed] + own
-            level = GramCounts.below(level, m, *sums) if m > 1 else level.agg(*sums)
-            passed += [f"s{m}_{k}" for k in (1, 2, 3, 4)]
-        one = F.array(*[F.struct(F.lit(m).alias("order"), *[F.col(f"s{m}_{k}").alias(f"t{k}") for k in (1, 2, 3, 4)])
-                        for m in range(counts.order, 0, -1)])
-        out = level.select(F.explode(one).alias("__o")).select("__o.*")
+        def step(rows, told):
+            """Sums of ``m, t0, t1, a``, each then told as the rows of ``told``."""
+            sums = rows.groupBy("m", "t0", "t1").agg(F.sum("a").alias("a"))
+            return sums.select(F.explode(told).alias("__r")).select("__r.*")
+
+        def row(m, t0, a):
+            return F.struct(m.cast("int").alias("m"), t0.cast("bigint").alias("t0"), F.lit(None).cast("bigint").alias("t1"), a.cast("bigint").alias("a"))
+
+        m, a, none, one = F.col("m"), F.col("a"), F.lit(None), F.lit(1)
+        same = F.array(row(m, F.col("t0"), a))
+        rows = (counts.counted(False) if counted is None else counted).where("t0 IS NOT NULL").select("m", "t0", "t1", "a")
+        rows = step(rows, F.when(F.col("t1").isNotNull(), F.array(row(F.lit(2), a, one), row(none, F.col("t0"), one))).otherwise(same))
+        rows = step(rows, F.when(m.isNull(), F.array(row(F.lit(1), a, one))).otherwise(same))
+        out = _counts_of_counts(rows)
     y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
     d = [F.lit(float(k)) - F.try_divide((k + 1) * y * F.col(f"t{k + 1}"), F.col(f"t{k}")) for k in (1, 2, 3)]
     sound = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0)
     for k, x in zip((1, 2, 3), d):
         sound = sound & (x >= 0) & (x <= k)
-    return out.select("order", *[F.when(sound, x).otherwise(F.lit(f)).alias(f"d{k}") for k, x, f in zip((1, 2, 3), d, FALLBACK)])
+    every = counts.coded.sparkSession.range(1, counts.order + 1).select(F.col("id").cast("int").alias("order"))
+    return every.join(F.broadcast(out), ["order"], "left").select("order", *[F.when(sound, x).otherwise(F.lit(f)).alias(f"d{k}") for k, x, f in zip((1, 2, 3), d, FALLBACK)])
 
 
 def _off(a: Column, rate: tuple) -> Column:
@@ -190,44 +432,50 @@ def fit_ngram_lm(df: DataFrame, text_col: str = "text", order: int = 5, tokenize
     """The model of the texts in ``df``; at least one of them must have a token."""
     if order < 1:
         raise ValueError("order must be at least 1")
-    counts = adjusted_counts(df, text_col, order, tokenizer)
-    tables = counts.tables
-    rates = materialize(discounts(counts))
+    outer = table_scope()
+    with scratch_tables(df.sparkSession):  # the texts go when their grams are counted
+        counts = adjusted_counts(df, text_col, order, tokenizer)
+        counted = materialize(counts.counted(True), outer)
+    pairs, tokens = _pairs_and_tokens(counted)
+    rates = materialize(discounts(counts, counted))
     d = {r["order"]: (r.d1, r.d2, r.d3) for r in rates.collect()}  # one row an order
-    grams = reduce(DataFrame.unionByName, [t.select(_gram(m).alias("g"), "a") for m, t in tables.items()])
+    one = tokens.agg(*_sums(d[1]), F.count(F.lit(1)).alias("n")).first()
+    packets = counted.where("deal IS NOT NULL").select("deal", "words", "grams", "n")
+    return NgramLM(order, packets, pairs, tokens, counts.deals, counts.hot, (one["total"], one["__off"] / one["total"], one["n"]), rates, d)
 
-    def sums(m):  # gamma's numerator counts the discounts, each at most the gram's own count
-        a = F.col("a")
-        return F.sum("a").alias("total"), F.sum(F.least(_off(a, d[m]), a)).alias("__off")
 
-    contexts = [t.groupBy(_context(m).alias("c")).agg(*sums(m)).select("c", "total", (F.col("__off") / F.col("total")).alias("backoff"))
-                for m, t in tables.items() if m > 1]
-    one = tables[1].agg(*sums(1), F.count(F.lit(1)).alias("n")).first()
-    return NgramLM(order, grams, materialize(reduce(DataFrame.unionByName, contexts)) if contexts else None,
-                   (one["total"], one["__off"] / one["total"], one["n"]), rates, d)
+def _sums(rate: tuple) -> tuple[Column, Column]:
+    """A context's total and the mass of its discounts, each at most the gram's own count."""
+    a = F.col("a")
+    return F.sum("a").alias("total"), F.sum(F.least(_off(a, rate), a)).alias("__off")
 
 
 def _probabilities(lm: NgramLM, used: DataFrame) -> DataFrame:
     """``__g, prob`` of distinct grams ``__g, t0 ..``: from the empty context up, each order that
     saw the context adds its own share to its back-off's."""
-    def parts(m):
-        return F.when(F.col(f"t{m - 1}").isNotNull(), F.struct(
-            F.lit(m).alias("m"), _gram(m).alias("g"), (_context(m) if m > 1 else F.lit(None).cast("bigint")).alias("c")))
-
-    asked = F.filter(F.array(*[parts(m) for m in range(1, lm.order + 1)]), lambda x: x.isNotNull())
-    need = materialize(used.select("__g", F.explode(asked).alias("__x")).select("__g", "__x.*"))
-    grams = need.groupBy("g").agg(F.count(F.lit(1)).alias("__freq")).join(lm.grams, ["g"])
-    found = lookup_join(need.drop("c"), grams, ["g"], "__freq")
-    none = F.lit(None).cast("double")
-    rows = found.select("__g", "m", "a", none.alias("total"), none.alias("backoff")).unionByName(
-        used.select("__g", F.lit(0).alias("m"), F.lit(None).cast("bigint").alias("a"), none.alias("total"), none.alias("backoff")))
-    if lm.contexts is not None:
-        longer = need.where("m > 1").drop("g")
-        contexts = longer.groupBy("c").agg(F.count(F.lit(1)).alias("__freq")).join(lm.contexts, ["c"])
-        seen = lookup_join(longer, contexts, ["c"], "__freq")
-        rows = rows.unionByName(seen.select("__g", "m", F.lit(None).cast("bigint").alias("a"), F.col("total").cast("double").alias("total"), "backoff"))
-    at = lambda c, m: F.max(F.when(F.col("m") == m, F.col(c))).alias(f"{c}{m}")
-    flat = rows.groupBy("__g").agg(*[at(c, m) for m in range(1, lm.order + 1) for c in ("a", "total", "backoff")])
+    names, order, deals, hot = _names(lm.order), lm.order, lm.deals, lm.hot
+    found = used.select("__g", *names)
+    if order > 1:
+        def dealt(batches):
+            for batch in batches:
+                deal = _deals_of(lambda j: batch.column(f"t{j}").fill_null(NONE).to_numpy(zero_copy_only=False), order, deals, hot)
+                yield batch.append_column("deal", pa.array(deal))
+
+        kinds = ", ".join(f"{t} bigint" for t in names)
+        asked = found.mapInArrow(dealt, f"__g bigint, {kinds}, deal int")
+        shown = "".join(f", a{m} bigint, total{m} double, backoff{m} double" for m in range(2, order + 1))
+        found = asked.groupBy("deal").cogroup(lm.packets.groupBy("deal")).applyInArrow(
+            _deal_answers(order, hot, lm.rates), f"__g bigint, t0 bigint, t1 bigint{shown}")
+    found = materialize(found)
+    single = with_freq(found, lm.tokens.withColumnRenamed("a", "a1"), ["t0"])
+    flat = lookup_join(found, single, ["t0"], "__freq")
+    if order > 1 and hot:
+        totals = lm.pairs.groupBy("t1").agg(*_sums(lm.rates[2])).select(
+            "t1", F.col("total").cast("double").alias("__total"), (F.col("__off") / F.col("total")).alias("__backoff"))
+        pairs = with_freq(found, lm.pairs.withColumnRenamed("a", "__a"), ["t0", "t1"])
+        flat = lookup_join(flat, pairs, ["t0", "t1"], "__freq", how="left").join(F.broadcast(totals), ["t1"], "left")
+        both = {c: F.coalesce(c, f"__{c[:-1]}").alias(c) for c in ("a2", "total2", "backoff2")}
+        flat = flat.select("__g", "a1", *[both.get(c, F.col(c)) for c in _asked_columns(order)])
 
     def share(m, total, backoff, low):
         a = F.col(f"a{m}")
@@ -236,7 +484,7 @@ def _probabilities(lm: NgramLM, used: DataFrame) -> DataFrame:
 
     total, backoff, n = lm.empty
     flat = flat.withColumn("prob", share(1, F.lit(total), F.lit(backoff), F.lit(1.0 / (n + 1))))
-    for m in range(2, lm.order + 1):
+    for m in range(2, order + 1):
         higher = share(m, F.col(f"total{m}"), F.col(f"backoff{m}"), F.col("prob"))
         flat = flat.withColumn("prob", F.when(F.col(f"total{m}").isNotNull(), higher).otherwise(F.col("prob")))
     return flat.select("__g", "prob")

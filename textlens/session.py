@@ -67,6 +67,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Whether a job's shuffle files go at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _WRITTEN: list[str] = []  # tables that stay until the application ends
 _SCOPE = threading.local()  # ``paths``: those of the enclosing ``scratch_tables`` of a thread
 
@@ -85,8 +88,9 @@ def materialize(df, scope: list[str] | None = None):
     Used where a result feeds several later branches (the fitted LM, pair probabilities),
     so they scan it instead of re-running its plan, and a lost executor costs a re-read, not
     a recomputation. One job computes and writes the table (an RDD checkpoint would run the
-    plan twice unless cached). Tables go when ``scratch_tables`` ends, or with the
-    application. ``scope``: an outer ``table_scope`` that the table shall last as long as."""
+    plan twice unless cached). Its shuffle files go with it, not when the driver happens to
+    collect garbage. Tables go when ``scratch_tables`` ends, or with the application.
+    ``scope``: an outer ``table_scope`` that the table shall last as long as."""
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/textlens-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -94,7 +98,12 @@ def materialize(df, scope: list[str] | None = None):
     if paths is _WRITTEN and not _WRITTEN:
         atexit.register(drop_tables, spark, _WRITTEN)
     paths.append(path)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.parquet(path)
 
 
