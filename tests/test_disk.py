@@ -4,7 +4,9 @@ import os
 import random
 import time
 
+from textlens.operators import lm as LM
 from textlens.operators import ngram as N
+from textlens.operators import scoring as S
 from textlens.session import materialize, scratch_tables, table_scope
 
 
@@ -50,3 +52,25 @@ def test_grams_do_not_depend_on_blocks_deals_and_hot_tokens(spark, monkeypatch):
                      [(r.order, round(r.d1, 12), round(r.d2, 12), round(r.d3, 12)) for r in lm.discounts.orderBy("order").collect()],
                      sorted((m, t.count(), t.agg({"a": "sum"}).first()[0]) for m, t in N.adjusted_counts(df, "text", 3).tables.items())))
     assert all(x == seen[0] for x in seen[1:])
+
+
+def test_scores_of_a_text_stay_together_and_move_no_more(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([i, i, 3, None]), rnd.choice([None, "", " ".join(f"w{rnd.randrange(9)}" for _ in range(rnd.randrange(30)))])) for i in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, text string").repartition(3)
+    weights = spark.createDataFrame([(f"w{i}", i / 3) for i in range(7)], "token string, weight double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    size = LM.COMMON
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        for LM.COMMON in (1, 40, size):
+            ts = LM.fit_and_score(df, weights=weights, tokens=False)
+            plan = S.row_metrics_long(ts, ["row_id"], weighted=True, together=True)
+            moved = [x for x in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+            assert moved and all("hashpartitioning(block" in x for x in moved)  # blocks of texts and their answers only
+            told = [sorted((str(r.row_id), r.threshold, r.total_tokens, r.filtered_tokens, str(r.longest_run), f"{r.perplexity or 0:.9f}") for r in x.collect())
+                    for x in (plan, S.row_metrics_long(ts, ["row_id"], weighted=True))]
+            assert told[0] == told[1] and len(told[0]) == 12 * len({i for i, _ in rows})
+    finally:
+        LM.COMMON = size
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

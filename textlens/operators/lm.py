@@ -23,23 +23,26 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.metrics import DEFAULT_IDF_WEIGHT
 from textlens.functions.text import BOS, tokenize_words
+from textlens.operators.packed import increasing, mixed, unzipped, zipped
 from textlens.operators.skew import lookup_join, with_freq
 from textlens.session import materialize, table_scope
 
 # Interpolation weight of the bigram estimate.
 DEFAULT_LAMBDA = 0.7
 
-# Share of all occurrences from which on those of one bigram may be spread over tasks.
+# Tokens of texts that are scored in common, as one block.
+COMMON = 1 << 20
+# Tokens of one deal.
+DEAL_TOKENS = 1 << 21
+# Not used any more: a block asks for a bigram once, so none is hot.
 HOT = 1 / 500
-SALTS = 1024
-# Tokens whose counts are broadcast; two of their numbers make one long.
-COMMON = 100_000
-PACK = 1 << 20
 
 SCORE_STRUCT = "array<struct<pos:int,token:string,prob:double,weight:double>>"
 
@@ -350,25 +353,144 @@ def validate_scores(scores: DataFrame) -> DataFrame:
     return scores.filter(F.col("pos").isNotNull() & (p.isNull() | F.isnan(p) | (p <= 0) | (p > 1)))
 
 
-def _coded_texts(df: DataFrame, id_col: str, text_col: str, tokenizer, tokens: bool) -> DataFrame:
-    """``id_col, __h[, __w]``: a row's tokens as 64-bit hashes, and as they are. Written once:
-    the passes that follow neither cut nor hash texts again."""
-    cut = df.select(id_col, tokenizer(F.col(text_col)).alias("__w"))
-    return materialize(cut.select(id_col, F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"), *(["__w"] if tokens else [])))
-
-
-def _steps(coded: DataFrame, keep: list[str], add_bos: bool, tokens: bool) -> DataFrame:
-    """``keep.., pos, __p, __t[, token]``: one row for each scored token ``__t`` and the token
-    (or the start) before it."""
-    first = F.array(F.xxhash64(F.lit(BOS))) if add_bos else F.array().cast("array<bigint>")
-    lost = 0 if add_bos else 1  # the first token has no context then
-    n = F.greatest(F.size("__h") - lost, F.lit(0))
-    lists = [F.slice(F.concat(first, "__h"), 1, n).alias("p"), F.slice("__h", 1 + lost, n).alias("t")]
-    if tokens:
-        lists.append(F.slice("__w", 1 + lost, n).alias("w"))
-    steps = coded.select(*keep, F.posexplode(F.arrays_zip(*lists)).alias("__i", "__s"))
-    return steps.select(*keep, (F.col("__i") + 1 + lost).alias("pos"), F.col("__s.p").alias("__p"), F.col("__s.t").alias("__t"),
-                        *([F.col("__s.w").alias("token")] if tokens else []))
+def _bounds(deals: int) -> np.ndarray:
+    """Deals are ranges of hashes: the least hash of each, so hashes in order are in the order of deals."""
+    return np.array([-(-(d << 64) // deals) for d in range(deals)], np.uint64)
+
+
+def _text_blocks(bos: int, tokens: bool, chunk: int):
+    """Arrow pass over ``id, __key, __h[, __w]``, ordered by ``__key``, -> blocks of about ``chunk``
+    tokens. Texts with one key are in one block, one after the other."""
+    def block(number, parts):
+        ids, sizes, values, shown = zip(*parts)
+        sizes = np.concatenate(sizes)
+        words, first, at = np.unique(np.concatenate([np.array([bos], np.int64), *values]).view(np.uint64), return_index=True, return_inverse=True)
+        kind = np.uint16 if len(words) <= 1 << 16 else np.uint32
+        cells = {"block": number, "n": len(at) - 1, "ids": pa.concat_arrays(ids), "sizes": zipped(sizes.astype(np.uint32)),
+                 "words": zipped(words), "codes": zipped(at[1:].astype(kind)),
+                 "shown": pa.concat_arrays([pa.array([BOS]), *shown]).take(pa.array(first)) if tokens else None}
+        lists = {c: pa.ListArray.from_arrays([0, len(cells[c])], cells[c]) for c in ("ids", "shown") if cells[c] is not None}
+        none = pa.nulls(1, pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([cells["n"]], pa.int64()), lists["ids"],
+             *(pa.array([cells[c]], pa.binary()) for c in ("sizes", "words", "codes")), lists.get("shown", none)], list(cells))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, parts, total, last = TaskContext.get().partitionId() << 32, [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, keys, lists = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)])
+            shown = batch.column(3).flatten().cast(pa.string()) if tokens else None
+            cuts = [int(x) for x in np.flatnonzero(keys[1:] != keys[:-1]) + 1] + [len(keys)]
+            at = 0
+            for i, cut in enumerate(cuts):  # texts from ``at`` on are not in ``parts`` yet; a key ends at each cut
+                if at == 0 and i == 0 and parts and keys[0] != last and total >= chunk:
+                    yield block(number, parts)
+                    number, parts, total = number + 1, [], 0
+                if total + ends[cut] - ends[at] >= chunk or cut == len(keys):
+                    a, b = ends[at], ends[cut]
+                    parts.append((ids.slice(at, cut - at), sizes[at:cut], values[a:b], shown.slice(a, b - a) if tokens else None))
+                    total, at = total + int(b - a), cut
+                    if cut < len(keys):
+                        yield block(number, parts)
+                        number, parts, total = number + 1, [], 0
+            last = keys[-1]
+        if parts:
+            yield block(number, parts)
+
+    return run
+
+
+class _Block:
+    """A block's tokens: ``words`` (their hashes in order), ``codes`` (places in them), ``text`` (which
+    text each is in), ``place`` (from 0 on). ``scored``: those with a token or the start before them,
+    ``pairs``: the hashes of these two in order, ``pair``: the place of each scored one's in them."""
+
+    def __init__(self, row, bos: int, add_bos: bool):
+        self.words, self.codes = unzipped(row["words"]), unzipped(row["codes"]).astype(np.int64)
+        self.sizes = unzipped(row["sizes"]).astype(np.int64)
+        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        start = np.searchsorted(self.words, np.array([bos], np.int64).view(np.uint64))
+        self.scored = np.full(len(self.codes), add_bos) | (self.place > 0)
+        before = np.where(self.place > 0, np.concatenate([start, self.codes])[:-1], start)
+        self.before = before[self.scored]
+        with np.errstate(over="ignore"):
+            hashes = mixed(mixed(self.words[self.before] ^ np.uint64(0xD1B54A32D192ED03)) + self.words[self.codes[self.scored]])
+        self.pairs, self.pair, self.counts = np.unique(hashes, return_inverse=True, return_counts=True)
+
+
+def _requests(bos: int, add_bos: bool, deals: int):
+    """Blocks -> what each asks of the deals: its tokens (``cu`` times there, ``cc`` times as a
+    context) and its pairs (``cb`` times)."""
+    def run(batches):
+        bounds = _bounds(deals)
+        for batch in batches:
+            for row in batch.select(["block", "sizes", "words", "codes"]).to_pylist():
+                b = _Block(row, bos, add_bos)
+                cu, cc = np.bincount(b.codes, minlength=len(b.words)), np.bincount(b.before, minlength=len(b.words))
+                w, p = ([*np.searchsorted(x, bounds), len(x)] for x in (b.words, b.pairs))
+                out = [(row["block"], d, increasing(b.words[w[d]:w[d + 1]]), zipped(cu[w[d]:w[d + 1]].astype(np.uint32)),
+                        zipped(cc[w[d]:w[d + 1]].astype(np.uint32)), increasing(b.pairs[p[d]:p[d + 1]]),
+                        zipped(b.counts[p[d]:p[d + 1]].astype(np.uint32))) for d in range(deals) if w[d] < w[d + 1] or p[d] < p[d + 1]]
+                kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["block", "deal", "words", "cu", "cc", "pairs", "cb"])
+
+    return run
+
+
+def _answers(weighted: bool):
+    """A deal's requests (and weights) -> each block's tokens' and pairs' counts in the corpus, in the order
+    asked; one row without a block has the deal's occurrences and types."""
+    def run(asked, weights=None):
+        def totals(keys, *counts):
+            keys = [unzipped(x.as_py(), True) for x in asked[keys]]
+            known, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
+            ends = np.cumsum([0, *map(len, keys)])
+            sums = [np.bincount(at, np.concatenate([np.zeros(0), *(unzipped(x.as_py()) for x in asked[c])]), len(known)).astype(np.uint64) for c in counts]
+            return known, sums, lambda values: pa.array([zipped(values[at[a:b]]) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+
+        words, (cu, cc), told = totals("words", "cu", "cc")
+        _, (cb,), of_pair = totals("pairs", "cb")
+        weight = np.full(len(words), DEFAULT_IDF_WEIGHT)
+        if weighted and len(words):
+            at = np.searchsorted(words, key := weights["key"].to_numpy().view(np.uint64))
+            hit = words[np.minimum(at, len(words) - 1)] == key
+            weight[at[hit]] = weights["weight"].fill_null(DEFAULT_IDF_WEIGHT).to_numpy()[hit]
+        none = pa.nulls(1, pa.binary())
+        columns = [told(cu), told(cc), told(weight.view(np.uint64)) if weighted else pa.nulls(len(asked), pa.binary()), of_pair(cb)]
+        rows = [asked["block"].combine_chunks(), asked["deal"].combine_chunks(), *columns, pa.nulls(len(asked), pa.int64()), pa.nulls(len(asked), pa.int64())]
+        own = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), none, none, none, none, pa.array([int(cu.sum())]), pa.array([int((cu > 0).sum())])]
+        return pa.table([pa.chunked_array([a, b]) for a, b in zip(rows, own)], ["block", "deal", "cu", "cc", "weight", "cb", "n", "v"])
+
+    return run if weighted else lambda asked: run(asked)
+
+
+def _block_scores(bos: int, add_bos: bool, n: int, v: int, lam: float, weighted: bool, id_col: str):
+    """A block and its answers -> its scores, those of a text one after the other."""
+    def run(blocks, answers):
+        row = blocks.select(["sizes", "words", "codes"]).to_pylist()[0]
+        b, answers = _Block(row, bos, add_bos), answers.sort_by("deal")
+        cu, cc, cb = (np.concatenate([np.zeros(0), *(unzipped(x.as_py()) for x in answers[c])]) for c in ("cu", "cc", "cb"))
+        token = b.codes[b.scored]
+        prob = lam * (cb[b.pair] / cc[b.before]) + (1.0 - lam) * ((cu[token] + 1) / (n + v + 1))
+        weight = np.concatenate([unzipped(x.as_py()) for x in answers["weight"]]).view(np.float64)[token] if weighted and len(token) else np.ones(len(token))
+        text = b.text[b.scored]
+        alone = np.setdiff1d(np.arange(len(b.sizes)), text)
+        order, short = np.argsort(np.concatenate([text, alone]), kind="stable"), pa.nulls(len(alone), pa.float64())
+        shown = blocks["shown"].combine_chunks()
+        strings = pa.nulls(len(token), pa.string()) if shown.null_count else shown.flatten().take(pa.array(token))
+        columns = [blocks["ids"].combine_chunks().flatten().take(pa.array(np.concatenate([text, alone])[order])),
+                   *(pa.concat_arrays([x, short.cast(x.type)]).take(pa.array(order)) for x in (
+                       pa.array((b.place[b.scored] + 1).astype(np.int32)), strings, pa.array(prob), pa.array(weight)))]
+        return pa.table(columns, [id_col, "pos", "token", "prob", "weight"])
+
+    return run
 
 
 def fit_and_score(
@@ -382,63 +504,36 @@ def fit_and_score(
     tokens: bool = True,
 ) -> DataFrame:
     """In-sample scoring: fit the LM on the texts of ``df`` and score those same texts
-    (no prompt). Returns the scores like ``score_long``; without ``tokens`` the column
-    ``token`` is NULL and no token string is moved.
-
-    Tokens are compared by 64-bit hashes. The counts (and weights) of the ``COMMON`` most
-    frequent tokens are broadcast, as tokens and as contexts; the occurrences of the others
-    meet them in a shuffle. Then each occurrence moves once, to the others of its bigram (of
-    its context, if that is not common), where windows count them. A bigram of common tokens
-    is known by both their numbers in one long.
-
-    A token of at least ``HOT`` of all occurrences is hot, as is the start as a context. The
-    bigrams of two hot ones (at most 1 / ``HOT`` squared) are counted beforehand and broadcast, their
-    occurrences dealt at random. So no task holds more of one key."""
-    coded = _coded_texts(df, id_col, text_col, tokenizer, tokens)
-    types = coded.select(F.explode("__h").alias("__t")).groupBy("__t").agg(F.count(F.lit(1)).alias("__u"))
-    if weights is not None:
-        own = weights.select(F.xxhash64("token").alias("__t"), F.col("weight").cast("double").alias("weight"))
-        types = types.join(own, ["__t"], "left").withColumn("weight", F.coalesce("weight", F.lit(DEFAULT_IDF_WEIGHT)))
-    types = materialize(types)
-    n, v = types.agg(F.coalesce(F.sum("__u"), F.lit(0)), F.count(F.lit(1))).first()
-    most = Window.orderBy(F.desc("__u"), "__t")  # over COMMON rows
-    common = materialize(types.orderBy(F.desc("__u"), "__t").limit(COMMON).withColumn("__ct", F.row_number().over(most).cast("long")))
-    hot = F.col("__u") >= F.lit(n * HOT)
-    values = ["__u"] if weights is None else ["__u", "weight"]
-    token = F.broadcast(common.select("__t", "__ct", *values, hot.alias("__ht")))
-    bos = F.xxhash64(F.lit(BOS))
-    start = df.sparkSession.range(1).select(bos.alias("__p"), F.lit(0).cast("long").alias("__cp"), F.lit(True).alias("__hp"))
-    context = F.broadcast(common.where(F.col("__t") != bos).select(
-        F.col("__t").alias("__p"), F.col("__ct").alias("__cp"), hot.alias("__hp")).union(start))
-
-    both = F.col("__hp") & F.coalesce("__ht", F.lit(False))
-    before = materialize(_steps(coded, [], add_bos, False).join(context, ["__p"]).join(token.where("__ht").select("__t", "__ct", "__ht"), ["__t"], "left").groupBy(
-        "__cp", F.when(both, F.col("__ct")).alias("__ct")).agg(F.count(F.lit(1)).alias("__hb")))
-    of_context = F.broadcast(before.groupBy("__cp").agg(F.sum("__hb").alias("__hc")))
-    of_pair = F.broadcast(before.where("__ct IS NOT NULL").select((F.col("__cp") * PACK + F.col("__ct")).alias("__pair"), "__hb"))
-
-    steps = _steps(coded, [id_col], add_bos, tokens)
-    rare = steps.join(F.broadcast(common.select("__t")), ["__t"], "left_anti").join(types, ["__t"])
-    marked = steps.join(token, ["__t"]).unionByName(rare, allowMissingColumns=True).join(context, ["__p"], "left")
-    salt = F.when(both, F.pmod(F.xxhash64(id_col, "pos"), F.lit(SALTS)) * (PACK * PACK)).otherwise(F.lit(0))
-    rare_context, rare_token = F.col("__cp").isNull(), F.col("__ct").isNull()
-    key = F.when(rare_context, F.col("__p")).when(rare_token, F.xxhash64("__p", "__t")).otherwise(F.col("__cp") * PACK + F.col("__ct") + salt)
-    second = F.when(rare_context, F.col("__t").bitwiseOR(F.lit(1 << 62))).when(rare_token, F.col("__cp"))  # NULL: both common
-    carried = [F.when(rare_context | rare_token, F.col(c)).alias(c) for c in values]  # else looked up again
-    dealt = marked.select(id_col, "pos", *(["token"] if tokens else []), *carried, key.alias("__k"), second.alias("__q")).repartition("__k")
-
-    k, q = F.col("__k"), F.col("__q")
-    lone = (q < 0) | (q >= PACK)  # the context is not common
-    here = dealt.withColumn("__b", F.count(F.lit(1)).over(Window.partitionBy("__k", "__q"))).withColumn(
-        "__c", F.count(F.when(lone, F.lit(1))).over(Window.partitionBy("__k")))
-    here = here.withColumn("__cp", F.when(q.isNull(), F.shiftright(k, 20).bitwiseAND(F.lit(PACK - 1))).when(~lone, q)).withColumn(
-        "__ct", F.when(q.isNull(), k.bitwiseAND(F.lit(PACK - 1)))).withColumn("__pair", F.when(q.isNull(), k.bitwiseAND(F.lit(PACK * PACK - 1))))
-    of_token = F.broadcast(common.select("__ct", *[F.col(c).alias(f"__h{c}") for c in values]))
-    full = here.join(of_context, ["__cp"], "left").join(of_token, ["__ct"], "left").join(of_pair, ["__pair"], "left")
-    prob = bigram_prob(F.coalesce("__hb", "__b"), F.coalesce("__hc", "__c"), F.coalesce("__h__u", "__u"), F.lit(n), F.lit(v), lam)
-    no_token = F.lit(None).cast("string").alias("token")
-    scored = full.select(id_col, "pos", "token" if tokens else no_token, prob.alias("prob"),
-                         (F.lit(1.0) if weights is None else F.coalesce("__hweight", "weight")).alias("weight"))
-    empty = coded.where(F.size("__h") < (1 if add_bos else 2)).select(
-        id_col, F.lit(None).cast("int").alias("pos"), no_token, F.lit(None).cast("double").alias("prob"), F.lit(None).cast("double").alias("weight"))
-    return scored.unionByName(empty)
+    (no prompt). Returns the scores like ``score_long``, those of an id one after the other in
+    one partition; without ``tokens`` the column ``token`` is NULL and no token string is moved.
+
+    Texts move once, as 64-bit token hashes, to the others with their id, and are written as
+    blocks of about ``COMMON`` tokens. A block asks for each of its tokens and pairs once, in
+    compressed arrays of hashes and counts that are dealt by hash; there the counts of all
+    blocks are summed (and weights looked up) and told to each block in the order asked. So
+    no token occurrence is a row before its score is known, and no key is hot."""
+    spark = df.sparkSession
+    kind, bos = df.schema[id_col].dataType.simpleString(), df.sparkSession.range(1).select(F.xxhash64(F.lit(BOS))).first()[0]
+    if weights is not None:  # written first, so that what leads to them is gone when texts move
+        own = materialize(weights.select(F.xxhash64("token").alias("key"), F.col("weight").cast("double").alias("weight")))
+    cut = df.select(id_col, F.xxhash64(id_col).alias("__key"), tokenizer(F.col(text_col)).alias("__w"))
+    coded = cut.select(id_col, "__key", F.transform("__w", lambda w: F.xxhash64(w)).alias("__h"), *(["__w"] if tokens else []))
+    blocks = materialize(coded.repartition("__key").sortWithinPartitions("__key").mapInArrow(
+        _text_blocks(bos, tokens, COMMON), f"block long, n long, ids array<{kind}>, sizes binary, words binary, codes binary, shown array<string>"))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_TOKENS))
+    asked = blocks.mapInArrow(_requests(bos, add_bos, deals), "block long, deal int, words binary, cu binary, cc binary, pairs binary, cb binary").groupBy("deal")
+    answer = "block long, deal int, cu binary, cc binary, weight binary, cb binary, n long, v long"
+    if weights is None:
+        told = asked.applyInArrow(_answers(False), answer)
+    else:
+        def dealt(batches):
+            for batch in batches:
+                deal = np.searchsorted(_bounds(deals), batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64), "right") - 1
+                yield batch.append_column("deal", pa.array(deal.astype(np.int32)))
+
+        told = asked.cogroup(own.mapInArrow(dealt, "key long, weight double, deal int").groupBy("deal")).applyInArrow(_answers(True), answer)
+    told = materialize(told)
+    n, v = told.where("block IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    return blocks.groupBy("block").cogroup(told.where("block IS NOT NULL").groupBy("block")).applyInArrow(
+        _block_scores(bos, add_bos, n, v, float(lam), weights is not None, id_col), f"`{id_col}` {kind}, pos int, token string, prob double, weight double")

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.text import BOS, tokenize_words
 from textlens.operators.lm import first_scored_position, with_weights
+from textlens.operators.packed import mixed, unzipped, zipped
 from textlens.operators.skew import lookup_join, with_freq
 from textlens.session import materialize, scratch_tables, table_scope
 
@@ -113,54 +114,36 @@ class NgramLM:
 # ---------------------------------------------------------------------------------------
 
 
-def _zip(values: np.ndarray) -> bytes:
-    """Unsigned integers as a compressed string: their size, their number of bytes, and the bytes by place."""
-    raw = np.ascontiguousarray(values).reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
-    return values.itemsize.to_bytes(1, "little") + len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
-
-
-def _unzip(data: bytes) -> np.ndarray:
-    size, length = data[0], int.from_bytes(data[1:9], "little")
-    raw = np.frombuffer(pa.Codec("zstd").decompress(data[9:], length, asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(f"u{size}")
-
-
 def _packet(words: np.ndarray, grams: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``grams``: a row for each token of them, as places in ``words``."""
     used = np.zeros(len(words), bool)
     used[grams] = True
     at = np.cumsum(used) - 1
     kind = np.uint16 if used.sum() <= 1 << 16 else np.uint32
-    return _zip(words[used].view(np.uint64)), _zip(at[grams].astype(kind)), _zip(n.astype(np.uint64))
+    return zipped(words[used].view(np.uint64)), zipped(at[grams].astype(kind)), zipped(n.astype(np.uint64))
 
 
 def _packets(order: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, grams, n) of all packets, ``words`` sorted; grams may repeat."""
-    lists = [_unzip(x.as_py()).view(np.int64) for x in table["words"]]
+    lists = [unzipped(x.as_py()).view(np.int64) for x in table["words"]]
     words, at = np.unique(np.concatenate([[np.int64(NONE)], *lists]), return_inverse=True)
     grams, begin = [], 1
     for x, own in zip(table["grams"], lists):
-        grams.append(at[begin:begin + len(own)].astype(np.int32)[_unzip(x.as_py())].reshape(order, -1))
+        grams.append(at[begin:begin + len(own)].astype(np.int32)[unzipped(x.as_py())].reshape(order, -1))
         begin += len(own)
-    n = [_unzip(x.as_py()).view(np.int64) for x in table["n"]]
+    n = [unzipped(x.as_py()).view(np.int64) for x in table["n"]]
     empty = np.zeros((order, 0), np.int32)
     return words, np.concatenate([empty, *grams], axis=1), np.concatenate([np.zeros(0, np.int64), *n])
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _deals_of(tokens, order: int, deals: int, hot: tuple[int, ...]) -> np.ndarray:
     """The deal of grams; ``tokens(j)``: the hashes of their t{j}."""
     first = tokens(min(1, order - 1))
     with np.errstate(over="ignore"):
-        h = _mixed(first.view(np.uint64))
+        h = mixed(first.view(np.uint64))
         if hot and order > 1:
             second = tokens(2 if order > 2 else 0)
-            h = np.where(np.isin(first, hot), _mixed(h + second.view(np.uint64)), h)
+            h = np.where(np.isin(first, hot), mixed(h + second.view(np.uint64)), h)
     return (h % np.uint64(deals)).astype(np.int32)
 
 
@@ -345,7 +328,7 @@ def _gram_lists(order: int, add_bos: bool = True, *more: Column) -> Column:
     for j in range(1, order):
         lost = j - 1 if add_bos else j
         lists.append(F.concat(F.array_repeat(none, lost), F.slice(before, 1, F.greatest(n - lost, F.lit(0)))).alias(f"t{j}"))
-    return F.slice(F.arrays_zip(*lists, *more), 1, n)
+    return F.slice(F.arrayszipped(*lists, *more), 1, n)
 
 
 def ngram_occurrences(df: DataFrame, keep: list[Column], text_col: str, order: int, tokenizer=tokenize_words, add_bos: bool = True,

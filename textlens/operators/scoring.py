@@ -56,11 +56,13 @@ def row_metrics_long(
     keys: list[str],
     thresholds=M.DEFAULT_THRESHOLDS,
     weighted: bool = False,
+    together: bool = False,
 ) -> DataFrame:
     """Row metrics straight from long-form token scores ``keys.., pos, prob, weight``,
     without assembling arrays: the scores move once, to their rows, and one numpy pass
     (``_metric_pass``) takes counts, negative log-likelihood sums and the longest filtered
-    runs of all thresholds. Rows are told apart by a 64-bit hash of the keys, which is one to
+    runs of all thresholds. Scores that are ``together`` already (those of a row one after the
+    other in one partition, as ``lm.fit_and_score`` gives them) are not moved. Rows are told apart by a 64-bit hash of the keys, which is one to
     one for a single integer key.
 
     A row with nothing to score has one row with NULL ``pos``: it gets zero counts, NULL
@@ -72,8 +74,9 @@ def row_metrics_long(
     named = [F.col("pos").cast("bigint").alias("__pos"), F.col("prob").cast("double").alias("__p")]
     if weighted:
         named.append(F.col("weight").cast("double").alias("__w"))
-    moved = ts.select(*keys, *named).repartition(*keys)
-    placed = moved.select("*", F.xxhash64(*keys).alias("__row")).sortWithinPartitions("__row")
+    placed = ts.select(*keys, *named, F.xxhash64(*keys).alias("__row"))
+    if not together:
+        placed = placed.repartition(*keys).sortWithinPartitions("__row")
     kinds = ", ".join(f"`{c}` {ts.schema[c].dataType.simpleString()}" for c in keys)
     base = placed.mapInArrow(_metric_pass(keys, ths), f"{kinds}, __n bigint, __m array<struct<t:double,k:bigint,s:double,b:bigint>>")
     long = base.select(*keys, "__n", F.posexplode("__m").alias("threshold_idx", "__m"))
@@ -135,7 +138,8 @@ def _metric_pass(keys: list[str], ths: list[float], chunk: int = 1 << 18):
                 continue
             t = pa.Table.from_batches(kept)
             row = t["__row"].to_numpy()
-            cut = int(np.searchsorted(row, row[-1]))  # the last row may go on in the next batch
+            other = np.flatnonzero(row != row[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last row may go on in the next batch
             if cut:
                 yield from sums(t.slice(0, cut))
             kept, rows = t.slice(cut).to_batches(), rows - cut

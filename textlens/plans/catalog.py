@@ -70,7 +70,7 @@ def doc_lm(spark: SparkSession, sf: str) -> LM.BigramLM:
 
 def doc_row_metrics(spark: SparkSession, sf: str, weights: DataFrame | None = None) -> DataFrame:
     ts = LM.fit_and_score(doc_rows(spark, sf), "row_id", "text", weights=weights, tokens=False)
-    return S.row_metrics_long(ts, ["row_id"], weighted=weights is not None)
+    return S.row_metrics_long(ts, ["row_id"], weighted=weights is not None, together=True)
 
 
 _DOC_SQL = "docs AS (SELECT doc_id AS row_id, text FROM documents)"
