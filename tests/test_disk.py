@@ -1,5 +1,6 @@
 """What jobs leave on disk while they run."""
 
+import itertools
 import os
 import random
 import time
@@ -7,6 +8,7 @@ import time
 from textlens.operators import lm as LM
 from textlens.operators import ngram as N
 from textlens.operators import scoring as S
+from textlens.operators import simjoin as J
 from textlens.session import materialize, scratch_tables, table_scope
 
 
@@ -74,3 +76,42 @@ def test_scores_of_a_text_stay_together_and_move_no_more(spark):
     finally:
         LM.COMMON = size
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_edit_join_in_rounds_and_chunks_equals_all_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{rnd.randrange(60)}" for _ in range(40)]
+        for _ in range(9):
+            own = list(base)
+            for _ in range(rnd.randrange(9)):
+                own[rnd.randrange(len(own))] = f"x{rnd.randrange(500)}"
+            rows.append((len(rows), " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for tokens, chunk, texts in ((J.ROUND_TOKENS, J.FAMILY_CHUNK, J.DEAL_TEXTS), (500, 2, 3)):
+        for name, value in (("ROUND_TOKENS", tokens), ("FAMILY_CHUNK", chunk), ("DEAL_TEXTS", texts)):
+            monkeypatch.setattr(J, name, value)
+        links, _ = J.edit_join(df, 0.2)
+        seen.append({(r.id_a, r.id_b): r.distance for r in links.collect()})
+    want = {(i, j): d for (i, a), (j, b) in itertools.combinations(rows, 2) if (d := edits(a.split(), b.split())) <= 8}
+    assert seen == [want, want] and len(want) > 30
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_a_text_moves_once_for_its_family_not_for_each_pair(spark):
+    n = 60  # all pairs of 60 texts: 1770
+    texts = spark.range(n).selectExpr("id AS __id", "transform(sequence(0, 1999), i -> xxhash64(i, if(i = id, 1, 0))) AS __t")
+    pairs = materialize(texts.alias("a").crossJoin(texts.alias("b")).where("a.__id < b.__id").selectExpr("a.__id AS id_a", "b.__id AS id_b"))
+    found = J._pair_edits(pairs, materialize(texts), 0.2)
+    assert "__a" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.distance, r["__m"]) for r in found.collect()} == {(2, 2000)} and found.count() == n * (n - 1) // 2
