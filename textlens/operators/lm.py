@@ -264,7 +264,8 @@ def token_scores(
     alone = F.when(F.col("pos").isNull(), F.xxhash64(F.lit(-1), id_col, *extra_cols)).otherwise(p)
     occ = occurrences(*args, keep_empty=keep_empty).select(id_col, *extra_cols, "pos", "token", alone.alias("__p"), t)
     scored = lookup_join(occ, probs, ["__p", "__t"], "n_occ", how="left" if keep_empty else "inner")
-    return scored.select(id_col, *extra_cols, "pos", "token", "prob", "weight")
+    scored = scored.select(id_col, *extra_cols, "pos", "token", "prob", "weight")
+    return scored if keep_empty else scored.sortWithinPartitions(id_col, "pos")
 
 
 def assemble_scores(scores: DataFrame, id_cols: list[str]) -> DataFrame:
